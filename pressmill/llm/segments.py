@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, rolling, shuffle_partitions, slice_hash, slice_sums, word_bounds, word_hashes, written
 
 #: Text that a task gathers before it packs blocks, and text whose segments share a bucket.
-FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
+FLUSH_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 
 
 @dataclass
