@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, rolling, shuffle_partitions, slice_hash, slice_sums, word_bounds, word_hashes, written
+from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, rolling, shuffle_partitions, slice_hash, slice_sums, word_bounds, word_hashes, written
 
-#: Text that a task gathers before it packs blocks, and text whose segments share a bucket.
-FLUSH_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
+#: Text that a task gathers before it packs blocks, text whose segments share a bucket, and parts that a bucket is solved in.
+FLUSH_BYTES, BUCKET_BYTES, PARTS = 12 << 20, 6 << 20, 8
 
 
 @dataclass
@@ -126,7 +126,10 @@ def collapse(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pack(s: Segments, repeats: np.ndarray) -> bytes:
-    """A block: repeats travel as places alone, the others with their bytes."""
+    """A block, ordered by part: repeats travel as places alone, the others with their bytes."""
+    part = (s.least >> np.uint64(40)) % np.uint64(PARTS)
+    order = np.argsort(part, kind="stable")
+    s, repeats = s.take(order), repeats[order]
     size = np.where(repeats, 0, s.last - s.first)
     at = np.repeat(s.first - np.cumsum(size) + size, size) + np.arange(size.sum())
     order = np.lexsort((s.start, s.key, s.doc))
@@ -135,25 +138,27 @@ def pack(s: Segments, repeats: np.ndarray) -> bytes:
     owner = np.empty(len(order), np.int32)
     owner[order] = np.cumsum(change) - 1
     own = order[change]
-    head = np.array([len(s.doc), len(own)], np.int64)
+    head = np.array([len(s.doc), len(own), *np.bincount(part.astype(np.int64), minlength=PARTS)], np.int64)
     columns = [head, s.doc[own], s.key[own], owner, s.start.astype(np.int32), s.count.astype(np.int32), size.astype(np.int32)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in columns) + s.data[at].tobytes())
 
 
-def unpack(symbols: Symbols, blocks: list[bytes]) -> tuple[Segments, np.ndarray]:
-    """All segments of some blocks with their bytes, and the places (rows of doc, key, start, count) of repeats."""
+def unpack(symbols: Symbols, blocks: list[bytes], part: int) -> tuple[Segments, np.ndarray]:
+    """A part's segments of some opened blocks with their bytes, and the places (rows of doc, key, start, count) of repeats."""
     columns, texts, repeats = [], [], []
-    for block in blocks:
-        raw = zstandard.ZstdDecompressor().decompress(block)
-        n, m = np.frombuffer(raw, np.int64, 2)
-        at = 16
+    for raw in blocks:
+        n, m, *sizes = np.frombuffer(raw, np.int64, 2 + PARTS).tolist()
+        at = 8 * (2 + PARTS)
         own = np.frombuffer(raw, np.int64, 2 * m, at).reshape(2, m)
         at += 16 * m
-        owner, start, count, size = np.frombuffer(raw, np.int32, 4 * n, at).reshape(4, n)
+        every = np.frombuffer(raw, np.int32, 4 * n, at).reshape(4, n)
+        here = slice(sum(sizes[:part]), sum(sizes[: part + 1]))
+        skip = int(every[3, : here.start].sum())
+        owner, start, count, size = every[:, here]
         rows = np.stack([own[0][owner], own[1][owner], start, count])
         repeats.append(rows[:, size == 0])
         columns.append(np.concatenate([rows, size[None]])[:, size > 0])
-        texts.append(np.frombuffer(raw, np.uint8, -1, at + 16 * n))
+        texts.append(np.frombuffer(raw, np.uint8, int(size.sum()), at + 16 * n + skip))
     doc, key, start, count, size = np.concatenate(columns, 1)
     data = np.concatenate(texts)
     offsets = np.concatenate([[0], np.cumsum(size)])
@@ -168,9 +173,11 @@ def unpack(symbols: Symbols, blocks: list[bytes]) -> tuple[Segments, np.ndarray]
     return segments, np.concatenate(repeats, 1)
 
 
-def solve(symbols: Symbols, window: int, blocks: list[bytes], solver: Callable) -> np.ndarray:
-    """Places (rows of doc, key, start, count) of windows of a bucket that a smaller document has as well."""
-    s, repeats = unpack(symbols, blocks)
+def solve(symbols: Symbols, window: int, blocks: list[bytes], part: int, solver: Callable) -> np.ndarray:
+    """Places (rows of doc, key, start, count) of windows of a bucket's part that a smaller document has as well."""
+    s, repeats = unpack(symbols, blocks, part)
+    if not len(s.doc):
+        return repeats
     of, least_doc, repeated = collapse(s)
     out = [repeats, np.stack([s.doc[repeated], s.key[repeated], s.start[repeated], s.count[repeated]])]
     keep = np.flatnonzero(~repeated)  # of each class the segments of its smallest document
@@ -263,29 +270,38 @@ def repeated_runs(docs: DataFrame, symbols: Symbols, window: int, solver: Callab
                 blocks.setdefault(b, []).append(block)
         found = []
         while blocks:
-            found.append(solve(symbols, window, blocks.popitem()[1], solver).astype(np.int64))
+            opened = [zstandard.ZstdDecompressor().decompress(x) for x in blocks.popitem()[1]]
+            found += [solve(symbols, window, opened, part, solver).astype(np.int64) for part in range(PARTS)]
         if not found:
             return
-        doc, key, start, count = np.concatenate(found, 1)
-        order = np.lexsort((start, key, doc))
-        doc, key, pairs = doc[order], key[order], np.stack([start[order], start[order] + count[order]], 1).astype(np.int32)
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(key) != 0)])) if len(doc) else np.zeros(0, np.int64)
-        end = np.append(first[1:], len(doc))
-        for i in range(0, len(first), 5000):
-            columns = [pa.array(doc[first[i : i + 5000]]), pa.array(key[first[i : i + 5000]])]
-            columns.append(pa.array([pairs[a:b].tobytes() for a, b in zip(first[i : i + 5000], end[i : i + 5000], strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "runs"])
+        found = np.concatenate(found, 1)
+        target = (mix(found[0].astype(np.uint64) ^ found[1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
+            if len(own):
+                block = zstandard.ZstdCompressor(level=1).compress(found[:, own].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([target[own[0]]], pa.int32()), pa.array([block], pa.binary())], ["target", "block"])
 
     def join_runs(batches):
+        blocks: dict[int, list[bytes]] = {}
         for batch in batches:
-            runs = [merged(np.frombuffer(b"".join(x), np.int32).reshape(-1, 2)).tobytes() for x in batch.column("runs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(runs, pa.binary())], ["doc_id", "row_key", "runs"])
+            for x, block in zip(batch.column("target").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                blocks.setdefault(x, []).append(block)
+        while blocks:
+            opened = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(4, -1) for x in blocks.popitem()[1]]
+            doc, key, start, count = np.concatenate(opened, 1)
+            order = np.lexsort((key, doc))
+            doc, key, pairs = doc[order], key[order], np.stack([start, start + count], 1)[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(key) != 0)]))
+            end = np.append(first[1:], len(doc))
+            for i in range(0, len(first), 5000):
+                runs = [merged(pairs[a:b]).tobytes() for a, b in zip(first[i : i + 5000], end[i : i + 5000], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first[i : i + 5000]]), pa.array(key[first[i : i + 5000]]), pa.array(runs, pa.binary())], ["doc_id", "row_key", "runs"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     sent = rows.mapInArrow(send, "bucket int, block binary").repartition(parts, "bucket")
-    found = sent.mapInArrow(receive, "doc_id long, row_key long, runs binary")
-    whole = found.groupBy("doc_id", "row_key").agg(F.collect_list("runs").alias("runs"))
-    return written(whole.mapInArrow(join_runs, "doc_id long, row_key long, runs binary"))
+    found = sent.mapInArrow(receive, "target int, block binary").repartition(parts, "target")
+    return written(found.mapInArrow(join_runs, "doc_id long, row_key long, runs binary"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
