@@ -3,11 +3,12 @@
 1. A pass over the texts hashes each set of word shingles once into ``BANDS * ROWS`` bins; an empty bin copies the bin that
    its own random probe sequence reaches first.  Rows with equal sets are one class from here on.
 2. Each band is a bucket key.  A bucket proposes its smallest member to every other member (a star, not all pairs).
-   One bit of each bin estimates a pair's similarity, and pairs far below the threshold are left out.
-3. The rest are confirmed on full sets, texts meeting at the star's hub, a hot hub split by salt.
+   A sketch of parities bounds the symmetric difference of two sets from below, so a pair it rejects is no link.
+3. The rest are confirmed on full sets, texts meeting at the star's hub, a hot hub split by salt: first one hub for each
+   member, then its other hubs where they are in another component.
 4. Links merge into components (alternating large and small stars, on written tables).  A star may miss a link between
    two members that the hub isn't linked with; so buckets that still hold several components propose, in further rounds,
-   pairs of members of different components, the best estimates first, until none is left.
+   pairs of members of different components, the likeliest first, until none is left.
 
 A pair with a similarity of 0.8 shares a bucket with a probability of 1 - 3e-6, a closer one with a higher.
 """
@@ -16,17 +17,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_BLANK, join_checked, mix, rolling, shuffle_partitions, split_chunks, word_bounds, word_hashes, written
+from .common import LOWER, NOT_BLANK, int_column, join_checked, mix, rolling, shuffle_partitions, split_chunks, word_bounds, word_hashes, written
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
-#: Bits of a pair's bins that must agree: at a similarity of 0.8 nine tenths do, with a deviation of 0.019.
-AGREEING = int(0.8 * BINS)
-#: Members that a salted part of a hot hub gets, and pairs of a member that the first further round confirms.
-HUB_PART, FIRST_PAIRS = 2000, 16
+#: Bits of the parity sketch.
+PARITIES = 2048
+#: Members that a salted part of a hot hub gets.
+HUB_PART = 2000
+#: Members of a bucket that are compared with as many others at a time.
+TILE = 2048
 
 _PROBES = np.random.default_rng(11).integers(0, BINS, (512, BINS))
 
@@ -76,7 +79,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set1, set2 (hash of the set), bits (one of each bin) and bands of each row."""
+    """doc_id, n_shingles, set1, set2 (hash of the set), bits (parity sketch of the set) and bands of each row."""
 
     def sign(batches):
         for batch in batches:
@@ -90,8 +93,8 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                         keys.append((np.uint64(0), np.uint64(0)))
                     if len(own) * 5 // 4 > len(own):  # a smaller set is near to equal ones alone
                         bins = signature(own)
-                        packed = np.packbits((mix(bins) & np.uint64(1)).astype(np.uint8))
-                        bits.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<i8"))
+                        parity = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+                        bits.append(np.packbits(parity.astype(np.uint8)).view("<i8"))
                         bands.append(band_keys(bins).view(np.int64))
                     else:
                         bits.append(None)
@@ -105,17 +108,22 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, set1 long, set2 long, bits array<long>, bands array<long>")
 
 
-def _agreeing():
-    return sum((64 - F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(-(-BINS // 64))), F.lit(BINS - 64 * -(-BINS // 64)))
+def _apart(a: str, b: str) -> Column:
+    """A lower bound of the number of shingles in one of two sets alone."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, PARITIES // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def _similar(pairs: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bits allow the threshold, with the number of agreeing bits."""
+def _possible(a: str, b: str, n_a: str, n_b: str) -> Column:
+    """Whether a pair may have 100 * intersection >= 80 * union: no more than a ninth of both sizes is apart."""
+    return (100 * F.least(n_a, n_b) >= 80 * F.greatest(n_a, n_b)) & (9 * _apart(a, b) <= F.col(n_a) + F.col(n_b))
+
+
+def _similar(pairs: DataFrame, slim: DataFrame, n_slim: int) -> DataFrame:
+    """Pairs (a, b) that may be links, with ``apart``."""
     for side in ("a", "b"):
-        own = members.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n_shingles").alias(f"n_{side}"))
-        pairs = join_checked(pairs, own, [side], n_members, 96)
-    close = pairs.withColumn("agreeing", _agreeing()).where(f"agreeing >= {AGREEING}")
-    return close.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b", "agreeing")
+        own = slim.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n_shingles").alias(f"n_{side}"))
+        pairs = join_checked(pairs, own, [side], n_slim, PARITIES // 8 + 32)
+    return pairs.where(_possible("bits_a", "bits_b", "n_a", "n_b")).select("a", "b", _apart("bits_a", "bits_b").alias("apart"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -173,6 +181,76 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose members are in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after further links; each node's link to its root stands for its earlier links."""
+    if roots is not None:
+        links = links.unionByName(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return written(components(links))
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """a, b, apart of possible links between members of a bucket in different components.
+
+    Of two such members one at least is outside the bucket's main component, so these meet all members, in tiles of
+    ``TILE`` by ``TILE`` rows.
+    """
+    parts = shuffle_partitions(placed.sparkSession)
+    stray = F.col("root") != F.col("main")
+    tiles = placed.groupBy("bucket").agg(F.ceil(F.count_if(stray) / TILE).cast("int").alias("across"), F.ceil(F.count("*") / TILE).cast("int").alias("down"))
+    rows = placed.join(tiles, "bucket").withColumn("h", F.xxhash64("doc_id"))
+
+    def side(name: int, own: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        some = rows.where(stray) if name == 0 else rows
+        tiled = some.select("bucket", "doc_id", "root", "n_shingles", "bits", F.pmod("h", F.col(own)).cast("int").alias(own), every)
+        return tiled.select("bucket", "across", "down", F.lit(name).alias("side"), "doc_id", "root", "n_shingles", "bits")
+
+    met = side(0, "across", "down").unionByName(side(1, "down", "across"))
+    met = met.repartition(parts, "bucket", "across", "down").sortWithinPartitions("bucket", "across", "down", "side")
+
+    def compare(x, y):
+        out = []
+        for i in range(0, len(x[0]), 32):
+            doc, root, n, bits = (c[i : i + 32] for c in x)
+            apart = np.bitwise_count(bits[:, None, :] ^ y[3][None]).sum(2, dtype=np.int64)
+            small, large = np.minimum(n[:, None], y[2][None]), np.maximum(n[:, None], y[2][None])
+            p, q = np.nonzero((root[:, None] != y[1][None]) & (100 * small >= 80 * large) & (9 * apart <= small + large))
+            out.append(np.stack([np.minimum(doc[p], y[0][q]), np.maximum(doc[p], y[0][q]), apart[p, q]]))
+        return np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
+
+    def tile_pairs(batches):
+        held, key = [], None
+
+        def settle():
+            table = [np.concatenate(c) for c in zip(*held, strict=True)]
+            x = table[0] == 0
+            a, b, apart = np.unique(compare([c[x] for c in table[1:]], [c[~x] for c in table[1:]]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart)], ["a", "b", "apart"])
+
+        for batch in batches:
+            keys = np.stack([int_column(batch, c) for c in ("bucket", "across", "down")], 1)
+            columns = [int_column(batch, c) for c in ("side", "doc_id", "root", "n_shingles")]
+            columns.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, PARITIES // 64))
+            start = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1]) if len(keys) else []
+            for i, j in zip(start, [*start[1:], len(keys)], strict=True):
+                if held and tuple(keys[i]) != key:
+                    yield settle()
+                    held = []
+                key = tuple(keys[i])
+                held.append([c[i:j] for c in columns])
+        if held:
+            yield settle()
+
+    return met.mapInArrow(tile_pairs, "a long, b long, apart long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept for each row.
 
@@ -186,41 +264,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     classes = written(classes)
     members = signed.where("bands is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set1", "set2", "n_shingles"], "left_semi")
     members = members.dropDuplicates(["doc_id"])
-    slim = written(members.select("doc_id", "n_shingles", "bits"))
-    n_slim = slim.count()
-
-    keyed = members.select(F.col("doc_id"), F.explode("bands").alias("bucket"))
+    keyed = members.select("doc_id", F.explode("bands").alias("bucket"))
     stars = keyed.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(keyed.join(stars, "bucket"))  # members of buckets of several
-    pairs = shared.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    tested = written(_similar(pairs, slim, n_slim).select("a", "b"))
-    links = _confirmed(docs, tested, shingle)
-    roots = components(links)
+    slim = written(members.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "bits"))
+    n_slim = slim.count()
+    proposed = written(_similar(shared.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), slim, n_slim))
 
-    most = FIRST_PAIRS
-    while True:
-        label = F.coalesce("root", "doc_id")
-        placed = shared.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", label.alias("root"))
+    roots, most = None, 1
+    while True:  # a member's smallest hub, then four of those in other components, then sixteen ...
+        crossing = proposed if roots is None else _crossing(proposed, roots)
+        rank = F.row_number().over(Window.partitionBy("b").orderBy("a" if roots is None else F.col("apart"), "a"))
+        chosen = written(crossing.withColumn("rank", rank).where(f"rank <= {most}").select("a", "b"))
+        if chosen.isEmpty():
+            break
+        roots = _merged(roots, _confirmed(docs, chosen, shingle))
+        proposed = written(proposed.join(chosen, ["a", "b"], "left_anti"))
+        most *= 4
+
+    tested, most = None, 4
+    while roots is not None:
+        label = F.coalesce("root", "doc_id").alias("root")
+        placed = shared.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", label)
         sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        placed = placed.join(main, "bucket")
-        strays = placed.where("root != main").select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-        # of two members in different components one at least is outside the bucket's main one
-        crossing = strays.join(placed.select("bucket", F.col("doc_id").alias("y"), "root"), "bucket").where("x_root != root")
-        crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        near = _similar(crossing, slim, n_slim)
-        each = near.select("*", F.explode(F.array("a", "b")).alias("x"))
-        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("agreeing"), "a", "b"))
-        chosen = each.withColumn("rank", rank).where(f"rank <= {most}").select("a", "b").distinct()
-        chosen = written(chosen)
+        placed = written(placed.join(main, "bucket").join(slim, "doc_id"))
+        near = _across(placed).distinct()
+        if tested is not None:
+            near = near.join(tested, ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("x").orderBy("apart", "a", "b"))
+        chosen = written(near.select("*", F.explode(F.array("a", "b")).alias("x")).withColumn("rank", rank).where(f"rank <= {most}").select("a", "b").distinct())
         if chosen.isEmpty():
             break
-        tested = tested.unionByName(chosen)
-        new = _confirmed(docs, chosen, shingle)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = components(links)
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        roots = _merged(roots, _confirmed(docs, chosen, shingle))
         most *= 8
+    if roots is None:
+        roots = signed.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
 
     named = signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2", "n_shingles"], "left")
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
