@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_checked, written
@@ -48,31 +48,38 @@ def _sets(docs: DataFrame) -> DataFrame:
     lines = _lines(docs).select("doc_id", "line_no", F.sort_array(F.array_distinct(numbers)).alias("k"))
     n = F.size("k")
     parity = F.expr("aggregate(k, 0L, (p, x) -> p ^ shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))")
+    # a second one for longer lines: of the tokens whose hash has an odd bit
+    second = F.expr("if(size(k) <= 60, 0L, aggregate(k, 0L, (p, x) -> p ^ if(x & 67108864L = 0L, 0L, shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))))")
     return lines.select(
-        "doc_id", "line_no", n.alias("n"), F.xxhash64("k").alias("set1"), F.xxhash64(F.lit(1), "k").alias("set2"), parity.alias("parity"),
+        "doc_id", "line_no", n.alias("n"), F.xxhash64("k").alias("set1"), F.xxhash64(F.lit(1), "k").alias("set2"), parity.alias("parity"), second.alias("second"),
         F.slice("k", 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"),
     )
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
     """Pairs of distinct sets, each by its first place (doc, line), that the filters let through; a's place is earlier."""
-    first = sets.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "prefix")).alias("f"))
-    keyed = first.select(F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", F.col("f.parity").alias("parity"), F.posexplode("f.prefix").alias("i", "token"))
-    keyed = keyed.where("n > 3")  # smaller sets are near to equal ones alone
+    first = sets.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "second", "prefix")).alias("f"))
+    keyed = first.where("n > 3").select(  # smaller sets are near to equal ones alone
+        F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", F.col("f.parity").alias("parity"), F.col("f.second").alias("second"), F.posexplode("f.prefix").alias("i", "token")
+    )
+    keyed = keyed.select(F.hash("token").alias("token"), "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second")
     x, y = keyed.alias("x"), keyed.alias("y")
     # y is the shorter set; its prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
+    nx, ny, ix, iy = "(x.n_i >> 32)", "(y.n_i >> 32)", "(x.n_i & 4294967295L)", "(y.n_i & 4294967295L)"
     met = x.join(
         y,
         F.expr(
-            "x.token = y.token and (y.n < x.n or (y.n = x.n and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line))))"
-            " and 5 * y.n >= 4 * x.n and y.i <= y.n - (8 * y.n + 8) div 9"
-            " and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
-            " and 9 * bit_count(x.parity ^ y.parity) <= x.n + y.n"  # tokens in one of the two sets alone
+            f"x.token = y.token and ({ny} < {nx} or ({ny} = {nx} and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line))))"
+            f" and 5 * {ny} >= 4 * {nx} and {iy} <= {ny} - (8 * {ny} + 8) div 9"
+            f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
+            # tokens in one of the two sets alone: those with the odd bit, and the others
+            f" and 9 * if(x.second = 0 or y.second = 0, bit_count(x.parity ^ y.parity), bit_count(x.second ^ y.second) + bit_count(x.parity ^ y.parity ^ x.second ^ y.second)) <= {nx} + {ny}"
         ),
     )
     earlier = F.expr("x.doc < y.doc or (x.doc = y.doc and x.line < y.line)")
     pair = [F.when(earlier, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{c}_{s}") for s, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in ("doc", "line")]
-    return met.select(*pair).distinct()
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("apart")
+    return met.select(*pair, apart).distinct()
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -92,12 +99,30 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.where(9 * both >= 4 * (F.size("k_a") + F.size("k_b"))).select("doc_a", "line_a", "doc_b", "line_b")
 
 
+def _later(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, line_no of the later places of the pairs that are confirmed, with an earlier one each.
+
+    The likeliest pair of each later place is confirmed first, then four of each place that is left, then sixteen ...
+    """
+    found, done, most = None, 0, 1
+    order = Window.partitionBy("doc_b", "line_b").orderBy("apart", "doc_a", "line_a")
+    ranked = written(pairs.withColumn("rank", F.row_number().over(order)))
+    longest = ranked.agg(F.max("rank")).first()[0] or 0
+    while done < max(1, longest):
+        chosen = ranked.where(f"rank > {done} and rank <= {most}").drop("apart", "rank")
+        if found is not None:
+            chosen = written(chosen.join(found, ["doc_b", "line_b"], "left_anti"))
+        new = written(_confirmed(docs, chosen).select("doc_b", "line_b").distinct())
+        found = new if found is None else found.unionByName(new)
+        done, most = most, most * 4
+    return found.toDF("doc_id", "line_no")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id and removed (array of line numbers, from 0) of documents with lines that an earlier line is near to."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sets = written(_sets(docs)).where("n > 0")
-    pairs = _confirmed(docs, written(_candidates(sets)))
-    later = written(pairs.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no")).distinct())
+    later = _later(docs, written(_candidates(sets)))
     slim = sets.select("doc_id", "line_no", *SET)
     near = slim.join(later, ["doc_id", "line_no"], "left_semi").select(*SET).distinct().withColumn("near", F.lit(True))
     first = slim.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
