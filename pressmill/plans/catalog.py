@@ -435,22 +435,23 @@ def _(m):
     return metrics.source_means(m)
 
 
-PERIOD = F.when(F.col("entry_id") % 400 < 30, "current").when(F.col("entry_id") % 400 < 60, "previous")
+def period():
+    return F.when(F.col("entry_id") % 400 < 30, "current").when(F.col("entry_id") % 400 < 60, "previous")
 
 
 @on_mentions("a23_sentiment_change", f"{M}, p AS (SELECT *, CASE WHEN entry_id % 400 < 30 THEN 'current' WHEN entry_id % 400 < 60 THEN 'previous' END AS p FROM mentions), c AS (SELECT round(avg(sentiment_score) FILTER (p = 'current') - avg(sentiment_score) FILTER (p = 'previous'), 6) AS sentiment_change, " + ", ".join(f"round(100 * (avg((sentiment_label = '{x}')::INTEGER) FILTER (p = 'current') - avg((sentiment_label = '{x}')::INTEGER) FILTER (p = 'previous')), 6) AS {x}_change" for x in ("positive", "negative")) + " FROM p) SELECT *, round(-positive_change - negative_change, 6) AS neutral_change, abs(sentiment_change) >= 0.1 AS sentiment_changed FROM c")
 def _(m):
-    return metrics.sentiment_change(m.withColumn("period", PERIOD), "period")
+    return metrics.sentiment_change(m.withColumn("period", period()), "period")
 
 
 @on_mentions("a24_topic_shift", f"{M}, x AS (SELECT CASE WHEN entry_id % 400 < 30 THEN 'current' WHEN entry_id % 400 < 60 THEN 'previous' END AS p, issue_slug AS topic FROM mentions WHERE issue_slug IS NOT NULL), c AS (SELECT topic, count(*) FILTER (p = 'current') AS current_count, count(*) FILTER (p = 'previous') AS previous_count FROM x GROUP BY 1) SELECT *, CASE WHEN current_count >= 3 AND previous_count = 0 THEN 'new' ELSE 'fading' END AS shift FROM c WHERE (current_count >= 3 AND previous_count = 0) OR (previous_count >= 3 AND current_count < 0.5 * previous_count)")
 def _(m):
-    return metrics.topic_shift(m.withColumn("period", PERIOD), "period", F.array_compact(F.array("issue_slug")))
+    return metrics.topic_shift(m.withColumn("period", period()), "period", F.array_compact(F.array("issue_slug")))
 
 
 @query("j17_period_comparison", f"{M}, c AS (SELECT issue_slug AS topic, count(*) AS n FROM mentions WHERE entry_id % 400 < 30 AND issue_slug IS NOT NULL GROUP BY 1), p AS (SELECT issue_slug AS topic, count(*) AS n FROM mentions WHERE entry_id % 400 BETWEEN 30 AND 59 AND issue_slug IS NOT NULL GROUP BY 1) SELECT topic, coalesce(c.n, 0) AS current_count, coalesce(p.n, 0) AS previous_count FROM c FULL JOIN p USING (topic)")
 def _(spark, sf_dir):
-    m = t.mentions(spark, sf_dir).where("issue_slug is not null").withColumn("period", PERIOD)
+    m = t.mentions(spark, sf_dir).where("issue_slug is not null").withColumn("period", period())
     side = lambda p: m.where(F.col("period") == p).groupBy(F.col("issue_slug").alias("topic")).agg(F.count("*").alias(f"{p}_count"))
     return side("current").join(side("previous"), "topic", "full").na.fill(0)
 
