@@ -17,7 +17,7 @@ from .ngrams import WordCache, ngram_buckets, plain
 #: Training takes this many documents of each label at most, the least by hash, none longer than so many bytes.
 TRAIN_DOCS, TRAIN_BYTES = 2000, 12_000
 SIZES, BUCKETS, DIMENSIONS, RATE = (3, 4, 5), 1 << 17, 4, 0.05
-BATCH, EPOCHS, LEAST_STEPS = 32, 4, 150
+BATCH, EPOCHS, LEAST_STEPS = 32, 4, 500
 
 
 class ToxicityModel:
