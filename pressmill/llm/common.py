@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Text is taken in chunks of about this many bytes inside a task; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +31,13 @@ def scratch_path(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Writes a DataFrame to shared storage and reads it back: later steps neither recompute it nor depend on executors."""
-    path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = scratch_path(df.sparkSession), df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")  # what was shuffled for this write isn't read again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

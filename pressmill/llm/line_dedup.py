@@ -40,7 +40,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n, set1, set2 (hash of the set), parity (of the tokens in each of 64 bins) and prefix (numbers of the
+    """doc_id, line_no, n, set1, set2 (hash of the set), parity (of the tokens in each of 64 bins) and prefix (hashes of the
     rarest tokens) of each line."""
     rarity = _rarity(docs)
     hashes = F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))
@@ -52,17 +52,17 @@ def _sets(docs: DataFrame) -> DataFrame:
     second = F.expr("if(size(k) <= 60, 0L, aggregate(k, 0L, (p, x) -> p ^ if(x & 67108864L = 0L, 0L, shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))))")
     return lines.select(
         "doc_id", "line_no", n.alias("n"), F.xxhash64("k").alias("set1"), F.xxhash64(F.lit(1), "k").alias("set2"), parity.alias("parity"), second.alias("second"),
-        F.slice("k", 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"),
+        F.transform(F.slice("k", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda x: F.hash(x)).alias("prefix"),
     )
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
     """Pairs of distinct sets, each by its first place (doc, line), that the filters let through; a's place is earlier."""
-    first = sets.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "second", "prefix")).alias("f"))
-    keyed = first.where("n > 3").select(  # smaller sets are near to equal ones alone
+    first = sets.where("n > 3").groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "second", "prefix")).alias("f"))
+    keyed = written(first.select("n", "f")).select(  # smaller sets are near to equal ones alone
         F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", F.col("f.parity").alias("parity"), F.col("f.second").alias("second"), F.posexplode("f.prefix").alias("i", "token")
     )
-    keyed = keyed.select(F.hash("token").alias("token"), "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second")
+    keyed = keyed.select("token", "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second")
     x, y = keyed.alias("x"), keyed.alias("y")
     # y is the shorter set; its prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
     nx, ny, ix, iy = "(x.n_i >> 32)", "(y.n_i >> 32)", "(x.n_i & 4294967295L)", "(y.n_i & 4294967295L)"
