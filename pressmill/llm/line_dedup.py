@@ -3,8 +3,9 @@
 A line's tokens are the distinct lower-cased parts between its spaces.  Tokens are ordered by rarity: their counts over
 all texts, kept in a table of fixed size by hash, give the upper bits of a token's number and its hash the lower bits, so
 sorting numbers sorts by rarity and any two lines agree on the order.  Lines with equal sets become one set with its first
-place.  Sets meet on a token of their prefixes, pass the length and positional filters, and are confirmed by their
-Jaccard similarity.  Of similar lines the earlier, by doc_id and line number, stays.
+place.  Sets that are near to a hub, the first with the same neighbours in its prefix, need no other pair.  The others meet
+all sets on a token of their prefixes, pass the length and positional filters, and are confirmed by their Jaccard
+similarity.  Of similar lines the earlier, by doc_id and line number, stays.
 """
 
 from __future__ import annotations
@@ -56,13 +57,38 @@ def _sets(docs: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Pairs of distinct sets, each by its first place (doc, line), that the filters let through; a's place is earlier."""
+def _first(sets: DataFrame) -> DataFrame:
+    """The first place (doc, line) of each distinct set that another set can be near to; smaller ones are near to equal ones alone."""
     first = sets.where("n > 3").groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "second", "prefix")).alias("f"))
-    keyed = written(first.select("n", "f")).select(  # smaller sets are near to equal ones alone
-        F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", F.col("f.parity").alias("parity"), F.col("f.second").alias("second"), F.posexplode("f.prefix").alias("i", "token")
+    return written(first.select(F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", "f.parity", "f.second", "f.prefix"))
+
+
+def _hub_pairs(first: DataFrame) -> DataFrame:
+    """Each set's likeliest pair with a hub: the first document's set among those with the same neighbours in the prefix.
+
+    Groups of near lines resolve as stars here, so that the join of all prefixes has no pairs within them to emit.
+    """
+    values = ["line", "n", "parity", "second"]
+    neighbours = F.transform(F.slice("prefix", 1, 3), lambda x, i: F.xxhash64(x, F.get("prefix", i + 1)))
+    spots = first.select("doc", *values, F.explode(neighbours).alias("key"))
+    hubs = spots.groupBy("key").agg(F.min("doc").alias("h_doc"), *(F.min_by(c, "doc").alias(f"h_{c}") for c in values), F.count("*").alias("members"))
+    met = spots.join(hubs.where("members > 1"), "key").where(
+        "(h_doc < doc or (h_doc = doc and h_line < line)) and 5 * least(n, h_n) >= 4 * greatest(n, h_n)"
+        " and 9 * if(second = 0 or h_second = 0, bit_count(parity ^ h_parity), bit_count(second ^ h_second) + bit_count(parity ^ h_parity ^ second ^ h_second)) <= n + h_n"
+    )
+    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("h_parity")))
+    best = met.groupBy(F.col("doc").alias("doc_b"), F.col("line").alias("line_b")).agg(F.min_by("h_doc", apart).alias("doc_a"), F.min_by("h_line", apart).alias("line_a"))
+    return best.select("doc_a", "line_a", "doc_b", "line_b")
+
+
+def _candidates(first: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of distinct sets, each by its first place (doc, line), that the filters let through; a's place is earlier, and b's
+    isn't among ``near`` (doc_b, line_b), a written table."""
+    done = near.toDF("doc", "line").withColumn("done", F.lit(True))
+    keyed = join_checked(first, done, ["doc", "line"], done.count(), 16).select(
+        "doc", "line", "n", "parity", "second", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("i", "token")
     )
-    keyed = keyed.select("token", "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second")
+    keyed = keyed.select("token", "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second", "done")
     x, y = keyed.alias("x"), keyed.alias("y")
     # y is the shorter set; its prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
     nx, ny, ix, iy = "(x.n_i >> 32)", "(y.n_i >> 32)", "(x.n_i & 4294967295L)", "(y.n_i & 4294967295L)"
@@ -70,6 +96,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
         y,
         F.expr(
             f"x.token = y.token and ({ny} < {nx} or ({ny} = {nx} and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line))))"
+            f" and not if(x.doc < y.doc or (x.doc = y.doc and x.line < y.line), y.done, x.done)"
             f" and 5 * {ny} >= 4 * {nx} and {iy} <= {ny} - (8 * {ny} + 8) div 9"
             f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
             # tokens in one of the two sets alone: those with the odd bit, and the others
@@ -99,30 +126,26 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.where(9 * both >= 4 * (F.size("k_a") + F.size("k_b"))).select("doc_a", "line_a", "doc_b", "line_b")
 
 
-def _later(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, line_no of the later places of the pairs that are confirmed, with an earlier one each.
+def _later(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, line_no of the first places of sets that an earlier one is near to.
 
-    The likeliest pair of each later place is confirmed first, then four of each place that is left, then sixteen ...
+    Pairs with hubs are confirmed first.  Of the places left, the likeliest pair of each is confirmed, then all others of those still left.
     """
-    found, done, most = None, 0, 1
+    first = _first(sets)
+    found = written(_confirmed(docs, written(_hub_pairs(first))).select("doc_b", "line_b"))
     order = Window.partitionBy("doc_b", "line_b").orderBy("apart", "doc_a", "line_a")
-    ranked = written(pairs.withColumn("rank", F.row_number().over(order)))
-    longest = ranked.agg(F.max("rank")).first()[0] or 0
-    while done < max(1, longest):
-        chosen = ranked.where(f"rank > {done} and rank <= {most}").drop("apart", "rank")
-        if found is not None:
-            chosen = written(chosen.join(found, ["doc_b", "line_b"], "left_anti"))
-        new = written(_confirmed(docs, chosen).select("doc_b", "line_b").distinct())
-        found = new if found is None else found.unionByName(new)
-        done, most = most, most * 4
-    return found.toDF("doc_id", "line_no")
+    ranked = written(_candidates(first, found).withColumn("rank", F.row_number().over(order)))
+    likeliest = written(_confirmed(docs, ranked.where("rank = 1").drop("apart", "rank")).select("doc_b", "line_b"))
+    others = written(ranked.where("rank > 1").join(likeliest, ["doc_b", "line_b"], "left_anti").select("doc_a", "line_a", "doc_b", "line_b"))
+    rest = written(_confirmed(docs, others).select("doc_b", "line_b").distinct())
+    return found.unionByName(likeliest).unionByName(rest).toDF("doc_id", "line_no")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id and removed (array of line numbers, from 0) of documents with lines that an earlier line is near to."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sets = written(_sets(docs)).where("n > 0")
-    later = _later(docs, written(_candidates(sets)))
+    later = _later(docs, sets)
     slim = sets.select("doc_id", "line_no", *SET)
     near = slim.join(later, ["doc_id", "line_no"], "left_semi").select(*SET).distinct().withColumn("near", F.lit(True))
     first = slim.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
