@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,17 +99,70 @@ def near_dups_jaccard(df: DataFrame, share: tuple[int, int] = (85, 100), key: st
     return pairs.select(F.when(first, F.col("ka")).otherwise(F.col("kb")).alias("a"), F.when(first, F.col("kb")).otherwise(F.col("ka")).alias("b"), drop.alias("drop_id"), "intersection", "union")
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters of two texts, the earlier row's first."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def near_dups_seq(df: DataFrame, order: str = "entry_id", text: str = "text", threshold: float = 0.85, window: int = 1000, block: int = 1000) -> DataFrame:
+class _Bounded(SequenceMatcher):
+    def set_seq2(self, b: str):
+        super().set_seq2(b)
+        codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.places = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+
+    def reaches(self, threshold: float) -> bool:
+        """Whether a common subsequence, which the blocks form, can be that long: bit-parallel, ended once what is left can't do."""
+        n, m = len(self.b), len(self.a)
+        step, v = m // 8 + 1, (1 << n) - 1  # as many zeros below a place as the longest common subsequence up to it
+        for j in range(0, m, step):
+            for c in self.a[j : j + step]:
+                u = v & self.places.get(c, 0)
+                v = (v + u) | (v - u)
+            done = min(m, j + step)
+            v &= (1 << n) - 1
+            below = min(n, max(0, n - m + done))  # the best place to go on from: both rests are as long
+            if 2.0 * (below - (v & ((1 << below) - 1)).bit_count() + min(n - below, m - done)) / (n + m) < threshold:
+                return False
+        return True
+
+    def ratio_from(self, threshold: float) -> float:
+        """ratio() where it reaches the threshold, else some bound of it below the threshold.
+
+        Each block found tells how much the ranges beside it can still match at most; the order of ranges changes no block.
+        """
+        total = len(self.a) + len(self.b)
+        bound = min(len(self.a), len(self.b))
+        ranges = [(-bound, 0, len(self.a), 0, len(self.b))]
+        while ranges and 2.0 * bound / total >= threshold:
+            most, alo, ahi, blo, bhi = heapq.heappop(ranges)
+            i, j, k = self.find_longest_match(alo, ahi, blo, bhi)
+            bound += most + k
+            if k:
+                for beside in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                    if open_ := min(beside[1] - beside[0], beside[3] - beside[2]):
+                        bound += open_
+                        heapq.heappush(ranges, (-open_, *beside))
+        return 2.0 * bound / total if total else 1.0
+
+
+def seq_ratio(a: Column, b: Column, threshold: float) -> Column:
+    """Ratio of matching characters of two texts, the earlier row's first; below the threshold some value below it."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.ones(len(a))
+        matcher, a, b = None, a.to_numpy(), b.to_numpy()
+        for i in sorted(np.flatnonzero(a != b), key=b.__getitem__):  # a text's index serves all pairs of the batch
+            if matcher is None or matcher.b != b[i]:
+                matcher = _Bounded(None, "", b[i])
+            matcher.set_seq1(a[i])
+            out[i] = matcher.ratio_from(threshold) if matcher.reaches(threshold) else -1
+        return pd.Series(out)
+
+    return ratio(a, b)
+
+
+def near_dups_seq(df: DataFrame, order: str = "entry_id", text: str = "text", threshold: float = 0.85, window: int = 1000, block: int = 250) -> DataFrame:
     """a, b, ratio, drop_id of rows at most ``window`` - 1 apart in order whose normalised texts are alike.
 
-    Rows are numbered in order by ranges, neighbours meet in blocks of the window's size.  Before the matcher runs, lengths must
-    allow the ratio, and so must the counts of each letter; texts under ten characters must be equal.
+    Rows are numbered in order by ranges, neighbours meet in blocks of rows.  Before the matcher runs, lengths must
+    allow the ratio, and so must the counts of each letter; equal texts need no matcher, and for others it runs only if
+    their longest common subsequence allows the ratio, and ends as soon as that is out of reach.  Texts under ten characters must be equal.
     """
     letters = "etaonisrhldcumfpgwybv"
     normal = normalize_text(F.col(text))
@@ -117,12 +172,13 @@ def near_dups_seq(df: DataFrame, order: str = "entry_id", text: str = "text", th
     rows = rows.withColumn("b", F.expr(f"seq div {block}"))
     span = (window - 2) // block + 1
     right = rows.withColumn("b", F.explode(F.sequence(F.col("b") - span, F.col("b"))))
-    x, y = rows.alias("x"), right.alias("y")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as little text is much work for the matcher
+    x, y = rows.repartition(parts, "b").alias("x"), right.repartition(parts, "b").alias("y")
     near = x.join(y, F.expr(f"x.b = y.b and y.seq > x.seq and y.seq < x.seq + {window} and 2 * least(x.n, y.n) >= {threshold} * (x.n + y.n)"))
     other = F.aggregate(F.zip_with("x.c", "y.c", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     rest = F.least(F.col("x.n") - F.aggregate("x.c", F.lit(0), lambda s, v: s + v), F.col("y.n") - F.aggregate("y.c", F.lit(0), lambda s, v: s + v))
     near = near.where(2 * (other + rest) >= threshold * (F.col("x.n") + F.col("y.n")))
-    ratio = seq_ratio(F.col("x.s"), F.col("y.s"))
+    ratio = seq_ratio(F.col("x.s"), F.col("y.s"), threshold)
     short = F.least("x.n", "y.n") < 10
     near = near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.when(short, (F.col("x.s") == F.col("y.s")).cast("double")).otherwise(ratio).alias("ratio"), F.col("x.raw").alias("ra"), F.col("y.raw").alias("rb"))
     return near.where(F.col("ratio") >= threshold).select("a", "b", F.round("ratio", 6).alias("ratio"), F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("drop_id"))

@@ -252,8 +252,7 @@ def _(m):
 
 @on_mentions("j13_near_dups_seq")
 def _(m):
-    """Over titles: the matcher takes milliseconds a pair on whole texts."""
-    return dedup.near_dups_seq(m, text="title")
+    return dedup.near_dups_seq(m)
 
 
 @query("j15_corroborate", f"{M}, w AS (SELECT entry_id, {t.WORDS.format('text')} AS w FROM mentions), e AS (SELECT m.entry_id, x.entry_id AS src, m.w AS a, x.w AS b FROM w m JOIN w x ON x.entry_id IN (m.entry_id + 1, m.entry_id + 2, m.entry_id + 11)) SELECT m.entry_id, count(DISTINCT src) FILTER (len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) > 0.3) AS sources, count(DISTINCT src) FILTER (len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) > 0.3) >= 2 AS verified FROM mentions m LEFT JOIN e USING (entry_id) GROUP BY m.entry_id")

@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -34,6 +35,30 @@ def test_near_dups_seq_against_brute_force(spark):
     assert got == want and want
 
 
+def test_near_dups_seq_query_reads_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    body = "these words of the body are the same in both texts and there are enough of them to outweigh an opening " * 3
+    opening = "an opening that is longer than any title"
+    texts = ["one start\n" + body, "another beginning\n" + body, opening + "\nfirst tale of the sea", opening + "\n" + "quite other words " * 9]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [(r.a, r.b, r.drop_id) for r in entry.queries()["j13_near_dups_seq"](spark, str(tmp_path)).collect()] == [(0, 1, 0)]
+
+
+def test_bounded_matcher_has_the_ratio():
+    rng = random.Random(4)
+    alike = 0
+    for _ in range(300):
+        a = "".join(rng.choices("abcdefg ,.", [9, 9, 9, 5, 4, 3, 2, 20, 1, 0.3], k=rng.randint(10, 500)))
+        b = "".join(c for c in a if rng.random() > 0.15) + a[: rng.randint(0, 40)]
+        want, matcher = SequenceMatcher(None, a, b).ratio(), dedup._Bounded(None, a, b)
+        got = matcher.ratio_from(0.85) if matcher.reaches(0.85) else -1
+        assert got == want if want >= 0.85 else got < 0.85
+        alike += want >= 0.85
+    assert 0 < alike < 300
+
+
 def test_numbered_is_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     rows = dedup.numbered(df, "k").orderBy("k").collect()
