@@ -87,8 +87,8 @@ def issue_backlog(df: DataFrame, columns=("issue_label", "issue_slug", "ministry
     return df.where(missing)
 
 
-def location_backlog(df: DataFrame, below: float = 0.7, most: int = 10_000, order: str = "entry_id") -> DataFrame:
-    return df.where(F.col("location_label").isNull() | (F.col("location_confidence") < below)).orderBy(order).limit(most)
+def location_backlog(df: DataFrame, below: float = 0.7) -> DataFrame:
+    return df.where(F.col("location_label").isNull() | (F.col("location_confidence") < below))
 
 
 def viral_negative(df: DataFrame, platforms: Sequence[str], below: float = -0.7) -> DataFrame:

@@ -59,6 +59,11 @@ def test_bounded_matcher_has_the_ratio():
     assert 0 < alike < 300
 
 
+def test_location_backlog_is_whole(spark):
+    df = spark.range(30_000).selectExpr("id as entry_id", "if(id % 2 = 0, null, 'x') as location_label", "1.0D as location_confidence")
+    assert filters.location_backlog(df).count() == 15_000
+
+
 def test_numbered_is_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     rows = dedup.numbered(df, "k").orderBy("k").collect()
