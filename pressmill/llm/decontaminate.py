@@ -165,21 +165,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.  A document is contaminated when words are hit and
     ``share`` times their number reaches its number of words.  Null or wordless texts have no words, hits or items; an
     item without words has no window; an item without item_id is skipped; items with one text all count; an empty
-    benchmark hits nothing.  Rows are
-    independent, so repeated rows repeat their result.
+    benchmark hits nothing.  Rows are independent, so repeated rows repeat their result, in however many blocks the
+    benchmark is taken.
     """
     blocks = _blocks(benchmark)
-    found = None
+    found, more = None, None
     for b in range(blocks):
         part = benchmark.where("item_id is not null").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         items = part.select(F.col("item_id").cast("string").alias("item_id"), "text").collect()
         scanned = _scan(docs, Windows([r.item_id for r in items], [r.text for r in items], window))
-        found = scanned if found is None else found.unionByName(scanned.where("size(items) > 0"))
-    if blocks > 1:  # the blocks' hits of a document meet; a row that repeats another is reported once
-        found = found.groupBy("doc_id", "row_key").agg(
-            F.max("n_words").alias("n_words"), _merged(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+        if found is None:
+            found = scanned
+        else:
+            hit = scanned.where("size(items) > 0")
+            more = hit if more is None else more.unionByName(hit)
+    if more is not None:  # the further blocks' hits of a text meet, and join every row that the first block returned
+        more = more.groupBy(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).agg(
+            F.collect_set("hits").alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items")
         )
-        found = found.withColumn("n_hit", _covered("hits"))
+        found = found.join(more, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row_key") == F.col("_row_key")), "left")
+        hits = F.when(F.col("_hits").isNull(), F.array("hits")).otherwise(F.concat("_hits", F.array("hits")))
+        items = F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.array_union("items", "_items"))
+        found = found.withColumn("hits", _merged(hits)).withColumn("items", items).withColumn("n_hit", _covered("hits")).drop("_doc_id", "_row_key", "_hits", "_items")
     found = found.withColumn("n_items", F.size("items").cast("long"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 

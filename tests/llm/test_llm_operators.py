@@ -207,6 +207,18 @@ def test_language_mixture(spark, empty):
     assert by_id(language_id.language_mixture(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), none), "lang_pred") == {1: ("und",)}
 
 
+def test_decontamination_in_blocks_returns_each_row(spark, monkeypatch):
+    item = " ".join(f"w{j}" for j in range(20))
+    data = [(1, item), (1, item), (2, "clean"), (2, "clean"), (None, "clean"), (None, "clean"), (None, item), (None, item), (3, None), (3, item.replace("w5 ", "x ") + " " + item[:-4])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, item if i % 2 else f"{item[4:]} a{i}") for i in range(12)], "item_id long, text string")
+    plain = lambda df: sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
+    one = plain(decontaminate.contamination_digest(docs, benchmark))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    several = decontaminate.contamination_digest(docs, benchmark)
+    assert several.count() == len(data) and plain(several) == one
+
+
 def test_toxicity(spark, empty):
     import random
 
