@@ -21,8 +21,14 @@ def _with(docs: DataFrame, found: DataFrame, rows: int, row_bytes: int) -> DataF
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no learned language: those without text or letters. Learns from the same fold as the query."""
+    """Rejects documents without text or letters, in which there is no language, whether or not one was learned.
+
+    Learns from the same fold as the query.
+    """
     model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2))
+    if not model.languages:  # then all predictions are und
+        lettered = F.pandas_udf(lambda text: text.map(language_id.has_letters).astype(bool), "boolean")
+        return docs.where(F.col("doc_id").isNull() | lettered("text"))
     predicted = language_id.language_mixture(docs.where("doc_id is not null"), model)
     rejected = written(predicted.where("lang_pred = 'und'").select("doc_id").distinct().withColumn("_rejected", F.lit(True)))
     return _with(docs, rejected, rejected.count(), 16).where("_rejected is null").drop("_rejected")

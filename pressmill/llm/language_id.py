@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .ngrams import WordCache, ngram_buckets, plain
 
-#: Training takes this many documents of each language at most, the least by hash, none longer than so many bytes.
+#: Training takes this many documents of each language at most, the least by hash, and of each this many bytes at most.
 TRAIN_DOCS, TRAIN_BYTES = 400, 20_000
 BUCKETS, SMOOTHING, STEPS = 1 << 16, 0.02, 8
 #: Words of a batch that are estimated together.
@@ -37,8 +37,9 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Learns from ``docs`` (doc_id, text, lang): rows with a language and text; per language a bounded sample."""
-    usable = docs.where("lang is not null and octet_length(text) between 1 and " + str(TRAIN_BYTES))
+    """Learns from ``docs`` (doc_id, text, lang): rows with a language and text; per language a bounded sample, of a long
+    text its beginning."""
+    usable = docs.where("lang is not null and octet_length(text) > 0")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(f"n <= {train_docs}")
 
@@ -51,7 +52,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["lang", "n"])
 
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    # a character has four bytes at most
+    piece = F.when(F.octet_length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.left("text", F.lit(TRAIN_BYTES // 4)))
+    sample = usable.select("doc_id", "lang", piece.alias("text")).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     found = sample.coalesce(4).mapInArrow(counts, "lang string, n binary").collect()  # 512 kB a language and task
     languages = sorted({r.lang for r in found})
     n = np.zeros((max(1, len(languages)), BUCKETS))
@@ -121,6 +124,10 @@ def infer(scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return share, weight
 
 
+def has_letters(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and shares (language -> proportion) for each row of ``docs`` (doc_id, text).
 
@@ -150,7 +157,7 @@ def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     shares[i] = {names[x]: float(share[j, x]) for x in np.flatnonzero(share[j] > 1e-6)}
 
             for i, text in enumerate(batch.column("text").to_pylist() if names else []):
-                if text and any(map(str.isalpha, text)):
+                if has_letters(text):
                     pending.append((i, words := text.lower().split()))
                     size += len(words)
                     if size >= GROUP_WORDS:

@@ -207,6 +207,14 @@ def test_language_mixture(spark, empty):
     assert by_id(language_id.language_mixture(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), none), "lang_pred") == {1: ("und",)}
 
 
+def test_language_of_long_documents_only(spark):
+    long = "wort haus baum licht " * 3000
+    docs = spark.createDataFrame([(1, "mesa casa libro ", "es"), (2, long, "de"), (3, long + "licht", "de")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == ["de", "es"]
+    assert by_id(language_id.language_mixture(docs, model), "lang_pred") == {1: ("es",), 2: ("de",), 3: ("de",)}
+
+
 def test_decontamination_in_blocks_returns_each_row(spark, monkeypatch):
     item = " ".join(f"w{j}" for j in range(20))
     data = [(1, item), (1, item), (2, "clean"), (2, "clean"), (None, "clean"), (None, "clean"), (None, item), (None, item), (3, None), (3, item.replace("w5 ", "x ") + " " + item[:-4])]

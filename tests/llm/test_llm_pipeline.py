@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 
 DATA = "/root/testdata/sf0.001"
@@ -21,6 +23,11 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs.where("doc_id > 2"), str(tmp_path)).collect()} == {3, 4, 6}
 
 
+def test_language_without_labels_keeps_clean_documents(spark):
+    docs = spark.createDataFrame([(1, "clean words"), (2, None), (3, "12 34"), (4, "more words"), (None, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in pipeline.language(spark, docs, "").collect()} == {1, 4, None}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_run(spark):
     out = pipeline.run(spark, DATA)
