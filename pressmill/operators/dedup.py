@@ -73,12 +73,11 @@ def insert_if_absent(df: DataFrame, existing: DataFrame, key: str = "title") ->
     return df.join(existing.select(key).distinct(), key, "left_anti")
 
 
-def near_dups_jaccard(df: DataFrame, share: tuple[int, int] = (85, 100), key: str = "entry_id", text: str = "text") -> DataFrame:
-    """a, b, drop_id, intersection, union of pairs (a < b) whose word sets are more similar than share[0] / share[1].
+def _word_classes(df: DataFrame, share: tuple[int, int], key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their word set's digest, and sa, sb, intersection, union of similar word sets, each also with itself.
 
-    The shorter text goes, of equal ones the later.  An exact join: words ordered from rare to frequent, pairs meet on a
-    prefix of at least n - ceil(share * n) + 1 words, pass a length filter and are confirmed on their whole sets.  Rows with
-    equal word sets are joined as one class.
+    An exact join: words ordered from rare to frequent, sets meet on a prefix of at least n - ceil(share * n) + 1 words, pass
+    a length filter and are confirmed as a whole.
     """
     num, den = share
     sets = df.select(key, F.length(text).alias("size"), F.array_sort(words(F.col(text))).alias("w")).where("size(w) > 0").withColumn("set", F.sha2(F.array_join("w", " "), 256))
@@ -91,9 +90,37 @@ def near_dups_jaccard(df: DataFrame, share: tuple[int, int] = (85, 100), key: st
     met = x.join(y, F.expr(f"x.t = y.t and x.set <= y.set and x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num}")).select(F.col("x.set").alias("sa"), F.col("y.set").alias("sb")).distinct()
     met = met.join(classes.toDF("sa", "wa"), "sa").join(classes.toDF("sb", "wb"), "sb")
     met = met.withColumns({"intersection": F.size(F.array_intersect("wa", "wb")), "union": F.size(F.array_union("wa", "wb"))}).where(f"intersection * {den} > union * {num}")
+    return sets, met.select("sa", "sb", "intersection", "union")
+
+
+def near_dup_classes(df: DataFrame, share: tuple[int, int] = (85, 100), key: str = "entry_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What near_dups_jaccard() says, without a pair of rows: ``key``, class_id, dropped of each row with words, and a, b
+    (a < b), intersection, union of similar classes.
+
+    A class is the rows of one word set, named by its first.  A row is dropped if a row of its class or of a similar one
+    is longer, or as long and earlier.
+    """
+    sets, met = _word_classes(df, share, key, text)
+    classes = sets.groupBy("set").agg(F.min(key).alias("class_id"), F.min(F.struct((-F.col("size")).alias("size"), F.col(key).alias("key"))).alias("best"))
+    one, two = classes.toDF("sa", "ca", "best_a"), classes.toDF("sb", "cb", "best_b")
+    met = met.join(one, "sa").join(two, "sb")
+    both = met.select(F.col("sa").alias("set"), F.col("best_b").alias("best")).union(met.select(F.col("sb").alias("set"), F.col("best_a").alias("best")))
+    best = both.groupBy("set").agg(F.min("best").alias("_best"))
+    named = classes.select("set", "class_id").join(best, "set")
+    members = sets.join(named, "set").select(key, "class_id", (F.col("_best.key") != F.col(key)).alias("dropped"))
+    return members, met.where("sa != sb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "intersection", "union")
+
+
+def near_dups_jaccard(df: DataFrame, share: tuple[int, int] = (85, 100), key: str = "entry_id", text: str = "text") -> DataFrame:
+    """a, b, drop_id, intersection, union of pairs (a < b) whose word sets are more similar than share[0] / share[1].
+
+    The shorter text goes, of equal ones the later.  All pairs come out, so n rows of one word set give n (n - 1) / 2; see
+    near_dup_classes().
+    """
+    sets, met = _word_classes(df, share, key, text)
     one = sets.select(F.col("set").alias("sa"), F.col(key).alias("ka"), F.col("size").alias("la"))
     two = sets.select(F.col("set").alias("sb"), F.col(key).alias("kb"), F.col("size").alias("lb"))
-    pairs = met.select("sa", "sb", "intersection", "union").join(one, "sa").join(two, "sb").where("sa != sb or ka < kb")
+    pairs = met.join(one, "sa").join(two, "sb").where("sa != sb or ka < kb")
     first = F.col("ka") < F.col("kb")
     drop = F.when(F.col("la") < F.col("lb"), F.col("ka")).when(F.col("la") > F.col("lb"), F.col("kb")).otherwise(F.greatest("ka", "kb"))
     return pairs.select(F.when(first, F.col("ka")).otherwise(F.col("kb")).alias("a"), F.when(first, F.col("kb")).otherwise(F.col("ka")).alias("b"), drop.alias("drop_id"), "intersection", "union")

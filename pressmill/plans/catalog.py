@@ -250,6 +250,20 @@ def _(m):
     return dedup.near_dups_jaccard(m)
 
 
+CLASSES = JACCARD.replace("), p AS (", "), c AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY list_sort(w)) AS class_id FROM w WHERE len(w) > 0), p AS (", 1)
+
+
+@on_mentions("j14_near_dup_members", CLASSES.replace("    SELECT a, b, CASE", "    , d AS (SELECT a, b, CASE", 1) + ") SELECT entry_id, class_id, entry_id IN (SELECT drop_id FROM d) AS dropped FROM c")
+def _(m):
+    return dedup.near_dup_classes(m)[0]
+
+
+@on_mentions("j14_near_dup_classes", CLASSES.replace("    SELECT a, b, CASE", "    , d AS (SELECT a, b, CASE", 1) + """) SELECT a, b, intersection, "union" FROM d JOIN c x ON x.entry_id = a JOIN c y ON y.entry_id = b
+    WHERE x.class_id = a AND y.class_id = b AND x.class_id != y.class_id""")
+def _(m):
+    return dedup.near_dup_classes(m)[1]
+
+
 @on_mentions("j13_near_dups_seq")
 def _(m):
     return dedup.near_dups_seq(m)

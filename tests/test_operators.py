@@ -59,6 +59,24 @@ def test_bounded_matcher_has_the_ratio():
     assert 0 < alike < 300
 
 
+def test_near_dup_classes_pair_no_copies(spark):
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(words)] * 3000 + [" ".join(words) + " more"] * 2 + ["other text", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "entry_id long, text string")
+    members, pairs = dedup.near_dup_classes(df)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 3000, 20, 21)]
+    assert {r.entry_id: (r.class_id, r.dropped) for r in members.collect()} == {**{i: (0, True) for i in range(3000)}, 3000: (3000, False), 3001: (3000, True), 3002: (3002, False)}
+
+
+def test_near_dup_classes_drop_what_pairs_drop(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(24)]
+    texts = [" ".join(rng.sample(base, 24 - rng.randint(0, 3))) + " " * rng.randint(0, 3) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "entry_id long, text string")
+    gone = {r.drop_id for r in dedup.near_dups_jaccard(df).collect()}
+    assert gone and gone == {r.entry_id for r in dedup.near_dup_classes(df)[0].where("dropped").collect()}
+
+
 def test_location_backlog_is_whole(spark):
     df = spark.range(30_000).selectExpr("id as entry_id", "if(id % 2 = 0, null, 'x') as location_label", "1.0D as location_confidence")
     assert filters.location_backlog(df).count() == 15_000
