@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import WordCache, ngram_buckets, plain
@@ -94,12 +94,18 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel:
     return ToxicityModel((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
-    """Learns ``labels.toxic`` (0 or 1) of ``docs`` (doc_id, text) from a bounded sample of each label."""
+def _chosen(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
+    """doc_id, toxic of the documents to learn from: of each label the least by hash, to which every task prunes first."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sized = docs.where(f"octet_length(text) between 1 and {TRAIN_BYTES}").select("doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.join(sized, "doc_id", "left_semi").withColumn("n", F.row_number().over(order)).where(f"n <= {train_docs}").drop("n")
+    usable = known.join(sized, "doc_id", "left_semi")
+    clean, toxic = (usable.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for y in (0, 1))
+    return clean.union(toxic)
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
+    """Learns ``labels.toxic`` (0 or 1) of ``docs`` (doc_id, text) from a bounded sample of each label."""
+    chosen = _chosen(docs, labels, train_docs)
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic").toPandas()
     return fit(list(sample.text), [int(x) for x in sample.toxic])
 

@@ -227,6 +227,17 @@ def test_decontamination_in_blocks_returns_each_row(spark, monkeypatch):
     assert several.count() == len(data) and plain(several) == one
 
 
+def test_toxicity_sample_is_pruned_in_each_task(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "'some text' as text")
+    labels = spark.range(500).selectExpr("id as doc_id", "int(id % 3 = 0) as toxic")
+    chosen = toxicity._chosen(docs, labels, 20)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan
+    hashed = sorted((r.h, r.doc_id) for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").collect())
+    want = {(i, int(i % 3 == 0)) for y in (0, 1) for i in [i for _, i in hashed if (i % 3 == 0) == y][:20]}
+    assert sorted(map(tuple, chosen.collect())) == sorted(want)
+
+
 def test_toxicity(spark, empty):
     import random
 
