@@ -16,21 +16,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_SIZE, CACHE_KEY_CHARS = 800_000, 64
+from .common import released
+
+#: A worker's cache: pre-tokens that it holds, and the characters of the longest. With their ids that is some 40 MB.
+CACHE_SIZE, CACHE_KEY_CHARS = 160_000, 48
 
 
 class PerfectHash:
     """Minimal perfect hash by hash and displace: a bucket's displacement is the first that puts its keys on free slots."""
 
-    def __init__(self, keys: list[bytes]):
+    def __init__(self, keys: list[bytes], values: list[int]):
         import xxhash
 
         self._hash = xxhash.xxh3_64_intdigest
         n = self.n = len(keys)
         self.buckets = max(1, n // 3)
         self.slots: list[bytes | None] = [None] * n
-        self.values = np.zeros(n, np.int64)
-        self.shift = np.zeros(self.buckets, np.int64)
+        self.values = [0] * n
+        self.shift = [0] * self.buckets
         groups: dict[int, list[int]] = {}
         hashes = [self._hash(k) for k in keys]
         for i, h in enumerate(hashes):
@@ -48,21 +51,21 @@ class PerfectHash:
             self.shift[bucket] = d
             for i in members:
                 s = self._slot(hashes[i], d)
-                free[s], self.slots[s], self.values[s] = 0, keys[i], i
+                free[s], self.slots[s], self.values[s] = 0, keys[i], values[i]
         left = (s for s in range(n) if free[s])
         for (bucket, (i,)), s in zip(singles, left, strict=False):  # a bucket of one key names its slot outright
             self.shift[bucket] = -1 - s
-            self.slots[s], self.values[s] = keys[i], i
+            self.slots[s], self.values[s] = keys[i], values[i]
 
     def _slot(self, h: int, d: int) -> int:
         return ((h >> 20) + d * ((h >> 7) | 1) + d * d) % self.n
 
-    def get(self, key: bytes) -> int:
-        """The key's place in the list given, or -1."""
+    def get(self, key: bytes) -> int | None:
+        """The key's value, if it is one of the keys."""
         h = self._hash(key)
-        d = int(self.shift[h % self.buckets])
+        d = self.shift[h % self.buckets]
         s = -1 - d if d < 0 else self._slot(h, d)
-        return int(self.values[s]) if self.slots[s] == key else -1
+        return self.values[s] if self.slots[s] == key else None
 
 
 def merge(piece: bytes, rank_of) -> list[int]:
@@ -105,16 +108,14 @@ class Codec(dict):
 
         pairs = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, open(file, "rb")))
         keys = [k for _, k in pairs]
-        self.ranks = [r for r, _ in pairs]
-        self.hash = PerfectHash(keys)
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.bytes_of = dict(pairs)
-        self.pair_rank = {k: r for r, k in pairs}.get
+        self.hash = PerfectHash(keys, [r for r, _ in pairs])
+        self.find = regex.compile(public_tokenizers.PATTERN).finditer
+        self.bytes_of = dict(pairs)  # the same bytes as the table's, not copies
 
     def __missing__(self, part: str) -> bytes:
         raw = part.encode()
         i = self.hash.get(raw)
-        ids = array("I", [self.ranks[i]] if i >= 0 else merge(raw, self.pair_rank)).tobytes()
+        ids = array("I", [i] if i is not None else merge(raw, self.hash.get)).tobytes()
         if len(part) <= CACHE_KEY_CHARS:
             if len(self) >= CACHE_SIZE:
                 self.clear()
@@ -122,7 +123,7 @@ class Codec(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+        return b"".join([self[m[0]] for m in self.find(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -150,10 +151,10 @@ def bpe_encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFra
     def encode(batches):
         c = codec(ranks)
         for batch in batches:
-            ids = [c.encode(x) if x else b"" for x in batch.column("text").to_pylist()]
+            ids = [c.encode(x) if (x := text.as_py()) else b"" for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(encode), f"doc_id {kind}, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -163,10 +164,10 @@ def bpe_decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> Data
     def decode(batches):
         c = codec(ranks)
         for batch in batches:
-            raw = [c.decode(x) if x else b"" for x in batch.column("ids").to_pylist()]
+            raw = [c.decode(x) if (x := ids.as_py()) else b"" for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(released(decode), f"doc_id {kind}, decoded binary")
 
 
 def bpe_round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -177,11 +178,11 @@ def bpe_round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> Dat
         c = codec(ranks)
         for batch in batches:
             n, one, two = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text or "")
+            for text in batch.column("text"):
+                ids = c.encode(text.as_py() or "")
                 n.append(len(ids) // 4)
                 one.append(hashlib.sha256(ids).hexdigest())
                 two.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(both), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text is taken in chunks of about this many bytes inside a task; a longer document is a chunk of its own.
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path under the cluster's shared checkpoint folder; a temporary folder only where none is configured."""
+    """A new path under the cluster's shared checkpoint folder; a temporary folder only in a local session without one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("pressmill.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("pressmill.scratch", base)
     return f"{base.rstrip('/')}/pressmill-{uuid.uuid4().hex}"
@@ -41,6 +45,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,24 +127,6 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    key = int(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 4 * CHUNK_BYTES:
-            _powers[key] = have
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     h = h ^ (h >> np.uint64(32))
@@ -142,23 +136,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def slice_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which slice_hash takes the hash of any slice of values."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * _power(_P, len(values)), out=out[1:])
-    return out
-
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes, as two columns, of the bytes between starts and ends."""
+    import xxhash
 
-def slice_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices; equal slices have equal hashes wherever they stand."""
-    inverse = _power(_P_INV, len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    digest, view = xxhash.xxh3_128_digest, memoryview(data.view(np.uint8))
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: of up to eight bytes a one-to-one mix of the bytes for each length, of more xxh3."""
+    import xxhash
+
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    return slice_hash(slice_sums(buf.astype(np.uint64) + np.uint64(1)), starts, ends)
+    size = ends - starts
+    eight = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    blank = (8 - np.minimum(size, 8)).astype(np.uint64) * np.uint64(8)
+    out = mix(((eight[starts] << blank) >> blank) ^ mix(size.astype(np.uint64)))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        digest, view = xxhash.xxh3_64_intdigest, memoryview(np.ascontiguousarray(buf))
+        out[long] = np.fromiter((digest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -172,5 +172,34 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def released(work):
+    """A task's work on batches that, at its end, gives freed memory back to the system, as workers outlive their tasks."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
+def least_by_hash(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """Of each value of ``group`` the rows (doc_id, group) with the least hashes of doc_id, ``limit`` of them at most.
+
+    Counts come first, so that only rows below each value's threshold, somewhat more than the limit, are ranked.
+    """
+    size = rows.groupBy(group).agg(F.count("*").alias("size"))
+    share = F.lit(limit + 8 * limit**0.5 + 16) / F.col("size")
+    position = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    below = rows.join(F.broadcast(size), group).where(position < share).select("doc_id", group)
+    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return below.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
+
+
 def crc_mod(column: str, mod: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_by_hash, released
 from .ngrams import WordCache, ngram_buckets, plain
 
 #: Training takes this many documents of each language at most, the least by hash, and of each this many bytes at most.
 TRAIN_DOCS, TRAIN_BYTES = 400, 20_000
 BUCKETS, SMOOTHING, STEPS = 1 << 16, 0.02, 8
 #: Words of a batch that are estimated together.
-GROUP_WORDS = 200_000
+GROUP_WORDS = 100_000
 
 
 class LanguageModel:
@@ -40,8 +41,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Learns from ``docs`` (doc_id, text, lang): rows with a language and text; per language a bounded sample, of a long
     text its beginning."""
     usable = docs.where("lang is not null and octet_length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(f"n <= {train_docs}")
+    chosen = least_by_hash(usable.select("doc_id", "lang"), "lang", train_docs)
 
     def counts(batches):
         total: dict[str, np.ndarray] = {}
@@ -54,8 +54,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
 
     # a character has four bytes at most
     piece = F.when(F.octet_length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.left("text", F.lit(TRAIN_BYTES // 4)))
-    sample = usable.select("doc_id", "lang", piece.alias("text")).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    found = sample.coalesce(4).mapInArrow(counts, "lang string, n binary").collect()  # 512 kB a language and task
+    sample = usable.select("doc_id", "lang", piece.alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
+    # the sample alone moves; rows that repeat a doc_id are one
+    found = sample.groupBy("doc_id", "lang").agg(F.max("text").alias("text")).coalesce(4).mapInArrow(counts, "lang string, n binary").collect()  # 512 kB a language and task
     languages = sorted({r.lang for r in found})
     n = np.zeros((max(1, len(languages)), BUCKETS))
     for r in found:
@@ -131,7 +132,7 @@ def has_letters(text: str | None) -> bool:
 def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and shares (language -> proportion) for each row of ``docs`` (doc_id, text).
 
-    lang_pred has the largest share; score is that share, times its posterior against the other languages alone.  A text
+    lang_pred has the largest share, of equal ones the first by name; score is that share, times its posterior against the other languages alone.  A text
     that is null or has no letter is ``und`` with score 0, as is every text when no language was learned.  Rows are
     independent: repeated rows repeat their result.
     """
@@ -156,7 +157,7 @@ def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     pred[i], score[i] = names[k], float(min(1.0, share[j, k] * weight[j]))
                     shares[i] = {names[x]: float(share[j, x]) for x in np.flatnonzero(share[j] > 1e-6)}
 
-            for i, text in enumerate(batch.column("text").to_pylist() if names else []):
+            for i, text in enumerate((x.as_py() for x in batch.column("text")) if names else []):
                 if has_letters(text):
                     pending.append((i, words := text.lower().split()))
                     size += len(words)
@@ -168,4 +169,4 @@ def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(pred), pa.array(score), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "shares"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    return docs.select("doc_id", "text").mapInArrow(released(predict), f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")

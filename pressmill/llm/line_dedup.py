@@ -154,6 +154,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return written(removed.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("removed")))
 
 
+def lines_left(text: Column, removed: Column) -> Column:
+    """The lines of a text without those of the given numbers."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, removed (array of line numbers, from 0) and kept (the other lines, joined by line feeds).
 
@@ -166,8 +173,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     total = found.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("lines")).first()
     rows = join_checked(docs.select("doc_id", "text"), found, ["doc_id"], 4 * total.n + (total.lines or 0), 8)
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(lines_left(F.col("text"), F.col("removed")))
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), kept.alias("kept"))
 
 

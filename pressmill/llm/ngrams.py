@@ -35,7 +35,7 @@ def plain(word: str) -> str:
 class WordCache(dict):
     """Word -> row of a table of model values; both start afresh when they hold ``size`` words."""
 
-    def __init__(self, values_of, width: int, size: int = 400_000):
+    def __init__(self, values_of, width: int, size: int = 200_000):
         super().__init__()
         self.values_of, self.size = values_of, size
         self.table = np.zeros((1024, width))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, rolling, shuffle_partitions, slice_hash, slice_sums, word_bounds, word_hashes, written
+from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, rolling, shuffle_partitions, slice_hashes, word_bounds, word_hashes, written
 
 #: Text that a task gathers before it packs blocks, text whose segments share a bucket, and parts that a bucket is solved in.
 FLUSH_BYTES, BUCKET_BYTES, PARTS = 12 << 20, 6 << 20, 8
@@ -70,7 +70,7 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 @dataclass
 class Segments:
     """doc, key: whose it is; start, count: its first symbol in the document, and its symbols; least: its windows' least
-    run hash; same: hash of its content; first, last: its bytes in data."""
+    run hash; same: 128-bit hash of its content; first, last: its bytes in data."""
 
     doc: np.ndarray
     key: np.ndarray
@@ -93,7 +93,7 @@ def cut(symbols: Symbols, window: int, buf: np.ndarray, offsets: np.ndarray, doc
     n_windows = len(values) - window + 1
     if n_windows <= 0:
         none = np.zeros(0, np.int64)
-        return Segments(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none, buf)
+        return Segments(none, none, none, none, none.astype(np.uint64), np.zeros((0, 2), np.uint64), none, none, buf)
     least = sliding_min(h, window - symbols.run + 1)[:n_windows]
     edge = np.zeros(n_windows + 1, np.int8)  # of stretches of windows inside one text
     inside = np.flatnonzero(np.diff(first) >= window)
@@ -110,7 +110,7 @@ def cut(symbols: Symbols, window: int, buf: np.ndarray, offsets: np.ndarray, doc
     stop[-1] = True
     count = np.flatnonzero(stop & valid) - begin + window
     text = np.searchsorted(first, begin, "right") - 1
-    same = slice_hash(slice_sums(values.astype(np.uint64) + np.uint64(1)), begin, begin + count)
+    same = slice_hashes(values, begin * values.itemsize, (begin + count) * values.itemsize)
     return Segments(doc[text], key[text], begin - first[text], count, least[begin], same, starts[begin], ends[begin + count - 1], buf)
 
 
@@ -118,8 +118,10 @@ def collapse(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each segment by content, the smallest document of its class, and whether a smaller document has it."""
     if not len(s.doc):
         return np.zeros(0, np.int64), s.doc, np.zeros(0, bool)
-    content = s.same ^ (s.least * np.uint64(0x9E3779B97F4A7C15)) ^ (s.count.astype(np.uint64) << np.uint64(40))
-    _, of = np.unique(content, return_inverse=True)
+    _, first, of = np.unique(s.same[:, 0], return_index=True, return_inverse=True)
+    if (s.same[:, 1] != s.same[first[of], 1]).any():  # two contents with one half of their hashes
+        _, of = np.unique(s.same, axis=0, return_inverse=True)
+        of = of.ravel()
     least = np.full(of.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, of, s.doc)
     return of, least[of], s.doc > least[of]
@@ -164,10 +166,10 @@ def unpack(symbols: Symbols, blocks: list[bytes], part: int) -> tuple[Segments,
     offsets = np.concatenate([[0], np.cumsum(size)])
     values, h, first, _, _ = symbols.parse(data, offsets)
     first = np.asarray(first, np.int64)
-    same = slice_hash(slice_sums(values.astype(np.uint64) + np.uint64(1)), first[:-1], first[1:])
+    same = slice_hashes(values, first[:-1] * values.itemsize, first[1:] * values.itemsize)
     # every run of a segment lies in one of its windows, so the least hash of its windows is the least of its runs
     bounds = np.stack([first[:-1], first[1:] - symbols.run + 1], 1).ravel()
-    least = np.minimum.reduceat(np.concatenate([h, np.full(symbols.run + 1, np.iinfo(np.uint64).max, np.uint64)]), bounds)[::2] if len(doc) else same
+    least = np.minimum.reduceat(np.concatenate([h, np.full(symbols.run + 1, np.iinfo(np.uint64).max, np.uint64)]), bounds)[::2] if len(doc) else np.zeros(0, np.uint64)
     segments = Segments(doc, key, start, count, least, same, offsets[:-1], offsets[1:], data)
     segments.values, segments.value_at = values, first[:-1]
     return segments, np.concatenate(repeats, 1)

@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents read to fill tier one, its entries, and entries of a worker's cache. They bear on speed alone.
-TIER_ONE_DOCS, TIER_ONE_SIZE, CACHE_SIZE = 2048, 32768, 400_000
+from .common import released
+
+#: Tier one comes from the first scan tasks: documents read in each, parts that it reports, reports read in all; and tier
+#: one's entries, and entries of a worker's cache. They bear on speed alone.
+TASK_DOCS, TASK_PARTS, REPORTS = 1000, 8192, 65536
+TIER_ONE_SIZE, CACHE_SIZE = 32768, 250_000
 #: Parts longer than this are encoded each time and not kept.
 CACHE_KEY_CHARS = 64
 
@@ -68,16 +72,26 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     spark = docs.sparkSession
 
     def frequent(batches):
-        seen = Counter()
+        seen, docs = Counter(), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(x for x in parts(text or "") if len(x) <= CACHE_KEY_CHARS)
+            for text in batch.column("text"):
+                seen.update(x for x in parts(text.as_py() or "") if len(x) <= CACHE_KEY_CHARS)
+                docs += 1
+                if docs == TASK_DOCS:
+                    break
+            if docs == TASK_DOCS:
+                break
         lengths = _Lengths(_tokenizer_file(model), {})
-        top = [x for x, _ in seen.most_common(TIER_ONE_SIZE)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([lengths[x] for x in top], pa.int64())], ["part", "n"])
+        top = seen.most_common(TASK_PARTS)
+        columns = [pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array([lengths[x] for x, _ in top], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "seen", "n"])
 
-    seed = docs.select("text").limit(TIER_ONE_DOCS).coalesce(1).mapInArrow(frequent, "part string, n long").limit(TIER_ONE_SIZE)
-    tier_one = spark.sparkContext.broadcast({r.part: r.n for r in seed.collect()})
+    # a limit that is collected runs the first tasks alone, until they have reported enough
+    reports = docs.select("text").mapInArrow(frequent, "part string, seen long, n long").limit(REPORTS).collect()
+    seen, length = Counter(), {r.part: r.n for r in reports}
+    for r in reports:
+        seen[r.part] += r.seen
+    tier_one = spark.sparkContext.broadcast({x: length[x] for x, _ in seen.most_common(TIER_ONE_SIZE)})
 
     def count(batches):
         lengths = _Lengths(_tokenizer_file(model), tier_one.value)
@@ -88,5 +102,5 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = docs.select("doc_id", "text").mapInArrow(released(count), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

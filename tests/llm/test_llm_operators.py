@@ -50,9 +50,9 @@ def test_bpe_round_trip(docs, rows, empty):
 
 def test_perfect_hash_is_minimal():
     keys = [str(i * i).encode() for i in range(2000)]
-    table = bpe.PerfectHash(keys)
+    table = bpe.PerfectHash(keys, list(range(2000)))
     assert [table.get(k) for k in keys] == list(range(2000)) and None not in table.slots
-    assert table.get(b"absent") == -1
+    assert table.get(b"absent") is None
 
 
 def removed(seqs, window):
