@@ -11,13 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from pressmill.llm.common import crc_mod, table, written
+from pressmill.llm.common import crc_mod, table, unused, written
 
 
-def _with(docs: DataFrame, found: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """docs with the columns of found (doc_id and others that docs lacks), null where it has none."""
-    hint = "broadcast" if rows * row_bytes <= 32 << 20 else "shuffle_hash"
-    return docs.join(found.withColumnRenamed("doc_id", "_doc_id").hint(hint), F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id")
+def _joined(docs: DataFrame, found: DataFrame, bytes_: int) -> DataFrame:
+    """docs with the column of found (doc_id and one that docs lacks), null where it has none; broadcast up to 32 MB."""
+    key = unused(docs, "doc_id_found")
+    hint = "broadcast" if bytes_ <= 32 << 20 else "shuffle_hash"
+    return docs.join(found.withColumnRenamed("doc_id", key).hint(hint), F.col("doc_id") == F.col(key), "left").drop(key)
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the rows with a doc_id of rejected; rows without doc_id stay."""
+    mark = unused(docs, "rejected")
+    rejected = written(rejected.select("doc_id").distinct().withColumn(mark, F.lit(True)))
+    return _joined(docs, rejected, 16 * rejected.count()).where(F.col(mark).isNull()).drop(mark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,40 +38,43 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         lettered = F.pandas_udf(lambda text: text.map(language_id.has_letters).astype(bool), "boolean")
         return docs.where(F.col("doc_id").isNull() | lettered("text"))
     predicted = language_id.language_mixture(docs.where("doc_id is not null"), model)
-    rejected = written(predicted.where("lang_pred = 'und'").select("doc_id").distinct().withColumn("_rejected", F.lit(True)))
-    return _with(docs, rejected, rejected.count(), 16).where("_rejected is null").drop("_rejected")
+    return _without(docs, predicted.where("lang_pred = 'und'"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines near to earlier ones; a document that loses all its lines goes."""
+    """Removes lines near to earlier ones; a document that loses all its lines goes.
+
+    Null and empty texts stay; rows that repeat a doc_id count as one document; a row without doc_id stays as it is.
+    """
     found = line_dedup.repeated_lines(docs)
     size = found.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("lines")).first()
-    joined = _with(docs, found.withColumnRenamed("removed", "_removed"), 4 * size.n + (size.lines or 0), 8)
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed"))
-    kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    out = joined.withColumn("text", kept).where("_removed is null or trim(text) != ''")
+    gone = unused(docs, "removed")
+    joined = _joined(docs, found.withColumnRenamed("removed", gone), 8 * (4 * size.n + (size.lines or 0)))
+    untouched = F.col(gone).isNull()
+    out = joined.withColumn("text", F.when(untouched, F.col("text")).otherwise(line_dedup.lines_left(F.col("text"), F.col(gone)))).where(untouched | (F.trim("text") != ""))
     if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop(gone)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs, shingle=5)
-    dropped = written(found.where("not kept").select("doc_id").distinct().withColumn("_dropped", F.lit(True)))
-    return _with(docs, dropped, dropped.count(), 16).where("_dropped is null").drop("_dropped")
+    """Keeps of each component of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id.
+
+    Null and wordless texts, and rows without doc_id, stay; rows that repeat a doc_id stay or go together.
+    """
+    return _without(docs, near_dedup.near_duplicates(docs, shingle=5).where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the benchmark contaminates."""
-    found = decontaminate.contamination(docs.where("doc_id is not null"), table(spark, sf_dir, "benchmark"))
-    dropped = written(found.where("contaminated").select("doc_id").distinct().withColumn("_dropped", F.lit(True)))
-    return _with(docs, dropped, dropped.count(), 16).where("_dropped is null").drop("_dropped")
+    """Drops documents that the benchmark contaminates; null and wordless texts, and rows without doc_id, stay.
+
+    Of rows that repeat a doc_id all go if one is contaminated.
+    """
+    return _without(docs, decontaminate.contamination(docs.where("doc_id is not null"), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row left; null and empty texts have no tokens."""
     return bpe.bpe_round_trip(docs)
 
 
