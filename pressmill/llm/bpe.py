@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from .common import released
 
-#: A worker's cache: pre-tokens that it holds, and the characters of the longest. With their ids that is some 40 MB.
-CACHE_SIZE, CACHE_KEY_CHARS = 160_000, 48
+#: A worker's cache: pre-tokens that it holds, and the characters of the longest. With their ids that is some 80 MB.
+CACHE_SIZE, CACHE_KEY_CHARS = 400_000, 48
 
 
 class PerfectHash:
@@ -109,13 +109,14 @@ class Codec(dict):
         pairs = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, open(file, "rb")))
         keys = [k for _, k in pairs]
         self.hash = PerfectHash(keys, [r for r, _ in pairs])
-        self.find = regex.compile(public_tokenizers.PATTERN).finditer
-        self.bytes_of = dict(pairs)  # the same bytes as the table's, not copies
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.bytes_of = dict(pairs)  # these hold the table's bytes, not copies
+        self.rank_of = {k: r for r, k in pairs}.get
 
     def __missing__(self, part: str) -> bytes:
         raw = part.encode()
         i = self.hash.get(raw)
-        ids = array("I", [i] if i is not None else merge(raw, self.hash.get)).tobytes()
+        ids = array("I", [i] if i is not None else merge(raw, self.rank_of)).tobytes()
         if len(part) <= CACHE_KEY_CHARS:
             if len(self) >= CACHE_SIZE:
                 self.clear()
@@ -123,7 +124,7 @@ class Codec(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[m[0]] for m in self.find(text)])
+        return b"".join(map(self.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
