@@ -189,7 +189,7 @@ def released(work):
 
 
 def least_by_hash(rows: DataFrame, group: str, limit: int) -> DataFrame:
-    """Of each value of ``group`` the rows (doc_id, group) with the least hashes of doc_id, ``limit`` of them at most.
+    """Of each value of ``group`` the rows (doc_id, group) with the least (unsigned) hashes of doc_id, ``limit`` of them at most.
 
     Counts come first, so that only rows below each value's threshold, somewhat more than the limit, are ranked.
     """
@@ -197,7 +197,7 @@ def least_by_hash(rows: DataFrame, group: str, limit: int) -> DataFrame:
     share = F.lit(limit + 8 * limit**0.5 + 16) / F.col("size")
     position = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
     below = rows.join(F.broadcast(size), group).where(position < share).select("doc_id", group)
-    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy(group).orderBy(position, "doc_id")
     return below.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
 
 

@@ -1,7 +1,7 @@
 """Toxicity by bags of subwords: embeddings of character n-grams, averaged, under a linear softmax, trained jointly.
 
 A word is the mean of the vectors of its hashed n-grams, a document the mean of its words.  The vectors and the softmax
-are trained together in numpy with Adam on a bounded sample, so a misspelling shares the n-grams of what it misspells.
+are trained together in numpy, by Adam, on a bounded sample, so a misspelling shares the n-grams of what it misspells.
 Scoring is one pass over the documents; a worker keeps each word's share of the margin.
 """
 
@@ -12,12 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_by_hash, released
 from .ngrams import WordCache, ngram_buckets, plain
 
 #: Training takes this many documents of each label at most, the least by hash, none longer than so many bytes.
 TRAIN_DOCS, TRAIN_BYTES = 2000, 12_000
-SIZES, BUCKETS, DIMENSIONS, RATE = (3, 4, 5), 1 << 17, 4, 0.05
-BATCH, EPOCHS, LEAST_STEPS = 32, 4, 500
+SIZES, BUCKETS, DIMENSIONS = (3, 4, 5), 1 << 17, 4
+#: Steps of Adam, their documents, and their rate.
+STEPS, BATCH, RATE = 500, 128, 0.02
+#: A bucket gets a vector if so many training documents hold it; its share counts against the root of its sum of squares
+#: over them, with so much of a frequent bucket's sum added, so that rare buckets don't learn single documents by heart.
+LEAST_DOCS, FLOOR = 4, 0.005
 
 
 class ToxicityModel:
@@ -32,15 +37,39 @@ class ToxicityModel:
         return (total / np.maximum(n, 1))[:, None]
 
 
-def _rows_of(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of some rows of a ragged table whose rows start at first, and to which key each belongs."""
-    n = first[keys + 1] - first[keys]
-    owner = np.repeat(np.arange(len(keys)), n)
-    return np.repeat(first[keys] - np.cumsum(n) + n, n) + np.arange(n.sum()), owner
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, share) of the texts' buckets: the mean over a text's words of the mean over a word's n-grams."""
+    vocabulary: dict[str, int] = {}
+    docs, words, shares = [], [], []
+    for i, text in enumerate(texts):
+        own = text.lower().split()
+        ids, n = np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int64, len(own)), return_counts=True)
+        docs.append(np.full(len(ids), i))
+        words.append(ids)
+        shares.append(n / max(1, len(own)))
+    doc, word, share = map(np.concatenate, (docs, words, shares))
+    gram, owner = ngram_buckets([plain(w) for w in vocabulary], SIZES, BUCKETS)
+    gram = gram[np.argsort(owner, kind="stable")]
+    size = np.bincount(owner, minlength=len(vocabulary))
+    first = np.cumsum(size) - size
+    times = size[word]
+    at = np.repeat(first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    key, inverse = np.unique(np.repeat(doc, times) * BUCKETS + gram[at], return_inverse=True)
+    return key // BUCKETS, key % BUCKETS, np.bincount(inverse, np.repeat(share / np.maximum(size[word], 1), times))
+
 
+def gradients(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, bag: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, class_weight: np.ndarray):
+    """Gradients of the weighted cross-entropy of a batch: for the vectors, the softmax's weights and its bias.
 
-def _sums(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(owner, values[:, k], size) for k in range(values.shape[1])], 1)
+    bag has (document of the batch, row of vectors, value) of each entry.
+    """
+    doc, row, value = bag
+    mean = np.stack([np.bincount(doc, value * vectors[row, k], len(y)) for k in range(vectors.shape[1])], 1)
+    z = mean @ weights + bias
+    z = np.exp(z - z.max(1, keepdims=True))
+    error = (z / z.sum(1, keepdims=True) - np.eye(2)[y]) * class_weight[y][:, None] / len(y)
+    back = error @ weights.T
+    return np.stack([np.bincount(row, value * back[doc, k], len(vectors)) for k in range(vectors.shape[1])], 1), mean.T @ error, error.sum(0)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel:
@@ -48,65 +77,53 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel:
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 4.0 if labels and labels[0] else -4.0)
-    vocabulary: dict[str, int] = {}
-    bags = []
-    for text in texts:
-        words = text.lower().split()
-        ids, n = np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)), return_counts=True)
-        bags.append((ids, n / max(1, len(words))))
-    doc_first = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in bags])])
-    doc_word, doc_share = np.concatenate([x for x, _ in bags]), np.concatenate([x for _, x in bags])
-    gram, owner = ngram_buckets([plain(w) for w in vocabulary], SIZES, BUCKETS)
-    gram = gram[np.argsort(owner, kind="stable")]
-    per_word = np.bincount(owner, minlength=len(vocabulary))
-    word_first = np.concatenate([[0], np.cumsum(per_word)])
+    doc, gram, value = _bags(texts)
+    spread = np.bincount(gram, value * value, BUCKETS)
+    docs = np.bincount(gram, minlength=BUCKETS)
+    known = np.flatnonzero(docs >= min(LEAST_DOCS, len(y)))
+    row = np.full(BUCKETS, -1)
+    row[known] = np.arange(len(known))
+    scale = np.sqrt(spread[known] + FLOOR * np.percentile(spread[docs > 0], 99)) if len(known) else np.ones(0)
+    has = row[gram] >= 0
+    doc, gram, value = doc[has], row[gram[has]], value[has]
+    value = value / scale[gram]
+    first = np.searchsorted(doc, np.arange(len(y) + 1))
 
     rng = np.random.default_rng(seed)
-    parameters = [rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+    parameters = [rng.normal(0, 0.001, (len(known), DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)]
+    speeds = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
     class_weight = len(y) / (2 * np.bincount(y, minlength=2))
-    steps_an_epoch = -(-len(y) // BATCH)
-    step, steps = 0, max(EPOCHS * steps_an_epoch, LEAST_STEPS)
-    while step < steps:
-        order = rng.permutation(len(y))
-        for i in range(0, len(y), BATCH):
-            step += 1
-            vectors, weights, bias = parameters
-            batch = order[i : i + BATCH]
-            pair, doc = _rows_of(doc_first, batch)
-            words, at = np.unique(doc_word[pair], return_inverse=True)
-            entry, word = _rows_of(word_first, words)
-            share = doc_share[pair][:, None]
-            size = np.maximum(per_word[words], 1)[:, None]
-            bag = _sums(word, vectors[gram[entry]], len(words)) / size
-            mean = _sums(doc, bag[at] * share, len(batch))
-            z = mean @ weights + bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            error = (z / z.sum(1, keepdims=True) - np.eye(2)[y[batch]]) * class_weight[y[batch]][:, None] / len(batch)
-            d_bag = _sums(at, (error @ weights.T)[doc] * share, len(words)) / size
-            gradients = (_sums(gram[entry], d_bag[word], BUCKETS), mean.T @ error, error.sum(0))
-            rate = RATE * (1 - step / (steps + 1))
-            for p, g, (m, v) in zip(parameters, gradients, moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < min(BATCH, len(y)):
+            order = np.append(order, rng.permutation(len(y)))
+        batch, order = order[:BATCH], order[BATCH:]
+        n = first[batch + 1] - first[batch]
+        at = np.repeat(first[batch] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = gradients(*parameters, (np.repeat(np.arange(len(batch)), n), gram[at], value[at]), y[batch], class_weight)
+        rate = RATE * (1 - step / STEPS)
+        for i, (p, g, (m, v)) in enumerate(zip(parameters, found, speeds, strict=True)):
+            m += 0.1 * (g - m)
+            v += 0.001 * ((g * g if i else (g * g).mean()) - v)  # all vectors share one, so that rare ones don't move as far as frequent ones
+            p -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.999 ** (step + 1))) + 1e-8)
     vectors, weights, bias = parameters
-    return ToxicityModel((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    margins = np.zeros(BUCKETS, np.float32)
+    margins[known] = vectors @ (weights[:, 1] - weights[:, 0]) / scale
+    return ToxicityModel(margins, float(bias[1] - bias[0]))
 
 
 def _chosen(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
-    """doc_id, toxic of the documents to learn from: of each label the least by hash, to which every task prunes first."""
+    """doc_id, toxic of the documents to learn from: of each label the least by hash."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sized = docs.where(f"octet_length(text) between 1 and {TRAIN_BYTES}").select("doc_id")
-    usable = known.join(sized, "doc_id", "left_semi")
-    clean, toxic = (usable.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for y in (0, 1))
-    return clean.union(toxic)
+    return least_by_hash(known.join(sized, "doc_id", "left_semi"), "toxic", train_docs)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
     """Learns ``labels.toxic`` (0 or 1) of ``docs`` (doc_id, text) from a bounded sample of each label."""
     chosen = _chosen(docs, labels, train_docs)
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic").toPandas()
+    rows = docs.select("doc_id", "text").where(f"octet_length(text) between 1 and {TRAIN_BYTES}").join(F.broadcast(chosen), "doc_id")
+    sample = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toPandas()
     return fit(list(sample.text), [int(x) for x in sample.toxic])
 
 
@@ -134,5 +151,5 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                         out[i + j] = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(released(predict), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
