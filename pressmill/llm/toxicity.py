@@ -37,25 +37,26 @@ class ToxicityModel:
         return (total / np.maximum(n, 1))[:, None]
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bags(texts: list[str], part: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, share) of the texts' buckets: the mean over a text's words of the mean over a word's n-grams."""
-    vocabulary: dict[str, int] = {}
-    docs, words, shares = [], [], []
-    for i, text in enumerate(texts):
-        own = text.lower().split()
-        ids, n = np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int64, len(own)), return_counts=True)
-        docs.append(np.full(len(ids), i))
-        words.append(ids)
-        shares.append(n / max(1, len(own)))
-    doc, word, share = map(np.concatenate, (docs, words, shares))
-    gram, owner = ngram_buckets([plain(w) for w in vocabulary], SIZES, BUCKETS)
-    gram = gram[np.argsort(owner, kind="stable")]
-    size = np.bincount(owner, minlength=len(vocabulary))
-    first = np.cumsum(size) - size
-    times = size[word]
-    at = np.repeat(first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
-    key, inverse = np.unique(np.repeat(doc, times) * BUCKETS + gram[at], return_inverse=True)
-    return key // BUCKETS, key % BUCKETS, np.bincount(inverse, np.repeat(share / np.maximum(size[word], 1), times))
+    docs, grams, shares = [], [], []
+    for begin in range(0, len(texts), part):  # what a word's n-grams take is held for a part of the texts only
+        vocabulary: dict[str, int] = {}
+        own = [text.lower().split() for text in texts[begin : begin + part]]
+        word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for words in own for w in words), np.int64)
+        n = np.fromiter(map(len, own), np.int64)
+        key, times = np.unique(np.repeat(np.arange(len(own)), n) * (len(vocabulary) + 1) + word, return_counts=True)
+        doc, word = np.divmod(key, len(vocabulary) + 1)
+        gram, owner = ngram_buckets([plain(w) for w in vocabulary], SIZES, BUCKETS)
+        gram = gram[np.argsort(owner, kind="stable")]
+        size = np.bincount(owner, minlength=len(vocabulary))
+        first, each = np.cumsum(size) - size, size[word]
+        at = np.repeat(first[word] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        key, inverse = np.unique(np.repeat(doc, each) * BUCKETS + gram[at], return_inverse=True)
+        docs.append((key // BUCKETS + begin).astype(np.int32))
+        grams.append((key % BUCKETS).astype(np.int32))
+        shares.append(np.bincount(inverse, np.repeat(times / n[doc] / np.maximum(each, 1), each)).astype(np.float32))
+    return np.concatenate(docs), np.concatenate(grams), np.concatenate(shares)
 
 
 def gradients(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, bag: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, class_weight: np.ndarray):
@@ -78,15 +79,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel:
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 4.0 if labels and labels[0] else -4.0)
     doc, gram, value = _bags(texts)
-    spread = np.bincount(gram, value * value, BUCKETS)
+    spread = np.bincount(gram, value.astype(float) ** 2, BUCKETS)
     docs = np.bincount(gram, minlength=BUCKETS)
     known = np.flatnonzero(docs >= min(LEAST_DOCS, len(y)))
-    row = np.full(BUCKETS, -1)
+    row = np.full(BUCKETS, -1, np.int32)
     row[known] = np.arange(len(known))
     scale = np.sqrt(spread[known] + FLOOR * np.percentile(spread[docs > 0], 99)) if len(known) else np.ones(0)
     has = row[gram] >= 0
     doc, gram, value = doc[has], row[gram[has]], value[has]
-    value = value / scale[gram]
+    value /= scale[gram].astype(np.float32)
     first = np.searchsorted(doc, np.arange(len(y) + 1))
 
     rng = np.random.default_rng(seed)
