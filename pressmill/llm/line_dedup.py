@@ -3,22 +3,21 @@
 A line's tokens are the distinct lower-cased parts between its spaces.  Tokens are ordered by rarity: their counts over
 all texts, kept in a table of fixed size by hash, give the upper bits of a token's number and its hash the lower bits, so
 sorting numbers sorts by rarity and any two lines agree on the order.  Lines with equal sets become one set with its first
-place.  Sets that are near to a hub, the first with the same neighbours in its prefix, need no other pair.  The others meet
-all sets on a token of their prefixes, pass the length and positional filters, and are confirmed by their Jaccard
-similarity.  Of similar lines the earlier, by doc_id and line number, stays.
+place.  Sets meet on the tokens of their prefixes, and a length, a positional and a parity filter choose those that may be
+near to an earlier one, and the earlier ones; these alone meet again with all their tokens, and are confirmed by their
+Jaccard similarity.  A later line needs one witness, so all these joins are semi-joins: a group of near lines costs a row
+for each of its lines, not for each pair.  Of similar lines the earlier, by doc_id and line number, stays.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_checked, written
 
-#: Slots of the table of counts; it is 32 kB whatever the input.
-SLOTS = 1 << 15
+#: Slots of the table of counts, a byte each whatever the input, and slots that are collected as one row.
+SLOTS, ROW_SLOTS = 1 << 18, 1 << 10
 SET = ["set1", "set2", "n"]
 
 
@@ -27,13 +26,17 @@ def _tokens(line: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """For each slot of token hashes, four times the binary logarithm of its count over all texts, as the upper bits of a long."""
+    """For each slot of token hashes, four times the binary logarithm of its count over all texts, as an array of bytes."""
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t"))
-    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")).collect()
-    table = [0] * SLOTS
-    for row in counts:
-        table[row.slot] = min(127, int(4 * math.log2(row.n + 1))) << 56
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a constant
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(120), (4 * F.log2(F.col("n") + 1)).cast("int"))
+    entry = F.struct((F.col("slot") % ROW_SLOTS).alias("at"), level.alias("level"))
+    rows = counts.groupBy(F.expr(f"slot div {ROW_SLOTS}").cast("int").alias("row")).agg(F.map_from_entries(F.collect_list(entry)).alias("levels"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ROW_SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("levels", i), F.lit(0)).cast("string")), ",")
+    table = [",".join(["0"] * ROW_SLOTS)] * (SLOTS // ROW_SLOTS)
+    for row in rows.select("row", text.alias("text")).collect():
+        table[row.row] = row.text
+    return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>")  # folded to a constant
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     rarest tokens) of each line."""
     rarity = _rarity(docs)
     hashes = F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))
-    numbers = F.transform(hashes, lambda h: F.get(rarity, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    numbers = F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     lines = _lines(docs).select("doc_id", "line_no", F.sort_array(F.array_distinct(numbers)).alias("k"))
     n = F.size("k")
     parity = F.expr("aggregate(k, 0L, (p, x) -> p ^ shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))")
@@ -63,89 +66,53 @@ def _first(sets: DataFrame) -> DataFrame:
     return written(first.select(F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", "f.parity", "f.second", "f.prefix"))
 
 
-def _hub_pairs(first: DataFrame) -> DataFrame:
-    """Each set's likeliest pair with a hub: the first document's set among those with the same neighbours in the prefix.
-
-    Groups of near lines resolve as stars here, so that the join of all prefixes has no pairs within them to emit.
-    """
-    values = ["line", "n", "parity", "second"]
-    neighbours = F.transform(F.slice("prefix", 1, 3), lambda x, i: F.xxhash64(x, F.get("prefix", i + 1)))
-    spots = first.select("doc", *values, F.explode(neighbours).alias("key"))
-    hubs = spots.groupBy("key").agg(F.min("doc").alias("h_doc"), *(F.min_by(c, "doc").alias(f"h_{c}") for c in values), F.count("*").alias("members"))
-    met = spots.join(hubs.where("members > 1"), "key").where(
-        "(h_doc < doc or (h_doc = doc and h_line < line)) and 5 * least(n, h_n) >= 4 * greatest(n, h_n)"
-        " and 9 * if(second = 0 or h_second = 0, bit_count(parity ^ h_parity), bit_count(second ^ h_second) + bit_count(parity ^ h_parity ^ second ^ h_second)) <= n + h_n"
+def _may_be_near(x: str, y: str) -> str:
+    """Whether set x may be near to the earlier set y: by lengths, by what is left behind the shared token, by parities."""
+    nx, ny, ix, iy = f"({x}.n_i >> 32)", f"({y}.n_i >> 32)", f"({x}.n_i & 4294967295L)", f"({y}.n_i & 4294967295L)"
+    return (
+        f"({y}.doc < {x}.doc or ({y}.doc = {x}.doc and {y}.line < {x}.line))"
+        f" and 5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny})"
+        # the shorter set's prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
+        f" and if({nx} < {ny}, {ix} <= {nx} - (8 * {nx} + 8) div 9, {iy} <= {ny} - (8 * {ny} + 8) div 9)"
+        f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
+        # tokens in one of the two sets alone: those with the odd bit, and the others
+        f" and 9 * if({x}.second = 0 or {y}.second = 0, bit_count({x}.parity ^ {y}.parity),"
+        f" bit_count({x}.second ^ {y}.second) + bit_count({x}.parity ^ {y}.parity ^ {x}.second ^ {y}.second)) <= {nx} + {ny}"
     )
-    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("h_parity")))
-    best = met.groupBy(F.col("doc").alias("doc_b"), F.col("line").alias("line_b")).agg(F.min_by("h_doc", apart).alias("doc_a"), F.min_by("h_line", apart).alias("line_a"))
-    return best.select("doc_a", "line_a", "doc_b", "line_b")
 
 
-def _candidates(first: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of distinct sets, each by its first place (doc, line), that the filters let through; a's place is earlier, and b's
-    isn't among ``near`` (doc_b, line_b), a written table."""
-    done = near.toDF("doc", "line").withColumn("done", F.lit(True))
-    keyed = join_checked(first, done, ["doc", "line"], done.count(), 16).select(
-        "doc", "line", "n", "parity", "second", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("i", "token")
-    )
-    keyed = keyed.select("token", "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second", "done")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    # y is the shorter set; its prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
-    nx, ny, ix, iy = "(x.n_i >> 32)", "(y.n_i >> 32)", "(x.n_i & 4294967295L)", "(y.n_i & 4294967295L)"
-    met = x.join(
-        y,
-        F.expr(
-            f"x.token = y.token and ({ny} < {nx} or ({ny} = {nx} and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line))))"
-            f" and not if(x.doc < y.doc or (x.doc = y.doc and x.line < y.line), y.done, x.done)"
-            f" and 5 * {ny} >= 4 * {nx} and {iy} <= {ny} - (8 * {ny} + 8) div 9"
-            f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
-            # tokens in one of the two sets alone: those with the odd bit, and the others
-            f" and 9 * if(x.second = 0 or y.second = 0, bit_count(x.parity ^ y.parity), bit_count(x.second ^ y.second) + bit_count(x.parity ^ y.parity ^ x.second ^ y.second)) <= {nx} + {ny}"
-        ),
-    )
-    earlier = F.expr("x.doc < y.doc or (x.doc = y.doc and x.line < y.line)")
-    pair = [F.when(earlier, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{c}_{s}") for s, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in ("doc", "line")]
-    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("apart")
-    return met.select(*pair, apart).distinct()
+def _keyed(first: DataFrame) -> DataFrame:
+    rows = first.select("doc", "line", "n", "parity", "second", F.posexplode("prefix").alias("i", "token"))
+    return rows.select("token", "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of a written table whose token sets have a Jaccard similarity of 0.8 or more."""
-    places = pairs.select("doc_a", "line_a").union(pairs.select("doc_b", "line_b")).distinct().toDF("doc_id", "line_no")
-    wanted = written(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
+def _with_tokens(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """token, doc, line of a written table, with the line's token hashes k."""
+    wanted = written(spots.groupBy("doc", "line").agg(F.collect_set("token").alias("tokens")).groupBy("doc").agg(F.collect_list(F.struct("line", "tokens")).alias("wanted")))
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("wanted")).alias("lines")).first()
-    found = join_checked(docs.select("doc_id", "text"), wanted, ["doc_id"], size.n + (size.lines or 0), 16).where("wanted is not null")
-    lines = found.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
-    tokens = _tokens(F.get("lines", F.col("line_no")))
-    keys = written(lines.select("doc_id", "line_no", F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("k")).dropDuplicates(["doc_id", "line_no"]))
-    n_keys = keys.count()
-    for side in ("a", "b"):
-        own = keys.toDF(f"doc_{side}", f"line_{side}", f"k_{side}")
-        pairs = join_checked(pairs, own, [f"doc_{side}", f"line_{side}"], n_keys, 400)
-    both = F.size(F.array_intersect("k_a", "k_b"))
-    return pairs.where(9 * both >= 4 * (F.size("k_a") + F.size("k_b"))).select("doc_a", "line_a", "doc_b", "line_b")
-
-
-def _later(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc_id, line_no of the first places of sets that an earlier one is near to.
-
-    Pairs with hubs are confirmed first.  Of the places left, the likeliest pair of each is confirmed, then all others of those still left.
-    """
-    first = _first(sets)
-    found = written(_confirmed(docs, written(_hub_pairs(first))).select("doc_b", "line_b"))
-    order = Window.partitionBy("doc_b", "line_b").orderBy("apart", "doc_a", "line_a")
-    ranked = written(_candidates(first, found).withColumn("rank", F.row_number().over(order)))
-    likeliest = written(_confirmed(docs, ranked.where("rank = 1").drop("apart", "rank")).select("doc_b", "line_b"))
-    others = written(ranked.where("rank > 1").join(likeliest, ["doc_b", "line_b"], "left_anti").select("doc_a", "line_a", "doc_b", "line_b"))
-    rest = written(_confirmed(docs, others).select("doc_b", "line_b").distinct())
-    return found.unionByName(likeliest).unionByName(rest).toDF("doc_id", "line_no")
+    named = wanted.withColumnRenamed("doc", "doc_id")
+    found = join_checked(docs.select("doc_id", "text"), named, ["doc_id"], size.n + (size.lines or 0), 64).where("wanted is not null")
+    lines = found.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    own = F.array_distinct(F.transform(_tokens(F.get("lines", F.col("w.line"))), lambda t: F.xxhash64(t)))
+    return lines.select("doc", F.col("w.line").alias("line"), F.col("w.tokens").alias("tokens"), own.alias("k")).select(F.explode("tokens").alias("token"), "doc", "line", "k")
+
+
+def _later(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """doc_id, line_no of the first places of sets that an earlier one is near to; a written table."""
+    keyed = _keyed(first)
+    x, y = keyed.alias("x"), keyed.alias("y")
+    later = written(x.join(y, F.expr(f"x.token = y.token and {_may_be_near('x', 'y')}"), "left_semi"))
+    earlier = written(keyed.alias("y").join(later.alias("x"), F.expr(f"x.token = y.token and {_may_be_near('x', 'y')}"), "left_semi").select("token", "doc", "line"))
+    x, y = _with_tokens(docs, later.select("token", "doc", "line")).alias("x"), _with_tokens(docs, earlier).alias("y")
+    near = "x.token = y.token and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line)) and 9 * size(array_intersect(x.k, y.k)) >= 4 * (size(x.k) + size(y.k))"
+    return written(x.join(y, F.expr(near), "left_semi").select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).distinct())
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id and removed (array of line numbers, from 0) of documents with lines that an earlier line is near to."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sets = written(_sets(docs)).where("n > 0")
-    later = _later(docs, sets)
+    later = _later(docs, _first(sets))
     slim = sets.select("doc_id", "line_no", *SET)
     near = slim.join(later, ["doc_id", "line_no"], "left_semi").select(*SET).distinct().withColumn("near", F.lit(True))
     first = slim.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
