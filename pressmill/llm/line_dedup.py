@@ -4,8 +4,7 @@ A line's tokens are the distinct lower-cased parts between its spaces.  Tokens a
 all texts, kept in a table of fixed size by hash, give the upper bits of a token's number and its hash the lower bits, so
 sorting numbers sorts by rarity and any two lines agree on the order.  Lines with equal sets become one set with its first
 place.  Sets meet on the tokens of their prefixes, and a length, a positional and a parity filter choose those that may be
-near to an earlier one, and the earlier ones; these alone meet again with all their tokens, and are confirmed by their
-Jaccard similarity.  A later line needs one witness, so all these joins are semi-joins: a group of near lines costs a row
+near to another; these alone meet again with all their tokens, and are confirmed by their Jaccard similarity.  A later line needs one witness, so all these joins are semi-joins: a group of near lines costs a row
 for each of its lines, not for each pair.  Of similar lines the earlier, by doc_id and line number, stays.
 """
 
@@ -30,12 +29,13 @@ def _rarity(docs: DataFrame) -> Column:
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t"))
     counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(120), (4 * F.log2(F.col("n") + 1)).cast("int"))
-    entry = F.struct((F.col("slot") % ROW_SLOTS).alias("at"), level.alias("level"))
-    rows = counts.groupBy(F.expr(f"slot div {ROW_SLOTS}").cast("int").alias("row")).agg(F.map_from_entries(F.collect_list(entry)).alias("levels"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ROW_SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("levels", i), F.lit(0)).cast("string")), ",")
-    table = [",".join(["0"] * ROW_SLOTS)] * (SLOTS // ROW_SLOTS)
-    for row in rows.select("row", text.alias("text")).collect():
-        table[row.row] = row.text
+    entry = F.concat((F.col("slot") % ROW_SLOTS).cast("string"), F.lit(":"), level.cast("string"))
+    rows = counts.groupBy(F.expr(f"slot div {ROW_SLOTS}").alias("row")).agg(F.array_join(F.collect_list(entry), ",").alias("levels"))
+    table = ["0"] * SLOTS
+    for row in rows.collect():
+        for entry in row.levels.split(","):
+            at, n = entry.split(":")
+            table[row.row * ROW_SLOTS + int(at)] = n
     return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>")  # folded to a constant
 
 
@@ -47,13 +47,16 @@ def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, n, set1, set2 (hash of the set), parity (of the tokens in each of 64 bins) and prefix (hashes of the
     rarest tokens) of each line."""
     rarity = _rarity(docs)
-    hashes = F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))
-    numbers = F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    lines = _lines(docs).select("doc_id", "line_no", F.sort_array(F.array_distinct(numbers)).alias("k"))
+
+    def number(token: Column) -> Column:
+        level = F.coalesce(F.get(rarity, F.xxhash64(token).bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))  # never null: sorted as longs
+        return F.shiftleft(level, 56).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit((1 << 56) - 1)))
+
+    lines = _lines(docs).select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), number))).alias("k"))
     n = F.size("k")
     parity = F.expr("aggregate(k, 0L, (p, x) -> p ^ shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))")
     # a second one for longer lines: of the tokens whose hash has an odd bit
-    second = F.expr("if(size(k) <= 60, 0L, aggregate(k, 0L, (p, x) -> p ^ if(x & 67108864L = 0L, 0L, shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))))")
+    second = F.expr("if(size(k) <= 100, 0L, aggregate(k, 0L, (p, x) -> p ^ if(x & 67108864L = 0L, 0L, shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))))")
     return lines.select(
         "doc_id", "line_no", n.alias("n"), F.xxhash64("k").alias("set1"), F.xxhash64(F.lit(1), "k").alias("set2"), parity.alias("parity"), second.alias("second"),
         F.transform(F.slice("k", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda x: F.hash(x)).alias("prefix"),
@@ -67,17 +70,17 @@ def _first(sets: DataFrame) -> DataFrame:
 
 
 def _may_be_near(x: str, y: str) -> str:
-    """Whether set x may be near to the earlier set y: by lengths, by what is left behind the shared token, by parities."""
+    """Whether two sets may be near: by lengths, by what is left behind the shared token, by parities."""
     nx, ny, ix, iy = f"({x}.n_i >> 32)", f"({y}.n_i >> 32)", f"({x}.n_i & 4294967295L)", f"({y}.n_i & 4294967295L)"
     return (
-        f"({y}.doc < {x}.doc or ({y}.doc = {x}.doc and {y}.line < {x}.line))"
-        f" and 5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny})"
-        # the shorter set's prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
-        f" and if({nx} < {ny}, {ix} <= {nx} - (8 * {nx} + 8) div 9, {iy} <= {ny} - (8 * {ny} + 8) div 9)"
-        f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
+        f"5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny})"
         # tokens in one of the two sets alone: those with the odd bit, and the others
         f" and 9 * if({x}.second = 0 or {y}.second = 0, bit_count({x}.parity ^ {y}.parity),"
         f" bit_count({x}.second ^ {y}.second) + bit_count({x}.parity ^ {y}.parity ^ {x}.second ^ {y}.second)) <= {nx} + {ny}"
+        # the shorter set's prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
+        f" and if({nx} < {ny}, {ix} <= {nx} - (8 * {nx} + 8) div 9, {iy} <= {ny} - (8 * {ny} + 8) div 9 or ({nx} = {ny} and {ix} <= {nx} - (8 * {nx} + 8) div 9))"
+        f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
+        f" and ({x}.doc != {y}.doc or {x}.line != {y}.line)"
     )
 
 
@@ -88,24 +91,25 @@ def _keyed(first: DataFrame) -> DataFrame:
 
 def _with_tokens(docs: DataFrame, spots: DataFrame) -> DataFrame:
     """token, doc, line of a written table, with the line's token hashes k."""
-    wanted = written(spots.groupBy("doc", "line").agg(F.collect_set("token").alias("tokens")).groupBy("doc").agg(F.collect_list(F.struct("line", "tokens")).alias("wanted")))
+    places = spots.groupBy("doc", "line").agg(F.collect_set("token").alias("tokens"))
+    wanted = written(places.groupBy("doc").agg(F.collect_list(F.struct("line", "tokens")).alias("wanted")))
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("wanted")).alias("lines")).first()
     named = wanted.withColumnRenamed("doc", "doc_id")
     found = join_checked(docs.select("doc_id", "text"), named, ["doc_id"], size.n + (size.lines or 0), 64).where("wanted is not null")
     lines = found.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     own = F.array_distinct(F.transform(_tokens(F.get("lines", F.col("w.line"))), lambda t: F.xxhash64(t)))
-    return lines.select("doc", F.col("w.line").alias("line"), F.col("w.tokens").alias("tokens"), own.alias("k")).select(F.explode("tokens").alias("token"), "doc", "line", "k")
+    return written(lines.select("doc", F.col("w.line").alias("line"), F.col("w.tokens").alias("tokens"), own.alias("k"))).select(F.explode("tokens").alias("token"), "doc", "line", "k")
 
 
 def _later(docs: DataFrame, first: DataFrame) -> DataFrame:
     """doc_id, line_no of the first places of sets that an earlier one is near to; a written table."""
     keyed = _keyed(first)
     x, y = keyed.alias("x"), keyed.alias("y")
-    later = written(x.join(y, F.expr(f"x.token = y.token and {_may_be_near('x', 'y')}"), "left_semi"))
-    earlier = written(keyed.alias("y").join(later.alias("x"), F.expr(f"x.token = y.token and {_may_be_near('x', 'y')}"), "left_semi").select("token", "doc", "line"))
-    x, y = _with_tokens(docs, later.select("token", "doc", "line")).alias("x"), _with_tokens(docs, earlier).alias("y")
+    partnered = written(x.join(y, F.expr(f"x.token = y.token and {_may_be_near('x', 'y')}"), "left_semi").select("token", "doc", "line"))
+    lines = _with_tokens(docs, partnered)
     near = "x.token = y.token and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line)) and 9 * size(array_intersect(x.k, y.k)) >= 4 * (size(x.k) + size(y.k))"
-    return written(x.join(y, F.expr(near), "left_semi").select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).distinct())
+    later = lines.alias("x").join(lines.alias("y"), F.expr(near), "left_semi")
+    return written(later.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).distinct())
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
