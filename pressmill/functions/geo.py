@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionaries import COUNTRY_BY_LOCATION, COUNTRY_BY_USERNAME, GENERIC_LOCATIONS, LOCATION_RULES
-from .terms import any_of, best_name, first_name, hits
+from .dictionaries import COUNTRY_BY_LOCATION, COUNTRY_BY_USERNAME, FEED_REGIONS, GENERIC_LOCATIONS, LOCATION_RULES
+from .terms import any_of, best, first_name, hits, let
 
 
 def clean_location(location: Column) -> Column:
@@ -68,11 +68,12 @@ def has_indic(text: Column) -> Column:
 
 
 def location_scores(text: Column, platform: Column, source: Column, user_location: Column, user_name: Column, user_handle: Column, rules: Mapping = LOCATION_RULES) -> dict[str, Column]:
-    """Score of each country: sources and domains 5, text 1, named location 3 and its keywords 2, names 2 for the first five keywords."""
-    text, platform, source, place, name, handle = (F.lower(F.coalesce(c, F.lit(""))) for c in (text, platform, source, user_location, user_name, user_handle))
+    """Score of each country, from lower-cased columns: sources and domains 5, text 1, named location 3 and its keywords 2, names 2
+    for the first five keywords."""
+    place, name, handle = user_location, user_name, user_handle
     out = {}
     for country, rule in rules.items():
-        score = sum((F.when(source.contains(s) | platform.contains(s), 5.0).otherwise(0.0) for s in rule["sources"]), F.lit(0.0))
+        score = F.size(F.filter(F.array(*map(F.lit, rule["sources"])), lambda s: F.contains(source, s) | F.contains(platform, s))) * F.lit(5.0)
         score = score + hits(place, rule["domains"], 5.0) + hits(text, rule["keywords"], 1.0)
         score = score + F.when(place.contains(country.lower()), 3.0).otherwise(0.0) + hits(place, rule["keywords"], 2.0)
         out[country] = score + hits(name, rule["keywords"][:5], 2.0) + hits(handle, rule["keywords"][:5], 2.0)
@@ -81,23 +82,13 @@ def location_scores(text: Column, platform: Column, source: Column, user_locatio
 
 def classify_location(text: Column, platform: Column, source: Column, user_location: Column, user_name: Column, user_handle: Column, rules: Mapping = LOCATION_RULES) -> Column:
     """struct(label, confidence): the country of the highest score from 2 on, and a tenth of the score; nulls for no text."""
-    scores = location_scores(text, platform, source, user_location, user_name, user_handle, rules)
-    usable = F.length(text) > 0
-    label = F.when(usable, F.lower(best_name(scores, 2.0)))
-    return F.struct(label.alias("label"), F.when(label.isNotNull(), F.least(F.lit(1.0), F.greatest(*scores.values()) / 10)).alias("confidence"))
-
-
-#: Feed regions by part of a URL, first match wins.
-FEED_REGIONS = {
-    "Nigeria": [
-        "nigeria", "ng", "tribuneonlineng", "vanguardngr", "thisdaylive", "businessday.ng", "thenationonlineng", "herald.ng", "dailypost.ng", "guardian.ng",
-        "punchng", "premiumtimesng", "informationng", "ripplesnigeria", "dailynigerian", "thenews-chronicle", "pointblanknews", "hallmarknews",
-        "pmnewsnigeria", "saharareporters", "lindaikejisblog", "bellanaija",
-    ],
-    "Qatar": ["qatar", "qa", "qna.org.qa", "alwatannews", "aljazeera", "dohanews", "gulf-times"],
-    "India": ["india", "indianexpress", "nationalheraldindia", "economictimes.indiatimes", "thehindu", "hindustantimes", "tribuneindia"],
-    "UK": ["uk", "telegraph.co.uk", "mirror.co.uk", "hulldailymail.co.uk", "feedburner.com"],
-}
+
+    def judged(found: Column) -> Column:
+        usable = (F.length(text) > 0) & found["name"].isNotNull()
+        return F.struct(F.when(usable, F.lower(found["name"])).alias("label"), F.when(usable, F.least(F.lit(1.0), found["score"] / 10)).alias("confidence"))
+
+    lowered = F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(f"c{i}") for i, c in enumerate((text, platform, source, user_location, user_name, user_handle))])
+    return let(let(lowered, lambda low: best(location_scores(*[low[f"c{i}"] for i in range(6)], rules), 2.0)), judged)
 
 
 def feed_region(url: Column) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionaries import CIVIC_WORDS, INFERRED_MINISTRY, MINISTRY_KEYWORDS, TOPIC_KEYWORDS, TOPIC_MINISTRY
-from .terms import best_name, first_name, hits, names
+from .dictionaries import CIVIC_WORDS, FACTUAL_PHRASES, INFERRED_MINISTRY, MINISTRY_KEYWORDS, NEGATIVE_WORDS, TOPIC_KEYWORDS, TOPIC_MINISTRY, UNDECIDED_PHRASES
+from .terms import any_of, best_name, first_name, hits, let, names
 
 
 def label_from_score(score: Column, edge: float = 0.2) -> Column:
@@ -23,8 +23,7 @@ def settled_label(label: Column) -> Column:
 
 def ministry(text: Column, keywords: Mapping[str, Sequence[str]] = MINISTRY_KEYWORDS) -> Column:
     """The ministry with most keywords in the text, the first of equals; non_governance without any."""
-    low = F.lower(text)
-    return best_name({name: hits(low, terms) for name, terms in keywords.items()}, 1, "non_governance")
+    return let(F.lower(text), lambda low: best_name({name: hits(low, terms) for name, terms in keywords.items()}, 1, "non_governance"))
 
 
 def governance(ministry_column: Column) -> Column:
@@ -34,13 +33,13 @@ def governance(ministry_column: Column) -> Column:
 
 
 def topics(text: Column, keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS) -> Column:
-    return names(F.lower(text), keywords)
+    return let(F.lower(text), lambda low: names(low, keywords))
 
 
 def inferred_ministry(text: Column, topic_list: Column, by_topic: Mapping[str, str] = TOPIC_MINISTRY, by_word: Mapping[str, Sequence[str]] = INFERRED_MINISTRY) -> Column:
     known = F.create_map(*[F.lit(x) for pair in by_topic.items() for x in pair])
     first = F.get(F.filter(F.transform(topic_list, lambda t: F.try_element_at(known, t)), lambda m: m.isNotNull()), F.lit(0))
-    return F.coalesce(first, first_name(F.lower(text), by_word, "general"))
+    return F.coalesce(first, let(F.lower(text), lambda low: first_name(low, by_word, "general")))
 
 
 def keywords(text: Column, topic_list: Column, by_topic: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS, civic: Sequence[str] = tuple(CIVIC_WORDS)) -> Column:
@@ -89,6 +88,60 @@ def stars_label(label: Column) -> Column:
     return F.when(low.contains("5 stars") | low.contains("4 stars"), "positive").when(low.contains("2 stars") | low.contains("1 star"), "negative").otherwise("neutral")
 
 
+def confident_label(label: Column, score: Column, least: float = 0.45) -> Column:
+    """The label of a star rating; neutral where its score is below ``least``."""
+    return F.when(score < least, "neutral").otherwise(stars_label(label))
+
+
+def settled_scores(scores: Column, text: Column) -> Column:
+    """struct(label, score) from a model's array of struct(label, score) and the text that it scored.
+
+    Factual phrases make a text neutral, strongly negative words keep a negative label, undecided phrases make it neutral;
+    then scores from 0.25 to 0.75, positive ones up to 0.95 and negative ones from 0.1 on are neutral; last, a top score too
+    close to the second one.  An array without scores is null.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def settle(ranked: Column) -> Column:
+        top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        label, score = F.lower(top["label"]), top["score"]
+        neutral = F.coalesce(F.get(F.filter(ranked, lambda x: F.lower(x["label"]) == "neutral"), F.lit(0))["score"], F.lit(0.5))
+        close = score - second["score"] < F.when(label == "negative", 0.1).otherwise(0.2)
+        weak = score.between(0.25, 0.75) | ((label == "positive") & (score <= 0.95)) | ((label == "negative") & (score >= 0.1))
+
+        def pair(name: Column | str, value: Column) -> Column:
+            return F.struct((F.lit(name) if isinstance(name, str) else name).alias("label"), value.alias("score"))
+
+        return (
+            F.when(label.isNull(), None)
+            .when(any_of(low, FACTUAL_PHRASES), pair("neutral", neutral))
+            .when(any_of(low, NEGATIVE_WORDS) & (label == "negative"), pair("negative", score))
+            .when(any_of(low, UNDECIDED_PHRASES) | weak, pair("neutral", score))
+            .when(F.coalesce(close, F.lit(False)), pair("neutral", neutral))
+            .otherwise(pair(label, score))
+        )
+
+    ranked = F.array_sort(scores, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
+    return F.get(F.transform(F.array(ranked), settle), F.lit(0))
+
+
+def scorer_json(response: Column, known: Sequence[str]) -> Column:
+    """struct(category, relevance, confidence, keywords, reasoning, is_governance) from JSON, fenced or bare.
+
+    An unknown or missing category is non_governance; text that isn't JSON has no category, relevance 0 and confidence 0.5.
+    """
+    fenced = F.regexp_extract(response, r"(?s)```json(.*?)```", 1)
+    schema = "ministry_category string, governance_relevance double, confidence double, keywords array<string>, reasoning string"
+    read = F.from_json(F.when(F.contains(response, F.lit("```json")), F.trim(fenced)).otherwise(response), schema)
+    category = read["ministry_category"]
+    relevance = F.coalesce(read["governance_relevance"], F.lit(0.0))
+    return F.struct(
+        F.when(category.isin(*known), category).otherwise("non_governance").alias("category"), relevance.alias("relevance"),
+        F.coalesce(read["confidence"], F.lit(0.5)).alias("confidence"), F.coalesce(read["keywords"], F.array().cast("array<string>")).alias("keywords"),
+        F.coalesce(read["reasoning"], F.lit("")).alias("reasoning"), (relevance >= 0.3).alias("is_governance"),
+    )
+
+
 def scorer_lines(response: Column) -> Column:
     """struct(label, score, justification, topics) from lines ``Sentiment:``, ``Sentiment Score:``, ``Justification:``, ``Topics:``."""
 

@@ -6,11 +6,14 @@ A dictionary is an ordered mapping from a name to terms; it becomes expressions,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: More terms than this are one array that is walked, so that the code of an expression stays small.
+FEW = 2
+
 
 def has(text: Column, term: str, whole_words: bool = False) -> Column:
     if whole_words:
@@ -18,7 +21,14 @@ def has(text: Column, term: str, whole_words: bool = False) -> Column:
     return text.contains(term)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(text: Column, terms: Sequence[str], whole_words: bool = False) -> Column:
+    if len(terms) > FEW and not whole_words:
+        return let(text, lambda x: F.exists(F.array(*map(F.lit, terms)), lambda term: F.contains(x, term)))
     out = F.lit(False)
     for term in terms:
         out = out | has(text, term, whole_words)
@@ -27,6 +37,8 @@ def any_of(text: Column, terms: Sequence[str], whole_words: bool = False) -> Col
 
 def hits(text: Column, terms: Sequence[str], weight: float = 1, whole_words: bool = False) -> Column:
     """How many terms a text contains, times a weight."""
+    if len(terms) > FEW and not whole_words:
+        return let(text, lambda x: F.size(F.filter(F.array(*map(F.lit, terms)), lambda term: F.contains(x, term)))) * F.lit(weight)
     zero = F.lit(0 if isinstance(weight, int) else 0.0)
     return sum((F.when(has(text, t, whole_words), weight).otherwise(0) for t in terms), zero)
 
@@ -41,8 +53,28 @@ def names(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(any_of(text, terms), name) for name, terms in rules.items()]))
 
 
+def best(scores: Mapping[str, Column], least: float, default: str | None = None) -> Column:
+    """struct(name, score): the name with the highest score of at least ``least``, the first of equals, else the default.
+
+    The scores are evaluated once, into an array.
+    """
+    names_of = F.array(*map(F.lit, scores))
+
+    def top(values: Column) -> Column:
+        score = F.array_max(values)
+        name = F.when(score >= least, F.get(names_of, F.array_position(values, score).cast("int") - 1)).otherwise(default)
+        return F.struct(name.alias("name"), score.alias("score"))
+
+    return let(F.array(*[s.cast("double") for s in scores.values()]), top)
+
+
 def best_name(scores: Mapping[str, Column], least: float, default: str | None = None) -> Column:
     """The name with the highest score of at least ``least``; the first of equals."""
-    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    out = F.coalesce(*[F.when(score == top, name) for name, score in scores.items()])
-    return F.when(top >= least, out).otherwise(default)
+    return best(scores, least, default)["name"]
+
+
+def first_value(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str | None = None) -> Column:
+    """The value of the first rule with a term in the text; a value may have several rules, and the order decides."""
+    table = F.array(*[F.struct(F.lit(value).alias("value"), F.array(*map(F.lit, terms)).alias("terms")) for value, terms in rules])
+    found = F.filter(table, lambda rule: F.exists(rule["terms"], lambda term: F.contains(text, term)))
+    return F.coalesce(F.get(found, F.lit(0))["value"], F.lit(default))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from .dedup import numbered
 
 #: What a scorer adds, and the neutral values of a row that it fails on.
 COLUMNS = {"label": ("string", "neutral"), "score": ("double", 0.0), "justification": ("string", "")}
@@ -39,6 +40,20 @@ def enrich(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], text:
     return rows.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} {k}" for n, (k, _) in COLUMNS.items()))
 
 
+def numbered_batches(df: DataFrame, size: int, order: str = "entry_id") -> DataFrame:
+    """df with ``batch`` and ``place``: fixed batches of ``size`` rows (the last may be smaller) in the order of a key."""
+    return numbered(df, order).withColumns({"batch": F.expr(f"seq div {size}"), "place": F.col("seq") % size}).drop("seq")
+
+
+def in_input_order(enriched: DataFrame, df: DataFrame, key: str = "entry_id") -> DataFrame:
+    """One row for each row of df, with what an enrichment gave for its key, in the order of the key.
+
+    Rows travel by key, so the order comes back with a range sort at the end, whichever worker took them.
+    """
+    added = [c for c in enriched.columns if c != key]
+    return df.drop(*added).join(enriched, key, "left").orderBy(key)
+
+
 def rule_enrich(df: DataFrame, positive: list[str], negative: list[str], topics: dict[str, list[str]]) -> DataFrame:
     """The shipped scorer, as expressions alone: label, ministry, topics, action and page type."""
     label = scoring.keyword_label(F.col("text"), positive, negative)

@@ -119,13 +119,27 @@ def code_audit(df: DataFrame, mapping: DataFrame, code: str = "ministry_hint") -
     return counts.join(known, code, "left").select(code, "n", F.coalesce("name", F.lit("unmapped")).alias("name"))
 
 
-def summary(df: DataFrame, dimensions: Sequence[str], latest: int = 1000, order: Sequence[str] = ("published_at", "entry_id"), top: int = 10) -> DataFrame:
-    """(dimension, value, n) counters of the latest rows of a selection, the top values of each dimension."""
+def summary(
+    df: DataFrame, dimensions: Sequence[str], sums: Sequence[str] = (), time: str | None = None, latest: int = 1000, order: Sequence[str] = ("published_at", "entry_id"), top: int = 10
+) -> DataFrame:
+    """(dimension, value, n) of the latest rows of a selection: counters of the top values of each dimension, then under
+    ``engagement`` the sum of each column of ``sums`` and the rows with any, and under ``span`` the days of the first and last time."""
     rows = df.orderBy(*[F.desc(c) for c in order]).limit(latest)
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("NULL")).alias("value")) for d in dimensions]))
     counts = rows.select(each.alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("_r", rank).where(f"_r <= {top}").drop("_r")
+    out = counts.withColumn("_r", rank).where(f"_r <= {top}").drop("_r")
+    if sums:
+        any_ = F.lit(False)
+        for c in sums:
+            any_ = any_ | (F.coalesce(F.col(c), F.lit(0)) > 0)
+        totals = {c: F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in sums} | {"rows with any": F.count_if(any_)}
+        wide = rows.agg(F.array(*[F.struct(F.lit("engagement").alias("dimension"), F.lit(c).alias("value"), v.alias("n")) for c, v in totals.items()]).alias("x"))
+        out = out.unionByName(wide.select(F.inline("x")))
+    if time:
+        ends = rows.agg(F.array(*[F.struct(F.lit("span").alias("dimension"), F.lit(n).alias("value"), F.unix_date(f(F.col(time)).cast("date")).cast("long").alias("n")) for n, f in (("first day", F.min), ("last day", F.max))]).alias("x"))
+        out = out.unionByName(ends.select(F.inline("x")))
+    return out
 
 
 def fill_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

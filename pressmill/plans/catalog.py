@@ -155,7 +155,7 @@ rows("f14_by_reference", lambda m: filters.by_reference(m, "user1", ("user_name"
 rows("f17_valid_hashtag", lambda m: m.where(filters.valid_hashtag(F.col("title"))), "regexp_full_match(title, '[A-Za-z0-9_]+')")
 rows("f18_with_text", filters.with_text, "coalesce(text, '') != ''")
 QUERIES["f12_location_backlog"] = lambda spark, sf_dir: filters.location_backlog(t.mentions(spark, sf_dir)).select("entry_id")
-ORACLE_SQL["f12_location_backlog"] = M + "SELECT entry_id FROM mentions WHERE location_label IS NULL OR location_confidence < 0.7 ORDER BY 1 LIMIT 10000"
+ORACLE_SQL["f12_location_backlog"] = M + "SELECT entry_id FROM mentions WHERE location_label IS NULL OR location_confidence < 0.7"
 
 
 @query("f15_by_ids", M + "SELECT entry_id FROM mentions WHERE entry_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -281,10 +281,12 @@ def _(spark, sf_dir):
     return dedup.insert_if_absent(*t.halves(spark, sf_dir)).select("entry_id")
 
 
-@query("s17_append_dedup", M + "SELECT min(entry_id) AS entry_id FROM mentions GROUP BY title")
+@query("s17_append_dedup", M + "SELECT min(entry_id) AS entry_id FROM (SELECT entry_id, title, entry_id % 2 AS fresh, min(entry_id % 2) OVER (PARTITION BY title) AS least FROM mentions) WHERE fresh = least GROUP BY title")
 def _(spark, sf_dir):
+    from ..sources.files import append_dedup
+
     new, old = t.halves(spark, sf_dir)
-    return dedup.keep_first(old.unionByName(new), ["title"], ["entry_id"]).select("entry_id")
+    return append_dedup(new, old, ["title"], ["entry_id"]).select("entry_id")
 
 
 @query("u1_heterogeneous_union", M + "SELECT entry_id, CASE WHEN entry_id % 2 = 1 THEN title END AS title, CASE WHEN entry_id % 2 = 0 THEN likes END AS likes FROM mentions")
@@ -390,9 +392,11 @@ def _(spark, sf_dir):
 SUMMARY = " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce({d}, 'NULL') AS value, count(*) AS n FROM l GROUP BY 2" for d in ("sentiment_label", "platform", "issue_slug", "user_location"))
 
 
-@on_mentions("a16_summary", f"{M}, l AS (SELECT * FROM mentions WHERE ministry_hint = 'works' ORDER BY published_at DESC, entry_id DESC LIMIT 1000), c AS ({SUMMARY}) SELECT dimension, value, n FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS r FROM c) WHERE r <= 10")
+@on_mentions("a16_summary", f"{M}, l AS (SELECT * FROM mentions WHERE ministry_hint = 'works' ORDER BY published_at DESC, entry_id DESC LIMIT 1000), c AS ({SUMMARY}) SELECT dimension, value, n FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS r FROM c) WHERE r <= 10 "
+    f"    UNION ALL SELECT 'engagement', unnest(['likes', 'comments', 'retweets', 'rows with any']), unnest([sum(likes), sum(comments), sum(retweets), count(*) FILTER (likes > 0 OR comments > 0 OR retweets > 0)]) FROM l "
+    f"UNION ALL SELECT 'span', unnest(['first day', 'last day']), unnest([min(published_at)::DATE - DATE '1970-01-01', max(published_at)::DATE - DATE '1970-01-01']) FROM l")
 def _(m):
-    return metrics.summary(m.where("ministry_hint = 'works'"), ["sentiment_label", "platform", "issue_slug", "user_location"])
+    return metrics.summary(m.where("ministry_hint = 'works'"), ["sentiment_label", "platform", "issue_slug", "user_location"], ["likes", "comments", "retweets"], "published_at")
 
 
 @on_mentions("a17_fill_rates", f"{M} SELECT platform, count(*) AS n, count(user_location) AS user_location_n, count(location_label) AS location_label_n, {PCT.format('count(user_location)', 'count(*)')} AS user_location_pct, {PCT.format('count(location_label)', 'count(*)')} AS location_label_pct FROM mentions GROUP BY 1")

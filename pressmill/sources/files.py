@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, values
@@ -15,8 +15,15 @@ ALIASES = {
     "twitter": {"full_text": "text", "created_at": "date", "screen_name": "user_name"},
     "news": {"content": "text", "published_date": "date", "source_name": "user_name"},
 }
-STRINGS = ["source", "platform", "type", "post_id", "text", "title", "description", "content", "url", "query", "language", "file_source", "user_name", "user_handle", "user_location", "country", "tone", "source_name"]
-COUNTS = ["likes", "retweets", "comments", "direct_reach", "cumulative_reach", "domain_reach"]
+#: Columns of mentions by what is read of them; the rest have rules of their own.
+STRINGS = [
+    "platform", "text", "content", "title", "description", "url", "source", "source_url", "query", "language", "file_source", "source_type", "country", "tone",
+    "source_name", "parent_url", "parent_id", "tags", "alert_name", "type", "post_id", "user_handle", "user_avatar",
+]
+OPEN_STRINGS = ["favorite", "sentiment_label", "sentiment_justification", "location_label", "issue_label", "issue_slug", "ministry_hint"]
+COUNTS = ["alert_id", "children", "direct_reach", "cumulative_reach", "domain_reach", "retweets", "likes", "comments"]
+SCORES = ["score", "sentiment_score", "location_confidence", "issue_confidence"]
+TIMES = ["published_date", "date", "published_at"]
 
 
 def with_file_source(df: DataFrame) -> DataFrame:
@@ -56,17 +63,28 @@ def user_name_by_source(df: DataFrame) -> DataFrame:
     return df.withColumn("user_name", F.coalesce(name, col("user_name")))
 
 
-def conform_mentions(df: DataFrame) -> DataFrame:
-    """One projection to the schema of mentions; columns that a source lacks are null."""
-    has = set(df.columns)
-    text = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
-    named = {c: text(c) for c in STRINGS}
-    named["user_location"] = geo.clean_location(F.coalesce(text("user_location"), text("location")))
-    named["user_name"] = F.coalesce(text("user_display_name"), text("user_name"), text("username"))
-    counted = {c: values.safe_long(text(c)) for c in COUNTS}
-    timed = {"date": dates.parse_date(text("date")), "published_at": F.coalesce(dates.parse_date(text("published_at")), dates.parse_date(text("date")))}
-    scored = {"sentiment_score": values.safe_double(text("sentiment_score")), "sentiment_label": text("sentiment_label")}
-    return df.select(*[v.alias(c) for c, v in (named | counted | timed | scored).items()])
+def conform_mentions(df: DataFrame, run_timestamp: Column | None = None, user_id: Column | None = None) -> DataFrame:
+    """One projection to all columns of mentions.
+
+    Absent texts are empty, absent labels, counts, scores and times null.  The place may stand in ``location``, the user's name
+    in ``username`` or else ``user_display_name``; keywords of an issue are an array or its JSON.
+    """
+    has = dict(df.dtypes)
+
+    def text(name: str) -> Column:
+        return F.col(f"`{name}`").cast("string") if name in has else F.lit(None).cast("string")
+
+    def filled(*names: str) -> Column:
+        return F.coalesce(*[F.when(text(n) != "", text(n)) for n in names], F.lit(""))
+
+    keywords = F.lit(None).cast("array<string>")
+    if "issue_keywords" in has:
+        keywords = F.col("issue_keywords") if has["issue_keywords"].startswith("array") else F.from_json("issue_keywords", "array<string>")
+    columns = {"run_timestamp": F.current_timestamp() if run_timestamp is None else run_timestamp, "user_id": text("user_id") if user_id is None else user_id}
+    columns |= {c: F.coalesce(text(c), F.lit("")) for c in STRINGS} | {c: text(c) for c in OPEN_STRINGS} | {"original_id": F.coalesce(text("id"), F.lit(""))}
+    columns |= {c: values.safe_long(text(c)) for c in COUNTS} | {c: values.safe_double(text(c)) for c in SCORES} | {c: dates.parse_date(text(c)) for c in TIMES}
+    columns |= {"user_location": geo.clean_location(filled("user_location", "location")), "user_name": filled("user_name", "username", "user_display_name"), "issue_keywords": keywords}
+    return df.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def read_issue_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -2,47 +2,83 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+COLUMNS = ["page_id", "title", "body", "link", "date_text", "links", "further_pages", "sections", "is_article"]
 SKIPPED = {"script", "style", "noscript"}
 
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Shapes of dates in a page's text, in the order of their precedence.
+DATES = [re.compile(x) for x in (r"\d{1,2}[/-]\d{1,2}[/-]\d{4}", r"\d{4}[/-]\d{1,2}[/-]\d{1,2}", r"\w+ \d{1,2}, \d{4}", r"\d{1,2} \w+ \d{4}")]
+#: What marks a link to a further page: parts of its address, and classes of what it stands in.
+PAGE_PARTS, PAGE_CLASSES = ("page=", "/page/", "p="), {"pagination", "pager", "page-numbers", "pagination-links"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class _Page(HTMLParser):
-    """Title from the first heading, text outside scripts, and links in order."""
+    """Title from the first heading, text outside scripts, and links (address, text, further page by its marks) in order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.text, self.links, self.skip, self.heading = "", [], [], 0, False
+        self.open, self.link = [], None
 
     def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
         self.skip += tag in SKIPPED
-        self.heading = self.heading or (tag in {"h1", "h2", "h3", "h4", "h5", "h6"} and not self.title)
-        if tag == "a" and (link := dict(attrs).get("href")):
-            self.links.append(link)
+        self.heading = self.heading or (tag in HEADINGS and not self.title)
+        if tag == "a" and (address := attrs.get("href")):
+            marked = any(PAGE_CLASSES & names for _, names in self.open) or attrs.get("rel") == "next" or "next" in (attrs.get("title") or "").lower()
+            self.link = [address, "", marked or any(x in address for x in PAGE_PARTS)]
+            self.links.append(self.link)
+        if tag not in VOID:
+            self.open.append((tag, set((attrs.get("class") or "").split())))
 
     def handle_endtag(self, tag):
         self.skip = max(0, self.skip - (tag in SKIPPED))
-        if tag in {"h1", "h2", "h3", "h4", "h5", "h6"}:
+        if tag in HEADINGS:
             self.heading = False
+        if tag == "a":
+            self.link = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
 
     def handle_data(self, data):
         if self.skip or not data.strip():
             return
+        if self.link is not None:
+            self.link[1] = f"{self.link[1]} {data.strip()}".strip()
         if self.heading:
             self.title = f"{self.title} {data.strip()}".strip()
         self.text.append(data.strip())
 
+    def further(self) -> list[str]:
+        """Addresses of further pages: marked links first, then those whose text says so, then numbered ones."""
+        said = [x for x in self.links if "Next" in x[1] or x[1] in {"2", "3", "4", "5"}]
+        counted = [x for x in self.links if x[1].isdecimal() and 2 <= int(x[1]) <= 10]
+        return [x[0] for x in [*(x for x in self.links if x[2]), *said, *counted]]
+
 
 def extract_articles(pages: DataFrame, least_title: int = 8, least_text: int = 30, most_links: int = 5) -> DataFrame:
-    """page_id, title, body, links (absolute, distinct, the first few), is_article for each page (page_id, url, html).
+    """For each page (page_id, url, html): page_id, title, body, link, date_text, links, further_pages, sections, is_article.
 
-    A page is an article if its title and text are long enough. Null or broken HTML gives what can be read of it.
+    link is the first one, links, further_pages and sections ("More from ...") are absolute, distinct and in order of
+    appearance, the first few; date_text is the first date by the order of its shapes.  A page is an article if its title and
+    text are long enough.  Null or broken HTML gives what can be read of it.
     """
 
+    def absolute(url: str | None, found: list[str]) -> list[str]:
+        usable = (x for x in found if not x.startswith(("#", "javascript:", "mailto:")))
+        return list(dict.fromkeys(y for x in usable if (y := urljoin(url or "", x)) != url))[:most_links]
+
     def parse(batches):
         for pdf in batches:
             rows = []
@@ -51,8 +87,12 @@ def extract_articles(pages: DataFrame, least_title: int = 8, least_text: int = 3
                 page.feed(html or "")
                 page.close()
                 body = " ".join(" ".join(page.text).split())
-                found = dict.fromkeys(urljoin(url or "", x) for x in page.links if not x.startswith(("#", "javascript:", "mailto:")))
-                rows.append((page_id, page.title, body, list(found)[:most_links], len(page.title) > least_title and len(body) > least_text))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "body", "links", "is_article"])
+                date = next((m[0] for x in DATES if (m := x.search(body))), None)
+                links = absolute(url, [x[0] for x in page.links])
+                sections = absolute(url, [x[0] for x in page.links if "More from" in x[1]])
+                is_article = len(page.title) > least_title and len(body) > least_text
+                rows.append((page_id, page.title, body, links[0] if links else None, date, links, absolute(url, page.further()), sections, is_article))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return pages.select("page_id", "url", "html").mapInPandas(parse, "page_id long, title string, body string, links array<string>, is_article boolean")
+    kinds = ["long", "string", "string", "string", "string", "array<string>", "array<string>", "array<string>", "boolean"]
+    return pages.select("page_id", "url", "html").mapInPandas(parse, ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, kinds, strict=True)))
