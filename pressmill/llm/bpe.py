@@ -2,7 +2,7 @@
 
 A pre-token that is a vocabulary entry is found with one probe of a minimal perfect hash.  Any other is merged on a
 doubly linked list of its bytes, the pairs waiting in a heap by (rank, place), so a pre-token of n bytes takes
-O(n log n) steps.  Workers keep the ids of short pre-tokens as packed bytes.
+O(n log n) steps.  A worker keeps the vocabulary, and a task the ids of short pre-tokens as packed bytes.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def bpe_encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFra
             ids = [c.encode(x) if (x := text.as_py()) else b"" for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(released(encode), f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(encode, lambda: codec(ranks).clear()), f"doc_id {kind}, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -168,7 +168,7 @@ def bpe_decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> Data
             raw = [c.decode(x) if (x := ids.as_py()) else b"" for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(released(decode), f"doc_id {kind}, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(released(decode, lambda: codec(ranks).clear()), f"doc_id {kind}, decoded binary")
 
 
 def bpe_round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -186,4 +186,4 @@ def bpe_round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> Dat
                 two.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(released(both), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(both, lambda: codec(ranks).clear()), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -172,13 +172,16 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def released(work):
-    """A task's work on batches that, at its end, gives freed memory back to the system, as workers outlive their tasks."""
+def released(work, forget=None):
+    """A task's work on batches that, at its end, gives memory back to the system, as workers outlive their tasks; forget()
+    is called first."""
 
     def run(batches):
         try:
             yield from work(batches)
         finally:
+            if forget:
+                forget()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library has it

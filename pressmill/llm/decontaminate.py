@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS_DIGITS, LOWER, flat_text, rolling, split_chunks, word_bounds, word_hashes
+from .common import LETTERS_DIGITS, LOWER, flat_text, released, rolling, split_chunks, word_bounds, word_hashes
 
 BLOCK_BYTES = 4 << 20
 
@@ -136,7 +136,7 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n_words", "n_hit", "hits", "items"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    return rows.mapInArrow(scan, f"doc_id {kind}, row_key long, n_words long, n_hit long, hits binary, items array<string>")
+    return rows.mapInArrow(released(scan), f"doc_id {kind}, row_key long, n_words long, n_hit long, hits binary, items array<string>")
 
 
 @F.pandas_udf(T.BinaryType())

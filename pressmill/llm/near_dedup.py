@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_BLANK, int_column, join_checked, mix, rolling, shuffle_partitions, split_chunks, word_bounds, word_hashes, written
+from .common import LOWER, NOT_BLANK, int_column, join_checked, mix, released, rolling, shuffle_partitions, split_chunks, word_bounds, word_hashes, written
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
@@ -105,7 +105,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set1", "set2", "bits", "bands"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set1 long, set2 long, bits array<long>, bands array<long>")
+    return rows.mapInArrow(released(sign), "doc_id long, n_shingles long, set1 long, set2 long, bits array<long>, bands array<long>")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -154,7 +154,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                         b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return written(met.mapInArrow(compare, "a long, b long").distinct())
+    return written(met.mapInArrow(released(compare), "a long, b long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, rolling, shuffle_partitions, slice_hashes, word_bounds, word_hashes, written
+from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, released, rolling, shuffle_partitions, slice_hashes, word_bounds, word_hashes, written
 
 #: Text that a task gathers before it packs blocks, text whose segments share a bucket, and parts that a bucket is solved in.
 FLUSH_BYTES, BUCKET_BYTES, PARTS = 12 << 20, 6 << 20, 8
@@ -301,9 +301,9 @@ def repeated_runs(docs: DataFrame, symbols: Symbols, window: int, solver: Callab
                 yield pa.RecordBatch.from_arrays([pa.array(doc[first[i : i + 5000]]), pa.array(key[first[i : i + 5000]]), pa.array(runs, pa.binary())], ["doc_id", "row_key", "runs"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    sent = rows.mapInArrow(send, "bucket int, block binary").repartition(parts, "bucket")
-    found = sent.mapInArrow(receive, "target int, block binary").repartition(parts, "target")
-    return written(found.mapInArrow(join_runs, "doc_id long, row_key long, runs binary"))
+    sent = rows.mapInArrow(released(send), "bucket int, block binary").repartition(parts, "bucket")
+    found = sent.mapInArrow(released(receive), "target int, block binary").repartition(parts, "target")
+    return written(found.mapInArrow(released(join_runs), "doc_id long, row_key long, runs binary"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
