@@ -15,8 +15,13 @@ from ..functions.text import normalize_text, words
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each value of the keys, the first in a total order. Null keys equal one another."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """One row for each value of the keys, the first in a total order. Null keys equal one another.
+
+    A key is its digest, so that rows don't travel under whole texts, and each task keeps one row a key before any does.
+    """
+    kinds = dict(df.dtypes)
+    named = [F.when(F.col(k).isNull(), "n").otherwise(F.concat(F.lit("v"), F.sha2(F.col(k).cast("string"), 256))) if kinds[k] == "string" else F.col(k) for k in keys]
+    rank = F.row_number().over(Window.partitionBy(*named).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -112,18 +117,20 @@ def near_dup_classes(df: DataFrame, share: tuple[int, int] = (85, 100), key: str
 
 
 def near_dups_jaccard(df: DataFrame, share: tuple[int, int] = (85, 100), key: str = "entry_id", text: str = "text") -> DataFrame:
-    """a, b, drop_id, intersection, union of pairs (a < b) whose word sets are more similar than share[0] / share[1].
+    """a, b, drop_id, intersection, union of similar pairs (a < b), the shorter text of a pair to go, of equal ones the later.
 
-    The shorter text goes, of equal ones the later.  All pairs come out, so n rows of one word set give n (n - 1) / 2; see
-    near_dup_classes().
+    Rows with equal word sets are paired with the first of them only, and different sets through their first rows, so n rows
+    of one set give n - 1 pairs.  near_dup_classes() has the decision on every row.
     """
     sets, met = _word_classes(df, share, key, text)
-    one = sets.select(F.col("set").alias("sa"), F.col(key).alias("ka"), F.col("size").alias("la"))
-    two = sets.select(F.col("set").alias("sb"), F.col(key).alias("kb"), F.col("size").alias("lb"))
-    pairs = met.join(one, "sa").join(two, "sb").where("sa != sb or ka < kb")
-    first = F.col("ka") < F.col("kb")
-    drop = F.when(F.col("la") < F.col("lb"), F.col("ka")).when(F.col("la") > F.col("lb"), F.col("kb")).otherwise(F.greatest("ka", "kb"))
-    return pairs.select(F.when(first, F.col("ka")).otherwise(F.col("kb")).alias("a"), F.when(first, F.col("kb")).otherwise(F.col("ka")).alias("b"), drop.alias("drop_id"), "intersection", "union")
+    first = sets.groupBy("set").agg(F.min(F.struct(F.col(key).alias("key"), "size", F.size("w").alias("n"))).alias("f"))
+    own = sets.join(first, "set").where(F.col(key) != F.col("f.key"))
+    same = own.select(F.col("f.key").alias("a"), F.col(key).alias("b"), F.col("f.size").alias("la"), F.col("size").alias("lb"), F.col("f.n").alias("intersection"), F.col("f.n").alias("union"))
+    other = met.where("sa != sb").join(first.toDF("sa", "x"), "sa").join(first.toDF("sb", "y"), "sb")
+    low, high = F.least("x", "y"), F.greatest("x", "y")  # by key, which comes first in them
+    other = other.select(low["key"].alias("a"), high["key"].alias("b"), low["size"].alias("la"), high["size"].alias("lb"), "intersection", "union")
+    drop = F.when(F.col("la") < F.col("lb"), F.col("a")).otherwise(F.col("b"))
+    return same.unionByName(other).select("a", "b", drop.alias("drop_id"), "intersection", "union")
 
 
 class _Bounded(SequenceMatcher):

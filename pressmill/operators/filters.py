@@ -129,12 +129,16 @@ def with_text(df: DataFrame) -> DataFrame:
 
 
 def widening(df: DataFrame, column: str, as_of: str, hours: Sequence[int] = (24, 48), most: int = 50, key: str = "entry_id") -> DataFrame:
-    """The newest rows of the smallest trailing window that has any."""
+    """The newest rows of the smallest trailing window that has any.
+
+    The newest row tells which window that is; a window that has rows has the newest one, so the rows left are limited alike.
+    """
     end = F.lit(as_of).cast("timestamp_ntz")
-    inside = {h: (F.col(column) >= end - F.expr(f"interval {h} hours")) & (F.col(column) <= end) for h in hours}
-    seen = df.agg(*[F.count_if(c).alias(str(h)) for h, c in inside.items()]).first()
-    hour = next((h for h in hours if seen[str(h)]), hours[-1])
-    return df.where(inside[hour]).orderBy(F.desc(column), F.desc(key)).limit(most)
+    starts = [end - F.expr(f"interval {h} hours") for h in hours]
+    inside = df.where((F.col(column) >= starts[-1]) & (F.col(column) <= end))
+    newest = inside.agg(F.max(column).alias("_newest"))  # one row
+    start = F.coalesce(*[F.when(F.col("_newest") >= s, s) for s in starts])
+    return inside.join(F.broadcast(newest), F.col(column) >= start).drop("_newest").orderBy(F.desc(column), F.desc(key)).limit(most)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, most: int) -> DataFrame:

@@ -62,11 +62,14 @@ def engagement(df: DataFrame) -> DataFrame:
 
 
 def positional(df: DataFrame, value: str, by: Sequence[str], places: Mapping[str, str], descending: bool = False) -> DataFrame:
-    """Values at places of the sorted positives, a place being SQL over n, from 0. Exact: ranks within each group."""
+    """Values at places of the sorted positives, a place being SQL over n, from 0.  Exact: equal values are counted first, so a
+    group is walked by its distinct values."""
+    counts = df.where(F.col(value) > 0).groupBy(*by, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by)
     order = F.desc(value) if descending else F.col(value)
-    ranked = df.where(F.col(value) > 0).select(*by, value).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.expr(f"_i = {place}"), F.col(value))).alias(name) for name, place in places.items()])
+    walked = counts.withColumns({"_end": F.sum("_c").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
+    here = {name: F.expr(f"_end - _c <= {place} and {place} < _end") for name, place in places.items()}
+    return walked.groupBy(*by).agg(*[F.max(F.when(c, F.col(value))).alias(name) for name, c in here.items()])
 
 
 def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -8,23 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine, keyword_score
-from ..functions.terms import hits
+from ..functions.terms import hits, let
 
 
 def classify_topics(mentions: DataFrame, keywords: Mapping[str, Sequence[str]], vectors: DataFrame | None = None, vector: str = "embedding", least: float = 0.5, most: int = 3, key: str = "entry_id") -> DataFrame:
     """key, topic, keyword_score, embedding_score, confidence: 0.3 of the keyword score and 0.7 of the cosine, where there is a
-    vector, else the keyword score; the best topics of at least ``least``. Topics are a dictionary and are broadcast."""
+    vector, else the keyword score; the best topics of at least ``least``.
+
+    Topics are a dictionary, and their vectors (topic, vector) one broadcast row; a mention's topics are ranked within its row.
+    """
     low = F.lower(F.coalesce("text", F.lit("")))
-    scored = F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), keyword_score(hits(low, terms), len(terms)).alias("keyword_score")) for t, terms in keywords.items()]))
-    rows = mentions.withColumn("t", scored).select(key, *([vector] if vectors is not None else []), "t.*")
-    if vectors is None:
-        rows = rows.withColumn("embedding_score", F.lit(None).cast("double"))
-    else:
-        rows = rows.join(F.broadcast(vectors.select("topic", F.col("vector").alias("_v"))), "topic", "left").withColumn("embedding_score", cosine(F.col(vector), F.col("_v"))).drop(vector, "_v")
-    confidence = F.round(F.when(F.col("embedding_score").isNull(), F.col("keyword_score")).otherwise(0.3 * F.col("keyword_score") + 0.7 * F.col("embedding_score")), 3)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "topic"))
-    out = rows.withColumn("confidence", confidence).where(F.col("confidence") >= least)
-    return out.withColumn("_r", rank).where(f"_r <= {most}").select(key, "topic", F.round("keyword_score", 3).alias("keyword_score"), F.round("embedding_score", 3).alias("embedding_score"), "confidence")
+    rows = mentions
+    if vectors is not None:
+        wanted = vectors.where(F.col("topic").isin(*keywords)).select("topic", "vector")
+        table = wanted.agg(F.map_from_entries(F.collect_list(F.struct("topic", "vector"))).alias("_vectors"))  # no larger than the dictionary
+        rows = mentions.join(F.broadcast(table), F.lit(True), "left")
+
+    def scored(text: Column) -> Column:
+        def one(topic: str, terms: Sequence[str]) -> Column:
+            words = keyword_score(hits(text, terms), len(terms))
+            near = cosine(F.col(vector), F.try_element_at("_vectors", F.lit(topic))) if vectors is not None else F.lit(None).cast("double")
+            return F.struct(F.lit(topic).alias("topic"), words.alias("k"), near.alias("e"))
+
+        return F.array(*[one(topic, terms) for topic, terms in keywords.items()])
+
+    def judged(x: Column) -> Column:
+        confidence = F.round(F.when(x["e"].isNull(), x["k"]).otherwise(0.3 * x["k"] + 0.7 * x["e"]), 3)
+        return F.struct((-confidence).alias("order"), x["topic"].alias("topic"), F.round(x["k"], 3).alias("keyword_score"), F.round(x["e"], 3).alias("embedding_score"), confidence.alias("confidence"))
+
+    kept = F.filter(F.transform(let(low, scored), judged), lambda x: x["confidence"] >= least)
+    return rows.select(key, F.inline(F.slice(F.array_sort(kept), 1, most))).drop("order")
 
 
 def mentions_for_owner(mentions: DataFrame, bridge: DataFrame, owners: DataFrame) -> DataFrame:

@@ -245,7 +245,8 @@ JACCARD = f"""{M}, w AS (SELECT entry_id, length(text) AS size, {t.WORDS.format(
     SELECT a, b, CASE WHEN la < lb THEN a WHEN la > lb THEN b ELSE b END AS drop_id, intersection, total - intersection AS "union" FROM p WHERE intersection * 100 > (total - intersection) * 85"""
 
 
-@on_mentions("j14_near_dups_jaccard", JACCARD)
+@on_mentions("j14_near_dups_jaccard", JACCARD.replace("), p AS (", "), k AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY list_sort(w)) AS first FROM w), p AS (", 1)
+    + " AND EXISTS (SELECT 1 FROM k x, k y WHERE x.entry_id = a AND y.entry_id = b AND x.first = a AND (y.first = b OR y.first = a))")
 def _(m):
     return dedup.near_dups_jaccard(m)
 

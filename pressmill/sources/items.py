@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.dedup import keep_first
 
 
 def _get(*paths: str) -> Column:
@@ -100,11 +101,11 @@ def flatten_social_search(df: DataFrame) -> DataFrame:
 
 
 def flatten_youtube(df: DataFrame) -> DataFrame:
-    """One row a video."""
+    """One row a video: of repeated items the one with most likes and comments."""
     rows = df.select(
         *_post(
             "youtube", post_id=_id("id.videoId", "id"), date=_get("snippet.publishedAt"), title=_get("snippet.title"), text=_get("snippet.description"), user_name=_get("snippet.channelTitle"),
             image_url=_get("snippet.thumbnails.high.url", "snippet.thumbnails.default.url"), likes=_long("statistics.likeCount"), comments=_long("statistics.commentCount"), view_count=_long("statistics.viewCount"),
         )
     )
-    return rows.dropDuplicates(["post_id"])
+    return keep_first(rows, ["post_id"], [F.desc_nulls_last("likes"), F.desc_nulls_last("comments"), "date", "title", "text"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import normalize_text
-from ..operators.dedup import dedup_split, upsert
+from ..operators.dedup import dedup_split, keep_first, upsert
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100, kind: str = "parquet") -> DataFrame:
@@ -45,35 +46,50 @@ def sliding_sentiment(stream: DataFrame, size: str = "7 days", slide: str = "1 d
     return timed(stream, ts, "1 day").groupBy(w).agg(F.count("*").alias("total"), *labels).select(F.col("window.start").alias("start"), "total", "positive", "negative", "neutral")
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Each batch is deduplicated against the stored mentions and merged into them; versions alternate, the pointer is the newest folder."""
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Each batch is deduplicated against the stored mentions and merged into them.
+
+    The store is partitioned by a bucket of the keys.  A batch rewrites only the buckets that its new or changed rows fall in, in
+    one overwrite of those partitions.  A row whose text is stored, or repeats one of the batch, is left out unless its keys are
+    known, and then it updates them; a replayed batch changes nothing more.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("v")) if fs.exists(hadoop) else []
-        older = [v for v in versions if v < epoch + 1]
-        fresh = batch.dropDuplicates(keys)
-        if older:
-            stored = spark.read.parquet(f"{path}/v{older[-1]}")
-            fates = dedup_split(fresh, stored, order).where("fate in ('unique', 'internal')").drop("fate")
-            known = fresh.join(stored.select(*keys), keys, "left_semi")
-            fresh = upsert(stored, fates.unionByName(known).dropDuplicates(keys), keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/v{epoch + 1}")
+        fresh = keep_first(batch, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException:  # nothing is stored yet
+            stored = fresh.limit(0)
+        known = fresh.join(stored.select(*keys), keys, "left_semi")
+        unseen = fresh.join(stored.select(*keys), keys, "left_anti")
+        incoming = known.unionByName(dedup_split(unseen, stored, order).where("fate in ('unique', 'empty')").drop("fate"))
+        touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]  # ``buckets`` at most
+        if touched:
+            changed = upsert(stored.where(F.col("bucket").isin(touched)), incoming, keys)
+            # dynamic overwriting stages its files, and moves them when all have been read and written
+            changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_alerts(stream: DataFrame, checkpoint: str, emit: Callable[[DataFrame], None], size: str = "1 day", threshold: float = 0.1, ts: str = "published_at") -> StreamingQuery:
-    """Hands to emit() the periods whose mean score differs from the period before by the threshold or more."""
+    """Hands to emit() the periods whose mean score differs from the period before by the threshold or more.
+
+    A period is compared once, when the watermark has closed it, with the means of closed periods, which are kept beside the
+    checkpoint, a row a period; a batch that is replayed writes its own again.
+    """
     w = timed(stream, ts, "1 hour").groupBy(F.window(ts, size)).agg(F.avg("sentiment_score").alias("mean")).select(F.col("window.start").alias("start"), "mean")
+    means = f"{checkpoint.rstrip('/')}-means"
 
     def compare(batch: DataFrame, epoch: int) -> None:
-        before = batch.select((F.col("start") + F.expr(f"interval {size}")).alias("start"), F.col("mean").alias("previous"))
-        emit(batch.join(before, "start").withColumn("change", F.col("mean") - F.col("previous")).where(F.abs("change") >= threshold))
+        batch.write.mode("overwrite").parquet(f"{means}/epoch={epoch}")
+        closed = batch.sparkSession.read.schema("start timestamp, mean double, epoch long").option("basePath", means).parquet(means)
+        before = closed.where(F.col("epoch") <= epoch).select((F.col("start") + F.expr(f"interval {size}")).alias("start"), F.col("mean").alias("previous"))
+        found = closed.where(F.col("epoch") == epoch).join(before, "start").withColumn("change", F.col("mean") - F.col("previous"))
+        emit(found.where(F.abs("change") >= threshold).drop("epoch"))
 
-    return w.writeStream.outputMode("complete").foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return w.writeStream.outputMode("append").foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def feed_state(stream: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def plain(value):
     if isinstance(value, bool) or value is None:
         return str(value)
     if isinstance(value, (int, float, decimal.Decimal)):
-        return format(float(value) + 0.0, ".9g")
+        return format(float(value) + 0.0, ".6g")
     return str(value)
 
 

@@ -50,11 +50,11 @@ def test_upsert_stream(spark, tmp_path):
     run()
     spark.createDataFrame([(3, 1, "A"), (4, 1, "c"), (2, 1, "b2")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    assert {r.entry_id: r.text for r in spark.read.parquet(str(tmp_path / "out" / "v2")).collect()} == {1: "a", 2: "b2", 4: "c"}
+    assert {r.entry_id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "a", 2: "b2", 4: "c"}
 
 
 def test_change_alerts(spark, tmp_path):
-    rows = [(START + timedelta(days=d), s) for d, s in ((0, 0.5), (1, 0.55), (2, -0.2))]
+    rows = [(START + timedelta(days=d), s) for d, s in ((0, 0.5), (1, 0.55), (2, -0.2), (9, 0.0))]  # the last one closes the others
     spark.createDataFrame(rows, "published_at timestamp_ntz, sentiment_score double").write.parquet(str(tmp_path / "s"))
     seen = []
     stream = jobs.read_stream(spark, str(tmp_path / "s"), "published_at timestamp_ntz, sentiment_score double")
