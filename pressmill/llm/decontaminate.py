@@ -1,194 +1,180 @@
 """Benchmark decontamination: a prefix-filtered join for exact containment of item-sized windows.
 
 Every item gives its windows of ``window`` words (an item with fewer is one window).  A window's shingles are its word
-pairs (its word, if it has one); containment must be total, so one shingle is a sufficient prefix, and the rarest is
-taken.  Documents are streamed: a shingle that is some window's prefix proposes that window at a place, the place must
-leave room for the window (positional and length bounds), and then every word must agree.  The benchmark is a stated
-query set; it is taken in blocks of at most ``BLOCK_BYTES`` of text, so that what is broadcast is bounded.
+pairs (its word, if it has one).  Containment must be total, so one shingle is a sufficient prefix, and the rarest is taken,
+by counts of words over all documents.  One pass over the documents proposes the places of shingles that may be a prefix,
+with the words around them; the places join the windows by shingle, a place must leave room for the window (positional and
+length bounds), and then the words themselves must agree.  Nothing is collected but a table of counts and a bitmap of
+prefixes, both of bounded size; a fuller bitmap only lets more places through to the join.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import LETTERS_DIGITS, LOWER, flat_text, released, rolling, split_chunks, word_bounds, word_hashes
-
-BLOCK_BYTES = 4 << 20
-
-
-class Windows:
-    """The distinct windows of a block of items, and the table from prefix shingles to windows."""
-
-    def __init__(self, item_ids: list[str], texts: list[str], window: int):
-        self.items = sorted(set(item_ids))
-        number = {x: i for i, x in enumerate(self.items)}
-        buf, offsets = flat_text(pa.array(texts, pa.string()))
-        buf = LOWER[buf]
-        starts, ends, first = word_bounds(buf, offsets, LETTERS_DIGITS)
-        words = word_hashes(buf, starts, ends)
-        found: dict[bytes, int] = {}
-        of: list[set[int]] = []
-        rows: list[np.ndarray] = []
-        for i, item in enumerate(item_ids):
-            own = words[first[i] : first[i + 1]]
-            for j in range(max(1, len(own) - window + 1) if len(own) else 0):
-                row = own[j : j + window]
-                k = found.setdefault(row.tobytes(), len(rows))
-                if k == len(rows):
-                    rows.append(row)
-                    of.append(set())
-                of[k].add(number[item])
-        self.of = [sorted(x) for x in of]
-        self.length = np.array([len(x) for x in rows], np.int64)
-        self.words = np.zeros((len(rows), window), np.uint64)
-        for k, row in enumerate(rows):
-            self.words[k, : len(row)] = row
-        self.prefix = {n: self._prefixes(n, [k for k, row in enumerate(rows) if (len(row) > 1) == (n == 2)]) for n in (1, 2)}
-
-    def _prefixes(self, n: int, own: list[int]):
-        shingles = [rolling(self.words[k, : self.length[k]], n) for k in own]
-        values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles]), return_counts=True)
-        keys, at, offset = [], [], []
-        for k, s in zip(own, shingles, strict=True):
-            rarest = int(np.lexsort((s, counts[np.searchsorted(values, s)]))[0])
-            keys.append(s[rarest])
-            at.append(k)
-            offset.append(rarest)
-        keys = np.array(keys, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
-        return maybe, keys[order], np.array(at, np.int64)[order], np.array(offset, np.int64)[order]
-
-    def matches(self, words: np.ndarray, first: np.ndarray):
-        """(start word, window) of every occurrence of a window inside one text."""
-        starts, which = [], []
-        for n, (maybe, keys, at, offset) in self.prefix.items():
-            s = rolling(words, n)
-            if not len(keys) or not len(s):
-                continue
-            p = np.flatnonzero(maybe[(s >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, s[p], "left"), np.searchsorted(keys, s[p], "right")
-            n_each = hi - lo
-            p, lo, n_each = p[n_each > 0], lo[n_each > 0], n_each[n_each > 0]
-            if not len(p):
-                continue
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n_each)[:-1]]), n_each) + np.arange(n_each.sum())
-            start, w = np.repeat(p, n_each) - offset[k], at[k]
-            doc = np.searchsorted(first, np.repeat(p, n_each), "right") - 1
-            fits = (start >= first[doc]) & (start + self.length[w] <= first[doc + 1])
-            start, w = start[fits], w[fits]
-            for j in range(self.words.shape[1]):
-                here = j < self.length[w]
-                same = ~here
-                same[here] = words[start[here] + j] == self.words[w[here], j]
-                start, w = start[same], w[same]
-            starts.append(start)
-            which.append(w)
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(starts), np.concatenate(which)
-
-
-def runs(mask: np.ndarray) -> np.ndarray:
-    """Starts and ends of the runs of True, interleaved."""
-    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).astype(np.int32)
-
-
-def _blocks(benchmark: DataFrame) -> int:
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return max(1, -(-size // BLOCK_BYTES))
-
-
-def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def scan(batches):
-        windows = shared.value
+from .common import LETTERS_DIGITS, LOWER, flat_text, mix, released, rolling, split_chunks, word_bounds, word_hashes, written
+
+#: Slots of the counts of words (by the upper bits of their hashes), and bits of the bitmap: so many a prefix, between bounds.
+SLOT_BITS, PREFIX_BITS, LEAST_BITS, MOST_BITS = 13, 1024, 1 << 20, 1 << 27
+#: What is broadcast to a join at most; more joins by shuffle.
+BROADCAST_BYTES = 32 << 20
+SPOT = pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.string())])
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray):
+    """The texts' bytes in lower case with blanks for separators, bounds of their words, words before each text, hashes."""
+    buf = LOWER[buf]
+    starts, ends, first = word_bounds(buf, offsets, LETTERS_DIGITS)
+    return np.where(LETTERS_DIGITS[buf], buf, np.uint8(0x20)), starts, ends, first, word_hashes(buf, starts, ends)
+
+
+def _single(words: np.ndarray) -> np.ndarray:
+    return mix(words + np.uint64(1))
+
+
+def _slot(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _word_counts(docs: DataFrame) -> np.ndarray:
+    """How many words of all documents fall in each slot."""
+
+    def count(batches):
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            n_words, covered, hits, items = [], [], [], []
-            for rows, buf, offsets in split_chunks(batch):
-                buf = LOWER[buf]
-                starts, ends, first = word_bounds(buf, offsets, LETTERS_DIGITS)
-                at, which = windows.matches(word_hashes(buf, starts, ends), first)
-                doc = np.searchsorted(first, at, "right") - 1
-                own_covered, own_hits, own_items = [0] * (len(offsets) - 1), [b""] * (len(offsets) - 1), [[]] * (len(offsets) - 1)
-                for d in np.unique(doc):
-                    mine = doc == d
-                    mask = np.zeros(first[d + 1] - first[d] + 1, np.int32)
-                    np.add.at(mask, at[mine] - first[d], 1)
-                    np.add.at(mask, at[mine] - first[d] + windows.length[which[mine]], -1)
-                    mask = np.cumsum(mask[:-1]) > 0
-                    own_covered[d], own_hits[d] = int(mask.sum()), runs(mask).tobytes()
-                    own_items[d] = [windows.items[x] for x in sorted({x for w in np.unique(which[mine]) for x in windows.of[w]})]
-                n_words += np.diff(first).tolist()
-                covered += own_covered
-                hits += own_hits
-                items += own_items
-            columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(n_words, pa.int64()), pa.array(covered, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n_words", "n_hit", "hits", "items"])
+            for _, buf, offsets in split_chunks(batch):
+                total += np.bincount(_slot(_words(buf, offsets)[4]), minlength=len(total))
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    return rows.mapInArrow(released(scan), f"doc_id {kind}, row_key long, n_words long, n_hit long, hits binary, items array<string>")
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for row in docs.select("text").mapInArrow(released(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[row.slot] = row.n
+    return out
 
 
-@F.pandas_udf(T.BinaryType())
-def _merged(hits: pd.Series) -> pd.Series:
-    def merge(parts):
-        pairs = sorted(tuple(x) for p in parts for x in np.frombuffer(p, np.int32).reshape(-1, 2).tolist())
-        out: list[list[int]] = []
-        for a, b in pairs:
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(b, out[-1][1])
-            else:
-                out.append([a, b])
-        return np.array(out, np.int32).tobytes()
+def item_windows(benchmark: DataFrame, counts: np.ndarray, window: int) -> DataFrame:
+    """item_id, window (its words, a blank between), n (their number), shingle (its prefix), at (where in it that stands)."""
+
+    def build(batches):
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
+                buf, offsets = flat_text(pa.array([text.as_py()], pa.string()))
+                clean, starts, ends, _, words = _words(buf, offsets)
+                own = [clean[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                size = min(window, len(own))
+                if not size:
+                    continue
+                shingles = rolling(words, 2) if size > 1 else _single(words)
+                rarity = counts[_slot(words)]
+                rarity = np.minimum(rarity[:-1], rarity[1:]) if size > 1 else rarity
+                n = len(own) - size + 1
+                width = max(1, size - 1)
+                rank = np.empty(len(shingles), np.int64)  # ties by hash
+                rank[np.lexsort((shingles, rarity))] = np.arange(len(shingles))
+                at = np.lib.stride_tricks.sliding_window_view(rank, width)[:n].argmin(1)
+                prefix = shingles[np.arange(n) + at].view(np.int64)
+                texts = [" ".join(own[j : j + size]) for j in range(n)]
+                columns = [pa.array([item] * n, pa.string()), pa.array(texts), pa.array([size] * n, pa.int32()), pa.array(prefix), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["item_id", "window", "n", "shingle", "at"])
+
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    return written(rows.mapInArrow(build, "item_id string, window string, n int, shingle long, at int"))
+
+
+def _prefix_bitmap(heads: DataFrame) -> np.ndarray:
+    """Packed bits, set at each prefix modulo their number."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PREFIX_BITS * max(1, heads.count()) - 1).bit_length()))
+    place = F.pmod(F.col("shingle"), F.lit(bits))
+    maps = heads.select(place.alias("place")).select((F.col("place") / 32768).cast("int").alias("part"), (F.col("place") % 32768).alias("bit"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in maps.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect():  # 4096 of 4 kB at most
+        out[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.map, np.uint8)
+    return out
+
+
+def _scan(docs: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
+    """doc_id, row_key, n_words and spots: where a shingle may be a prefix, with the words that a window there can cover."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    return hits.map(merge)
+    def maybe(shingles: np.ndarray) -> np.ndarray:
+        place = shingles & np.uint64(8 * len(shared.value) - 1)  # a power of two, so as pmod of the signed number
+        return np.flatnonzero(shared.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
 
+    def scan(batches):
+        for batch in batches:
+            n_words, per_doc, spots = [], [], []
+            for _, buf, offsets in split_chunks(batch):
+                clean, starts, ends, first, words = _words(buf, offsets)
+                one, two = _single(words), rolling(words, 2)
+                p = maybe(two)
+                doc = np.searchsorted(first, p, "right") - 1
+                p, doc = p[p + 1 < first[doc + 1]], doc[p + 1 < first[doc + 1]]
+                q = maybe(one)
+                begin = np.concatenate([np.maximum(first[doc], p - window + 2), q])
+                stop = np.concatenate([np.minimum(first[doc + 1], p + window), q + 1])
+                own = np.concatenate([doc, np.searchsorted(first, q, "right") - 1])
+                at, shingle = np.concatenate([p, q]), np.concatenate([two[p], one[q]]).view(np.int64)
+                order = np.argsort(own, kind="stable")
+                begin, stop, own, at, shingle = begin[order], stop[order], own[order], at[order], shingle[order]
+                around = [clean[a:b].tobytes().decode() for a, b in zip(starts[begin].tolist(), ends[stop - 1].tolist(), strict=True)]
+                fields = [pa.array(shingle), pa.array((at - first[own]).astype(np.int32)), pa.array((begin - first[own]).astype(np.int32)), pa.array(around, pa.string())]
+                spots.append(pa.StructArray.from_arrays(fields, fields=list(SPOT)))
+                per_doc.append(np.bincount(own, minlength=len(offsets) - 1))
+                n_words += np.diff(first).tolist()
+            ends_of = np.concatenate([[0], np.cumsum(np.concatenate(per_doc))]) if per_doc else np.zeros(1)
+            every = pa.concat_arrays(spots) if spots else pa.array([], SPOT)
+            lists = pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), every)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(n_words, pa.int64()), lists], ["doc_id", "row_key", "n_words", "spots"])
 
-@F.pandas_udf(T.LongType())
-def _covered(hits: pd.Series) -> pd.Series:
-    return hits.map(lambda x: int(np.diff(np.frombuffer(x, np.int32).reshape(-1, 2), axis=1).sum()))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    schema = f"doc_id {kind}, row_key long, n_words long, spots array<struct<shingle:long,at:int,first:int,around:string>>"
+    return written(rows.mapInArrow(released(scan), schema))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, hits (runs of hit words), items, n_hit, n_items, contaminated for each row of ``docs``.
+    """doc_id, n_words, hits (disjoint runs of hit words: start, end), items, n_hit, n_items, contaminated for each row of ``docs``.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.  A document is contaminated when words are hit and
     ``share`` times their number reaches its number of words.  Null or wordless texts have no words, hits or items; an
     item without words has no window; an item without item_id is skipped; items with one text all count; an empty
-    benchmark hits nothing.  Rows are independent, so repeated rows repeat their result, in however many blocks the
-    benchmark is taken.
+    benchmark hits nothing.  Rows are independent: each row returns one row, and repeated rows repeat their result.
     """
-    blocks = _blocks(benchmark)
-    found, more = None, None
-    for b in range(blocks):
-        part = benchmark.where("item_id is not null").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        items = part.select(F.col("item_id").cast("string").alias("item_id"), "text").collect()
-        scanned = _scan(docs, Windows([r.item_id for r in items], [r.text for r in items], window))
-        if found is None:
-            found = scanned
-        else:
-            hit = scanned.where("size(items) > 0")
-            more = hit if more is None else more.unionByName(hit)
-    if more is not None:  # the further blocks' hits of a text meet, and join every row that the first block returned
-        more = more.groupBy(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).agg(
-            F.collect_set("hits").alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items")
-        )
-        found = found.join(more, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row_key") == F.col("_row_key")), "left")
-        hits = F.when(F.col("_hits").isNull(), F.array("hits")).otherwise(F.concat("_hits", F.array("hits")))
-        items = F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.array_union("items", "_items"))
-        found = found.withColumn("hits", _merged(hits)).withColumn("items", items).withColumn("n_hit", _covered("hits")).drop("_doc_id", "_row_key", "_hits", "_items")
-    found = found.withColumn("n_items", F.size("items").cast("long"))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    windows = item_windows(benchmark, _word_counts(docs), window)
+    heads = written(windows.select("window", "n", F.col("shingle").alias("head"), F.col("at").alias("offset")).distinct())
+    found = _scan(docs, _prefix_bitmap(heads.select(F.col("head").alias("shingle"))), window)
+
+    spots = found.where("size(spots) > 0").select("doc_id", "row_key", F.inline("spots"))
+    small = heads.count() * 40 * window <= BROADCAST_BYTES
+    met = spots.join(heads.hint("broadcast" if small else "merge"), F.col("shingle") == F.col("head"))
+    words = F.array_remove(F.split("around", " "), "")
+    start = F.col("at") - F.col("offset")
+    fits = met.withColumns({"start": start, "from": start - F.col("first"), "words": words}).where("from >= 0 and from + n <= size(words)")
+    same = fits.where(F.array_join(F.slice("words", F.col("from") + 1, F.col("n")), " ") == F.col("window"))
+    hits = written(same.select("doc_id", "row_key", "start", (F.col("start") + F.col("n")).alias("end"), "window").distinct())
+
+    spans = hits.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    of = windows.select("window", "item_id").distinct()
+    items = hits.select("doc_id", "row_key", "window").join(of, "window").groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    key = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row_key") == F.col("_row_key"))
+    hit = spans.join(items.withColumnsRenamed({"doc_id": "_doc_id", "row_key": "_row_key"}), key).drop("_doc_id", "_row_key")
+
+    # spans that overlap or touch become one run
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    runs = F.aggregate("spans", none, lambda out, s: F.when(
+        (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]),
+        F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end")))),
+    ).otherwise(F.concat(out, F.array(s))))
+    hit = written(hit.select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key"), runs.alias("hits"), "items"))
+    total = hit.agg(F.count("*").alias("n"), F.sum(F.size("hits") + 4 * F.size("items")).alias("parts")).first()
+    joined = found.drop("spots").join(hit.hint("broadcast" if 16 * (2 * total.n + (total.parts or 0)) <= BROADCAST_BYTES else "shuffle_hash"), key, "left").drop("_doc_id", "_row_key", "row_key")
+    out = joined.withColumns({"hits": F.coalesce("hits", none), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])).withColumn("n_items", F.size("items").cast("long"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one hashes every text to two slots of a filter of fixed size and keeps, as bitmaps, the slots that more than one
-row hits.  Pass two tests every row's slots against these bitmaps: a row with a slot of its own is unique and passes
-straight through; the rest are grouped by their SHA-256.  The filter has at most ``MAX_BITS`` bits, so what is broadcast
-is at most 16 MB whatever the input; when it fills up, more rows are grouped and the result is the same.  Groups are
-counted with map-side partial aggregates, so a group with a third of all rows costs one row a task.
+The filter is dealt into blocks by hash range, and grows with the rows: 16 bits a row.  Pass one hashes every text's digest to
+a block and two bits in it, and keeps, as bitmaps, the bits that more than one row sets; what travels is a few bytes a row,
+added up in each task first.  Pass two tests every row's bits: a row with a bit of its own is unique and passes straight
+through; the rest, the repeated ones and some per cent of the others, are grouped by their SHA-256.  Bitmaps are broadcast up
+to 32 MB (some 16 million rows); beyond that digests meet their block by a join, never texts.  Groups are counted with
+map-side partial aggregates, so a group with a third of all rows costs one row a task.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, written
 
-#: Bits of the filter: 16 a row, between these bounds.
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
+#: Bits of the filter for each row, and of a block.
+ROW_BITS, BLOCK_BITS = 16, 32768
 
 
 def normalised(text: Column) -> Column:
@@ -23,13 +24,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _slots(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed), F.col("text_sha256")), F.lit(bits)) for seed in (1, 2)]
+def _hash(seed: int, mod: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("text_sha256")), F.lit(mod))
 
 
-def _bitmap_bit(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.shiftright(byte, 0).bitwiseAND(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), position % 8).cast("int")) != 0
+def _has_bit(bitmap: str, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -41,27 +42,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     an empty table.
     """
     digests = written(docs.select("doc_id", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256")))
-    rows = digests.count()
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()))
-    one, two = _slots(bits)
+    blocks = -(-max(1, ROW_BITS * digests.count()) // BLOCK_BITS)
+    placed = digests.withColumns({"block": _hash(1, blocks), "bit1": _hash(2, BLOCK_BITS), "bit2": _hash(3, BLOCK_BITS)})
 
-    hit_twice = (
-        digests.select(F.explode(F.array(one, two)).alias("slot"))
-        .groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    )
-    bitmaps = written(
-        hit_twice.select(F.expr("slot div 32768").alias("bucket"), (F.col("slot") % 32768).alias("position"))
-        .groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bitmap"))
-    )
-
-    tested = digests.withColumns({"slot1": one, "slot2": two})
-    for i in ("1", "2"):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"bucket{i}"), F.col("bitmap").alias(f"bitmap{i}")))
-        tested = tested.join(side, F.expr(f"slot{i} div 32768") == F.col(f"bucket{i}"), "left")
-    possible = F.coalesce(
-        _bitmap_bit(F.col("bitmap1"), F.col("slot1") % 32768) & _bitmap_bit(F.col("bitmap2"), F.col("slot2") % 32768), F.lit(False)
-    )
+    set_twice = placed.select("block", F.explode(F.array_distinct(F.array("bit1", "bit2"))).alias("bit")).groupBy("block", "bit").agg(F.count("*").alias("n")).where("n > 1")
+    bitmaps = written(set_twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    tested = join_checked(placed, bitmaps, ["block"], bitmaps.count(), BLOCK_BITS // 8 + 64)
+    possible = F.coalesce(_has_bit("bitmap", F.col("bit1")) & _has_bit("bitmap", F.col("bit2")), F.lit(False))
     tested = tested.select("doc_id", "text_sha256", possible.alias("possible"))
+    if bitmaps.count() * BLOCK_BITS // 8 > 32 << 20:  # the join has moved the digests, and isn't done again
+        tested = written(tested)
 
     groups = written(
         tested.where("possible").groupBy("text_sha256")

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import re
 
@@ -141,7 +142,7 @@ def test_components_of_chains(spark):
     assert {r.node: r.root for r in near_dedup.components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_exact_dedup(docs, rows, empty):
+def test_exact_dedup(docs, rows, empty, monkeypatch):
     norm = {i: re.sub(BLANK, " ", t or "") for i, t in rows} | {"none": "no id here"}
     got = exact_dedup.exact_dedup(docs)
     assert got.count() == docs.count()
@@ -151,6 +152,11 @@ def test_exact_dedup(docs, rows, empty):
         same = [j for j in copies if norm[j] == norm[i]]
         assert (keep, size, kept, digest) == (min(same), len(same), i == min(same), sha(norm[i]))
     assert exact_dedup.exact_dedup(empty).count() == 0
+    monkeypatch.setattr(exact_dedup, "ROW_BITS", 0)  # one block for all rows
+    monkeypatch.setattr(exact_dedup, "BLOCK_BITS", 64)  # in which nearly every bit is set twice
+    monkeypatch.setattr(exact_dedup, "join_checked", functools.partial(exact_dedup.join_checked, limit=0))
+    every = lambda df: sorted(str(r) for r in df.collect())
+    assert every(exact_dedup.exact_dedup(docs)) == every(got)
 
 
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -180,7 +186,13 @@ def test_contamination(docs, rows, empty, monkeypatch):
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert by_id(decontaminate.contamination_digest(docs, bench), *columns) == want
     assert any(w[1] for w in want.values())
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)  # several blocks of items
+    every = lambda found: sorted((str(r) for r in found.select("doc_id", *columns).collect()))
+    assert len(every(decontaminate.contamination_digest(docs, bench))) == docs.count()  # repeated rows and rows without doc_id too
+    twice = docs.unionByName(docs)
+    assert every(decontaminate.contamination_digest(twice, bench)) == sorted(2 * every(decontaminate.contamination_digest(docs, bench)))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 15)  # a bitmap that lets nearly everything through
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 1 << 15)
+    monkeypatch.setattr(decontaminate, "PREFIX_BITS", 1)
     assert by_id(decontaminate.contamination_digest(docs, bench), *columns) == want
     assert decontaminate.contamination_digest(empty, bench).count() == 0
     assert by_id(decontaminate.contamination_digest(docs, bench.limit(0)), "n_hit") == {i: (0,) for i, _ in rows}
@@ -215,14 +227,15 @@ def test_language_of_long_documents_only(spark):
     assert by_id(language_id.language_mixture(docs, model), "lang_pred") == {1: ("es",), 2: ("de",), 3: ("de",)}
 
 
-def test_decontamination_in_blocks_returns_each_row(spark, monkeypatch):
+def test_decontamination_returns_each_row_whatever_the_bounds(spark, monkeypatch):
     item = " ".join(f"w{j}" for j in range(20))
     data = [(1, item), (1, item), (2, "clean"), (2, "clean"), (None, "clean"), (None, "clean"), (None, item), (None, item), (3, None), (3, item.replace("w5 ", "x ") + " " + item[:-4])]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     benchmark = spark.createDataFrame([(i, item if i % 2 else f"{item[4:]} a{i}") for i in range(12)], "item_id long, text string")
     plain = lambda df: sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
     one = plain(decontaminate.contamination_digest(docs, benchmark))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    for name, value in (("MOST_BITS", 1 << 15), ("LEAST_BITS", 1 << 15), ("PREFIX_BITS", 1), ("BROADCAST_BYTES", 0)):  # a full bitmap, joins by shuffle
+        monkeypatch.setattr(decontaminate, name, value)
     several = decontaminate.contamination_digest(docs, benchmark)
     assert several.count() == len(data) and plain(several) == one
 
