@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, released, rolling, shuffle_partitions, slice_hashes, word_bounds, word_hashes, written
 
-#: Text that a task gathers before it packs blocks, text whose segments share a bucket, and parts that a bucket is solved in.
-FLUSH_BYTES, BUCKET_BYTES, PARTS = 12 << 20, 6 << 20, 8
+#: Text that a task gathers before it packs blocks, text whose segments share a bucket, buckets of a partition, and parts
+#: that a bucket is solved in.
+FLUSH_BYTES, BUCKET_BYTES, PART_BUCKETS, PARTS = 12 << 20, 6 << 20, 4, 8
 
 
 @dataclass
@@ -227,8 +228,9 @@ def repeated_runs(docs: DataFrame, symbols: Symbols, window: int, solver: Callab
     text) with a window that also starts in a document with a smaller doc_id; a written table, one row a document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    parts = shuffle_partitions(spark)
-    buckets = max(2 * parts, -(-size // BUCKET_BYTES))
+    buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
+    parts = max(shuffle_partitions(spark), -(-buckets // PART_BUCKETS))  # partitions grow in number with the input, not in size
+    targets = max(shuffle_partitions(spark), parts // 16)
 
     def flush(pending):
         if not pending:
@@ -265,33 +267,31 @@ def repeated_runs(docs: DataFrame, symbols: Symbols, window: int, solver: Callab
                     pending, held = [], 0
         yield from flush(pending)
 
-    def receive(batches):
-        blocks: dict[int, list[bytes]] = {}
+    def together(batches, key: str):
+        """(number, opened blocks) of each value of a key by which the rows are sorted."""
+        number, blocks = None, []
         for batch in batches:
-            for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                blocks.setdefault(b, []).append(block)
-        found = []
-        while blocks:
-            opened = [zstandard.ZstdDecompressor().decompress(x) for x in blocks.popitem()[1]]
-            found += [solve(symbols, window, opened, part, solver).astype(np.int64) for part in range(PARTS)]
-        if not found:
-            return
-        found = np.concatenate(found, 1)
-        target = (mix(found[0].astype(np.uint64) ^ found[1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(target, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
-            if len(own):
-                block = zstandard.ZstdCompressor(level=1).compress(found[:, own].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([target[own[0]]], pa.int32()), pa.array([block], pa.binary())], ["target", "block"])
+            for own, block in zip(batch.column(key).to_pylist(), batch.column("block"), strict=True):
+                if own != number and blocks:
+                    yield number, blocks
+                    blocks = []
+                number = own
+                blocks.append(zstandard.ZstdDecompressor().decompress(block.as_buffer()))
+        if blocks:
+            yield number, blocks
+
+    def receive(batches):
+        for _, opened in together(batches, "bucket"):
+            found = np.concatenate([solve(symbols, window, opened, part, solver).astype(np.int64) for part in range(PARTS)], 1)
+            target = (mix(found[0].astype(np.uint64) ^ found[1].astype(np.uint64)) % np.uint64(targets)).astype(np.int32)
+            order = np.argsort(target, kind="stable")
+            own = [x for x in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(x)]
+            packed = [zstandard.ZstdCompressor(level=1).compress(found[:, x].tobytes()) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([target[x[0]] for x in own], pa.int32()), pa.array(packed, pa.binary())], ["target", "block"])
 
     def join_runs(batches):
-        blocks: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for x, block in zip(batch.column("target").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                blocks.setdefault(x, []).append(block)
-        while blocks:
-            opened = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(4, -1) for x in blocks.popitem()[1]]
-            doc, key, start, count = np.concatenate(opened, 1)
+        for _, opened in together(batches, "target"):
+            doc, key, start, count = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in opened], 1)
             order = np.lexsort((key, doc))
             doc, key, pairs = doc[order], key[order], np.stack([start, start + count], 1)[order]
             first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(key) != 0)]))
@@ -301,8 +301,8 @@ def repeated_runs(docs: DataFrame, symbols: Symbols, window: int, solver: Callab
                 yield pa.RecordBatch.from_arrays([pa.array(doc[first[i : i + 5000]]), pa.array(key[first[i : i + 5000]]), pa.array(runs, pa.binary())], ["doc_id", "row_key", "runs"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    sent = rows.mapInArrow(released(send), "bucket int, block binary").repartition(parts, "bucket")
-    found = sent.mapInArrow(released(receive), "target int, block binary").repartition(parts, "target")
+    sent = rows.mapInArrow(released(send), "bucket int, block binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(released(receive), "target int, block binary").repartition(targets, "target").sortWithinPartitions("target")
     return written(found.mapInArrow(released(join_runs), "doc_id long, row_key long, runs binary"))
 
 
