@@ -43,3 +43,34 @@ def test_append_dedup_and_export(spark, tmp_path):
     assert sorted(r.id for r in files.append_dedup(new, old, ["url", "text"], ["id"]).collect()) == [1, 2, 5]
     files.export_csv(old, str(tmp_path / "x"), ["id", "missing"])
     assert spark.read.csv(str(tmp_path / "x"), header=True).where("missing = 'N/A'").count() == 2
+
+
+def test_registry_and_taxonomy(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text('{"ministry": "power", "issue_count": 2,\n "issues": [{"slug": "x", "label": "X", "mention_count": 3}, {"slug": "y", "label": "Y", "mention_count": 1}]}')
+    (tmp_path / "r" / "b.json").write_text('{"ministry": "works", "issue_count": 0, "issues": []}')
+    (tmp_path / "r" / "notes.txt").write_text("no JSON")
+    rows = files.read_issue_registry(spark, str(tmp_path / "r"))
+    assert sorted((r.ministry, r.slug, r.mention_count) for r in rows.collect()) == [("power", "x", 3), ("power", "y", 1)]
+    (tmp_path / "t.csv").write_text("ministry_key,ministry_name,subcategory_key,subcategory_name\npower,Power,grid,The Grid\n")
+    assert [tuple(r) for r in files.read_taxonomy(spark, str(tmp_path / "t.csv")).collect()] == [("power", "Power", "grid", "The Grid")]
+
+
+def test_append_sink_and_public_record(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", float("nan")), (2, "b", 0.5)], "user_id long, text string, score double")
+    for _ in range(2):
+        files.append_mentions(rows, str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert stored.count() == 4 and {x.name for x in (tmp_path / "m").iterdir() if x.is_dir()} == {"user_id=1", "user_id=2"}
+    assert sorted((r.text, r.score) for r in files.to_public_record(rows).collect() if r.score is not None) == [("b", 0.5)]
+
+
+def test_page_links_and_dates(spark):
+    html = """<h2>Minister opens a bridge</h2><p>On 3 May 2024, and on 2024-05-04, much was said about the bridge.</p>
+    <div class="pagination"><a href="/p/2">go</a></div><a href="/more">More from Works</a><a href="?page=3">x</a><a href="/n">Next</a><a href="/seven">7</a><a href="#top">2</a><br>"""
+    from pressmill.sources import pages
+
+    row = pages.extract_articles(spark.createDataFrame([(1, "https://a.b/", html), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert row[0].title == "Minister opens a bridge" and row[0].is_article and row[0].date_text == "2024-05-04" and row[0].link == "https://a.b/p/2"
+    assert row[0].sections == ["https://a.b/more"] and row[0].further_pages == ["https://a.b/p/2", "https://a.b/?page=3", "https://a.b/n", "https://a.b/seven"]
+    assert not row[1].is_article and row[1].link is None
