@@ -346,3 +346,41 @@ def test_structured_texts_do_not_collide(spark):
     assert found == {1: (1,), 2: (2,)}
     benchmark = spark.createDataFrame([("i", " ".join([one, *tail]))], "item_id string, text string")
     assert by_id(decontaminate.contamination(docs, benchmark), "n_hit") == {1: (13,), 2: (0,), 3: (0,), 4: (0,)}
+
+
+def test_near_duplicates_find_planted_copies(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(near_dedup, "TILE", 16)  # several tiles a bucket, several parts a hub
+    monkeypatch.setattr(near_dedup, "HUB_PART", 8)
+    texts = []
+    for _ in range(60):
+        base = [f"{rng.randrange(10**6)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 4, 6):
+            own = list(base)
+            for at in rng.sample(range(120), changes):
+                own[at] = f"{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i // 5 * 5, i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    found = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2), "component_id")
+    assert len(links) > 300 and all(found[i] == found[j] for i, j in links)
+    assert all(found[i][0] // 5 == i // 5 for i in found)
+
+
+def test_long_texts_cross_chunks(spark, monkeypatch):
+    from pressmill.llm import common, segments
+
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1000)  # in this process: the windows of items; tasks take their own
+    monkeypatch.setattr(segments, "FLUSH_BYTES", 4000)
+    words = [f"word{i}" for i in range(6000)]
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, long), (2, "x " + long + " y"), (3, " ".join(words[5000:5040]))], "doc_id long, text string")
+    assert by_id(substring_words.removed_words_digest(docs), "n_words", "n_removed") == {1: (6000, 0), 2: (6002, 6000), 3: (40, 40)}
+    raw = {i: t.encode() for i, t in ((1, long), (2, "x " + long + " y"), (3, " ".join(words[5000:5040])))}
+    assert by_id(substring_bytes.removed_bytes_digest(docs), "n_removed") == {i: (int(m.sum()),) for i, m in removed(raw, 50)}
+    assert by_id(near_dedup.near_duplicates(docs), "component_id") == {1: (1,), 2: (1,), 3: (3,)}
+    benchmark = spark.createDataFrame([("i", " ".join(words[5990:]))], "item_id string, text string")
+    assert by_id(decontaminate.contamination(docs, benchmark), "n_hit") == {1: (10,), 2: (10,), 3: (0,)}
