@@ -384,3 +384,41 @@ def test_long_texts_cross_chunks(spark, monkeypatch):
     assert by_id(near_dedup.near_duplicates(docs), "component_id") == {1: (1,), 2: (1,), 3: (3,)}
     benchmark = spark.createDataFrame([("i", " ".join(words[5990:]))], "item_id string, text string")
     assert by_id(decontaminate.contamination(docs, benchmark), "n_hit") == {1: (10,), 2: (10,), 3: (0,)}
+
+
+CLASH = "doc_id long, text string, lang string, score double, toxic int, n long, size long, removed string, k string"
+
+
+def test_models_and_lines_with_odd_tables(spark):
+    rows = [(1, "alpha beta gamma delta\r\nalpha beta gamma delta\none", "aa"), (1, "alpha beta gamma delta\r\nalpha beta gamma delta\none", "aa"), (2, None, "aa"), (3, "", None), (4, "alpha beta gamma delta\n\n", "bb"), (None, "alpha", "aa")]
+    docs = spark.createDataFrame([(*r, 0.0, 1, 5, 6, "x", "y") for r in rows], CLASH)
+    model = language_id.train(docs)
+    assert model.languages == ["aa", "bb"]
+    found = language_id.language_mixture(docs, model).collect()
+    assert len(found) == len(rows) and len({(r.lang_pred, r.score) for r in found if r.doc_id == 1}) == 1
+    assert language_id.language_mixture(docs.limit(0), model).count() == 0
+    toxic = toxicity.train(docs, spark.createDataFrame([(1, 1, None), (1, 1, None), (4, 0, None)], "doc_id long, toxic int, text string"))
+    scored = toxicity.toxicity(docs, toxic).collect()
+    assert len(scored) == len(rows) and len({r.score for r in scored if r.doc_id == 1}) == 1 and toxicity.toxicity(docs.limit(0), toxic).count() == 0
+    lines = {(r.doc_id, r.n_lines, tuple(r.removed), r.kept) for r in line_dedup.line_dedup(docs).collect()}
+    assert lines == {(1, 3, (1,), "alpha beta gamma delta\r\none"), (2, 0, (), None), (3, 1, (), ""), (4, 3, (0,), "\n"), (None, 1, (), "alpha")}
+    digests = {(r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.line_dedup_digest(docs).collect()}
+    assert digests == {(i, n, len(gone), sha(kept or "")) for i, n, gone, kept in lines}
+
+
+def test_near_lines_of_one_group_need_no_chain(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(30)]
+    lines = []
+    for _ in range(150):
+        own = list(base)
+        for at in rng.sample(range(30), rng.randint(0, 4)):
+            own[at] = f"v{rng.randrange(10**6)}"
+        lines.append(" ".join(own))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(50)], "doc_id long, text string").repartition(4)
+    sets = [frozenset(x.split()) for x in lines]
+    want = {(k // 3, k % 3) for k in range(150) if any(5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]) for j in range(k))}
+    got = {(r.doc_id, j) for r in line_dedup.line_dedup(docs).collect() for j in r.removed}
+    assert got == want and len(want) > 100
