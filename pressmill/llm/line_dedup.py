@@ -64,9 +64,9 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _first(sets: DataFrame) -> DataFrame:
-    """The first place (doc, line) of each distinct set that another set can be near to; smaller ones are near to equal ones alone."""
-    first = sets.where("n > 3").groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "second", "prefix")).alias("f"))
-    return written(first.select(F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n", "f.parity", "f.second", "f.prefix"))
+    """Each distinct set with its first place (doc, line) and its number of copies; a written table."""
+    first = sets.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no", "parity", "second", "prefix")).alias("f"), F.count("*").alias("copies"))
+    return written(first.select(*SET, "copies", F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "f.parity", "f.second", "f.prefix"))
 
 
 def _may_be_near(x: str, y: str) -> str:
@@ -85,7 +85,8 @@ def _may_be_near(x: str, y: str) -> str:
 
 
 def _keyed(first: DataFrame) -> DataFrame:
-    rows = first.select("doc", "line", "n", "parity", "second", F.posexplode("prefix").alias("i", "token"))
+    """A row for each token of the prefixes; sets of three tokens or fewer are near to equal ones alone."""
+    rows = first.where("n > 3").select("doc", "line", "n", "parity", "second", F.posexplode("prefix").alias("i", "token"))
     return rows.select("token", "doc", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("n_i"), "parity", "second")
 
 
@@ -116,12 +117,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id and removed (array of line numbers, from 0) of documents with lines that an earlier line is near to."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sets = written(_sets(docs)).where("n > 0")
-    later = _later(docs, _first(sets))
-    slim = sets.select("doc_id", "line_no", *SET)
-    near = slim.join(later, ["doc_id", "line_no"], "left_semi").select(*SET).distinct().withColumn("near", F.lit(True))
-    first = slim.groupBy(*SET).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
-    judged = first.join(near, SET, "left").where("copies > 1 or near").select(*SET, "first", "near")
-    removed = slim.join(judged, SET).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first")))
+    first = _first(sets)
+    near = _later(docs, first).toDF("doc", "line").withColumn("near", F.lit(True))
+    judged = join_checked(first, near, ["doc", "line"], near.count(), 16).where("copies > 1 or near").select(*SET, "doc", "line", "near")
+    removed = sets.select("doc_id", "line_no", *SET).join(judged, SET).where("near or doc_id != doc or line_no != line")
     return written(removed.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("removed")))
 
 
@@ -143,9 +142,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = repeated_lines(docs)
     total = found.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("lines")).first()
     rows = join_checked(docs.select("doc_id", "text"), found, ["doc_id"], 4 * total.n + (total.lines or 0), 8)
-    lines = F.split("text", "\n")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(lines_left(F.col("text"), F.col("removed")))
-    return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), kept.alias("kept"))
+    return rows.select("doc_id", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), kept.alias("kept"))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
