@@ -68,13 +68,18 @@ def test_near_dup_classes_pair_no_copies(spark):
     assert {r.entry_id: (r.class_id, r.dropped) for r in members.collect()} == {**{i: (0, True) for i in range(3000)}, 3000: (3000, False), 3001: (3000, True), 3002: (3002, False)}
 
 
-def test_near_dup_classes_drop_what_pairs_drop(spark):
+def test_near_dups_are_those_of_all_pairs(spark):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(24)]
     texts = [" ".join(rng.sample(base, 24 - rng.randint(0, 3))) + " " * rng.randint(0, 3) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "entry_id long, text string")
-    gone = {r.drop_id for r in dedup.near_dups_jaccard(df).collect()}
-    assert gone and gone == {r.entry_id for r in dedup.near_dup_classes(df)[0].where("dropped").collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    pairs = {(a, b) for b in range(60) for a in range(b) if 100 * len(sets[a] & sets[b]) > 85 * len(sets[a] | sets[b])}
+    drop = {(a, b): a if len(texts[a]) < len(texts[b]) else b for a, b in pairs}
+    assert pairs and set(drop.values()) == {r.entry_id for r in dedup.near_dup_classes(df)[0].where("dropped").collect()}
+    first = [sets.index(x) for x in sets]
+    wanted = {(a, b) for a, b in pairs if first[a] == a and first[b] in (a, b)}
+    assert {(r.a, r.b): r.drop_id for r in dedup.near_dups_jaccard(df).collect()} == {x: drop[x] for x in wanted}
 
 
 def test_location_backlog_is_whole(spark):
