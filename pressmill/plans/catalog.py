@@ -164,7 +164,7 @@ def _(spark, sf_dir):
     return filters.by_ids(t.mentions(spark, sf_dir), ids).select("entry_id")
 
 
-@query("f16_facebook_pages")
+@query("f16_facebook_pages", r"SELECT page_id, regexp_matches(lower(url), '^[a-z]+://([^/]*\.)?(facebook|fb)\.com/+[^/?#]') AND regexp_extract(lower(url), '^[a-z]+://[^/]*/+([^/?#]*)', 1) NOT IN ('watch', 'events', 'groups', 'marketplace', 'hashtag', 'search', 'photo.php', 'story.php', 'sharer', 'login', 'help', 'policies') AS is_page FROM pages")
 def _(spark, sf_dir):
     return t.read(spark, sf_dir, "pages").select("page_id", filters.facebook_page(F.col("url")).alias("is_page"))
 
