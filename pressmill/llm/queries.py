@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, substring_bytes, substring_words, token_counts, toxicity
+from . import bpe, decontaminate, exact_dedup, language_id, lexical_search, line_dedup, near_dedup, quality, substring_bytes, substring_words, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -59,6 +59,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_bpe, op4_suffix_array_dedup, op5_line_dedup, op6_substring_dedup,
-        op7_near_dedup, op8_exact_dedup, op9_decontamination, op10_toxicity, op12_quality_rules, pipeline,
+        op7_near_dedup, op8_exact_dedup, op9_decontamination, op10_toxicity, op12_quality_rules, op13_lexical_search, pipeline,
     )
 }
 
@@ -129,4 +133,22 @@ ORACLE_SQL = {
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
                n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, level::INTEGER AS level, coalesce(failed, '') AS failed
         FROM based LEFT JOIN chosen USING (r) LEFT JOIN failing USING (r)""",
+    "op13_lexical_search": r"""
+        WITH words AS (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+        tf AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        docs AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+        total AS (SELECT count(*) AS documents, sum(n)::BIGINT AS length FROM docs),
+        asked AS (
+            SELECT DISTINCT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)),
+        weights AS (SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, documents),
+        scores AS (
+            SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // length))))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (r), total GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
