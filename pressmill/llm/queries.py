@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, lexical_search, line_dedup, near_dedup, quality, substring_bytes, substring_words, token_counts, toxicity
+from . import alignment, bpe, decontaminate, exact_dedup, language_id, lexical_search, line_dedup, near_dedup, quality, substring_bytes, substring_words, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
 
@@ -73,7 +77,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_bpe, op4_suffix_array_dedup, op5_line_dedup, op6_substring_dedup,
-        op7_near_dedup, op8_exact_dedup, op9_decontamination, op10_toxicity, op12_quality_rules, op13_lexical_search, pipeline,
+        op7_near_dedup, op8_exact_dedup, op9_decontamination, op10_toxicity, op11_token_alignment, op12_quality_rules, op13_lexical_search, pipeline,
     )
 }
 
