@@ -291,10 +291,11 @@ def token_alignment(docs: DataFrame, a: str = "byte_bpe_50k.tiktoken", b: str =
         v = vocabularies(a, b)
         number, own, held, at, id_type = TaskContext.get().partitionId() << 24, [], 0, 0, None
 
-        def rows(k: int, n: int, start: int, **columns) -> pa.RecordBatch:
-            types = {"pair": pa.int64(), "n": pa.int64(), "links": pa.binary(), "doc_id": id_type, "groups_sha256": pa.string()}
-            given = {"block": np.full(n, number), "kind": np.full(n, k, np.int32), "at": np.arange(start, start + n, dtype=np.int32), **columns}
-            return pa.RecordBatch.from_arrays([pa.array(given[c]) if c in given and not isinstance(given[c], pa.Array) else given.get(c, pa.nulls(n, types.get(c, pa.int64()))) for c in names], names)
+        def rows(step: int, size: int, start: int, **columns) -> pa.RecordBatch:
+            types = {"links": pa.binary(), "doc_id": id_type, "groups_sha256": pa.string()}
+            given = {"block": np.full(size, number), "kind": np.full(size, step, np.int32), "at": np.arange(start, start + size, dtype=np.int32), **columns}
+            arrays = [given.get(c) if c in given else pa.nulls(size, types.get(c, pa.int64())) for c in names]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names)
 
         def flush():
             pairs, counts, packed = _block_rows(own)
