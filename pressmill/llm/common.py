@@ -77,9 +77,9 @@ def flat_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """(first, last) text numbers of runs of texts of at most about ``limit`` bytes."""
-    n, i = len(offsets) - 1, 0
+def chunks(offsets: np.ndarray, limit: int | None = None):
+    """(first, last) text numbers of runs of texts of at most about ``limit`` bytes, CHUNK_BYTES by default."""
+    n, i, limit = len(offsets) - 1, 0, limit or CHUNK_BYTES
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j
@@ -144,21 +144,44 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words: of up to eight bytes a one-to-one mix of the bytes for each length, of more xxh3."""
-    import xxhash
+def first_eight(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each slice as a number, zeros for bytes that it lacks."""
+    eight = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    lacking = (8 - np.minimum(ends - starts, 8)).astype(np.uint64) * np.uint64(8)
+    return (eight[starts] << lacking) >> lacking
 
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, of two halves that are independent: equal words have equal hashes, and what depends on the
+    reverse compares bytes (see same_words)."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     size = ends - starts
-    eight = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
-    blank = (8 - np.minimum(size, 8)).astype(np.uint64) * np.uint64(8)
-    out = mix(((eight[starts] << blank) >> blank) ^ mix(size.astype(np.uint64)))
+    own = first_eight(buf, starts, ends) ^ (size.astype(np.uint64) << np.uint64(56))
+    halves = np.stack([mix(own), mix(own * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64))], 1)
     long = np.flatnonzero(size > 8)
     if len(long):
-        digest, view = xxhash.xxh3_64_intdigest, memoryview(np.ascontiguousarray(buf))
-        out[long] = np.fromiter((digest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
-    return out
+        halves[long] = slice_hashes(np.ascontiguousarray(buf), starts[long], ends[long])
+    return mix(halves[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F) + halves[:, 1])
+
+
+def same_words(hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for words of equal bytes alone: by hash, then compared byte by byte with the first."""
+    if len(starts) == 0:
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    other, size, head = first[number], ends - starts, first_eight(buf, starts, ends)
+    differ = (size != size[other]) | (head != head[other])
+    if not differ.any():
+        long = np.flatnonzero(size > 8)
+        rest = size[long] - 8
+        step = np.arange(int(rest.sum())) - np.repeat(np.cumsum(rest) - rest, rest)
+        differ = buf[np.repeat(starts[long] + 8, rest) + step] != buf[np.repeat(starts[other[long]] + 8, rest) + step]
+    if differ.any():  # two words with one hash
+        seen: dict[bytes, int] = {}
+        view = memoryview(np.ascontiguousarray(buf))
+        return np.array([seen.setdefault(bytes(view[a:b]), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return number
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

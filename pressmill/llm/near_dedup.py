@@ -78,6 +78,14 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return out
 
 
+def word_shingles(text: str, size: int) -> set[tuple[bytes, ...]]:
+    """A text's shingles as the words themselves."""
+    words = text.encode().translate(LOWER.tobytes()).split()
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(size)), strict=False))
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set1, set2 (hash of the set), bits (parity sketch of the set) and bands of each row."""
 
@@ -138,18 +146,23 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     met = join_checked(texts, wanted, ["doc_id"], wanted.count(), 40).where("hub is not null")
     met = met.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "member")
 
+    def linked(x, y) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True)) if isinstance(x, np.ndarray) else len(x & y)
+        return 100 * both >= 80 * (len(x) + len(y) - both)
+
     def compare(batches):
-        hub, own = None, None
+        hub, own, words = None, None, None
         for batch in batches:
             a, b = [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("hub", "doc_id", "member")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("hub", "doc_id", "member")), batch.column("text"), strict=True)
             sets = [s for _, buf, offsets in split_chunks(batch) for s in shingle_sets(buf, offsets, size)]
-            for (h, doc, member), shingles in zip(rows, sets, strict=True):
+            for (h, doc, member, text), shingles in zip(rows, sets, strict=True):
                 if not member:
-                    hub, own = h, shingles
-                elif h == hub:
-                    both = len(np.intersect1d(own, shingles, assume_unique=True))
-                    if 100 * both >= 80 * (len(own) + len(shingles) - both):
+                    hub, own, words = h, shingles, text
+                elif h == hub and linked(own, shingles):  # by hashes, which are only ever equal too often; then by words
+                    if not isinstance(words, set):
+                        words = word_shingles(words.as_py(), size)
+                    if linked(words, word_shingles(text.as_py(), size)):
                         a.append(h)
                         b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, released, rolling, shuffle_partitions, slice_hashes, word_bounds, word_hashes, written
+from .common import NOT_BLANK, chunks, flat_text, int_column, join_checked, mix, released, rolling, same_words, shuffle_partitions, slice_hashes, word_bounds, word_hashes, written
 
 #: Text that a task gathers before it packs blocks, text whose segments share a bucket, buckets of a partition, and parts
 #: that a bucket is solved in.
@@ -29,33 +29,35 @@ FLUSH_BYTES, BUCKET_BYTES, PART_BUCKETS, PARTS = 12 << 20, 6 << 20, 4, 8
 @dataclass
 class Symbols:
     """Kinds of symbols: parse() gives, for texts laid end to end, symbols as numbers, hashes of runs of ``run`` of them,
-    the number of symbols before each text, and the bytes where each symbol starts and ends."""
+    the number of symbols before each text, the bytes where each symbol starts and ends, and the bytes that tell contents
+    apart.  exact() turns the numbers into ones that are equal for equal symbols alone."""
 
     parse: Callable
     run: int
+    exact: Callable
 
 
 def parse_bytes(buf: np.ndarray, offsets: np.ndarray):
     n = len(buf)
     at = np.arange(n)
     if n < 12:
-        return buf, np.zeros(0, np.uint64), offsets, at, at + 1
+        return buf, np.zeros(0, np.uint64), offsets, at, at + 1, buf
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eight = np.ndarray((n,), "<u8", padded, strides=(1,))
     h = eight[: n - 11] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[4 : n - 7] >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return buf, h, offsets, at, at + 1
+    return buf, h, offsets, at, at + 1, buf
 
 
 def parse_words(buf: np.ndarray, offsets: np.ndarray):
     starts, ends, first = word_bounds(buf, offsets, NOT_BLANK)
     words = word_hashes(buf, starts, ends)
-    return words, rolling(words, 4), first, starts, ends
+    return words, rolling(words, 4), first, starts, ends, np.where(NOT_BLANK[buf], buf, np.uint8(0x20))
 
 
-BYTES, WORDS = Symbols(parse_bytes, 12), Symbols(parse_words, 4)
+BYTES, WORDS = Symbols(parse_bytes, 12, lambda values, *_: values), Symbols(parse_words, 4, same_words)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -89,7 +91,7 @@ class Segments:
 
 
 def cut(symbols: Symbols, window: int, buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, key: np.ndarray) -> Segments:
-    values, h, first, starts, ends = symbols.parse(buf, offsets)
+    values, h, first, starts, ends, content = symbols.parse(buf, offsets)
     first = np.asarray(first, np.int64)
     n_windows = len(values) - window + 1
     if n_windows <= 0:
@@ -111,8 +113,8 @@ def cut(symbols: Symbols, window: int, buf: np.ndarray, offsets: np.ndarray, doc
     stop[-1] = True
     count = np.flatnonzero(stop & valid) - begin + window
     text = np.searchsorted(first, begin, "right") - 1
-    same = slice_hashes(values, begin * values.itemsize, (begin + count) * values.itemsize)
-    return Segments(doc[text], key[text], begin - first[text], count, least[begin], same, starts[begin], ends[begin + count - 1], buf)
+    byte, stop = starts[begin], ends[begin + count - 1]
+    return Segments(doc[text], key[text], begin - first[text], count, least[begin], slice_hashes(content, byte, stop), byte, stop, buf)
 
 
 def collapse(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,14 +167,14 @@ def unpack(symbols: Symbols, blocks: list[bytes], part: int) -> tuple[Segments,
     doc, key, start, count, size = np.concatenate(columns, 1)
     data = np.concatenate(texts)
     offsets = np.concatenate([[0], np.cumsum(size)])
-    values, h, first, _, _ = symbols.parse(data, offsets)
+    values, h, first, starts, ends, content = symbols.parse(data, offsets)
     first = np.asarray(first, np.int64)
-    same = slice_hashes(values, first[:-1] * values.itemsize, first[1:] * values.itemsize)
+    same = slice_hashes(content, offsets[:-1], offsets[1:])
     # every run of a segment lies in one of its windows, so the least hash of its windows is the least of its runs
     bounds = np.stack([first[:-1], first[1:] - symbols.run + 1], 1).ravel()
     least = np.minimum.reduceat(np.concatenate([h, np.full(symbols.run + 1, np.iinfo(np.uint64).max, np.uint64)]), bounds)[::2] if len(doc) else np.zeros(0, np.uint64)
     segments = Segments(doc, key, start, count, least, same, offsets[:-1], offsets[1:], data)
-    segments.values, segments.value_at = values, first[:-1]
+    segments.values, segments.value_at = symbols.exact(values, data, starts, ends), first[:-1]
     return segments, np.concatenate(repeats, 1)
 
 
