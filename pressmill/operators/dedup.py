@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_text, words
+from ..sources.stored import stored, unused
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -219,13 +220,21 @@ def near_dups_seq(df: DataFrame, order: str = "entry_id", text: str = "text", th
 
 
 def numbered(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
-    """Rows with ``seq``, their place from 0 in a total order, counted range by range: no task sorts the whole table."""
+    """Rows with ``seq``, their place from 0 in the order of a key; rows of equal keys in some order, the same for every use.
+
+    Two phases over what is written in between: ranges of the key are sorted, each in its task, and written with their place in
+    the range; then the ranges' sizes are added up and each range gets what lies before it.  Both phases read one
+    division into ranges, which evaluating it twice wouldn't give, as bounds are sampled.
+    """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return local.join(F.broadcast(before), "_part").withColumn("seq", F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+    place, part, at = (unused(df, x) for x in ("_place", "_part", "_at"))
+    # the upper bits of the id are the range, the lower 33 the place in it
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn(place, F.monotonically_increasing_id())
+    local = stored(ranged).withColumns({part: F.shiftright(place, 33), at: F.col(place).bitwiseAND((1 << 33) - 1)})
+    sizes = local.groupBy(part).agg(F.max(at).alias("_last"))  # one row a range
+    before = F.coalesce(F.sum(F.col("_last") + 1).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(part).alias("_range"), before.alias("_before"))
+    return local.join(F.broadcast(starts), F.col(part) == F.col("_range")).withColumn("seq", F.col("_before") + F.col(at)).drop(place, part, at, "_range", "_before")
 
 
 def corroborate(mentions: DataFrame, evidence: DataFrame, threshold: float = 0.3, least: int = 2) -> DataFrame:

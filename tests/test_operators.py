@@ -93,6 +93,22 @@ def test_numbered_is_dense(spark):
     assert [r.seq for r in rows] == list(range(1000))
 
 
+def test_numbered_is_dense_whatever_is_read_of_it(spark, tmp_path):
+    """Wide rows of many ranges, whose bounds are sampled: the numbers don't depend on the columns that a use reads."""
+    wide = spark.range(0, 400_000, 1, 8).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit(7).alias("_part"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    got = dedup.numbered(df, "k", parts=40)
+    assert got.columns == ["k", "text", "_part", "seq"]
+    assert tuple(got.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()) == (400_000, 400_000, 0, 399_999)
+    assert got.where("seq >= 123456 and seq < 123460").orderBy("seq").select("k").collect() == df.orderBy("k").select("k").offset(123456).limit(4).collect()
+    sizes = {r.batch: r.n for r in enrich.numbered_batches(df.select("k", "text"), 150, "k").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert sizes.pop(400_000 // 150) == 400_000 % 150 and set(sizes.values()) == {150}
+    assert dedup.numbered(df.limit(0), "k").count() == 0
+    tied = dedup.numbered(spark.createDataFrame([(1, i) for i in range(50)] + [(None, -1)], "k long, v long"), "k")
+    assert sorted(r.seq for r in tied.collect()) == list(range(51)) and tied.where("seq = 0").first().v == -1
+
+
 def test_enrich_survives_failures(spark):
     def scorer(pdf):
         if "bad" in " ".join(pdf.text):
