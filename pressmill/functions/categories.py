@@ -7,20 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import contains_any, counted, first_rule
 from .dictionaries import CATEGORY_TERMS, ISSUE_KEYWORDS, NEWS_ADDRESSES, NEWS_TERMS, NO_CATEGORY, SKIP_TERMS, TITLE_STOP_WORDS
-from .terms import any_of, best_name, first_value, hits
+from .terms import best_name
 
 
 def closest_category(suggestion: Column, rules: Sequence[tuple[str, Sequence[str]]] = CATEGORY_TERMS) -> Column:
     """The category of the first rule with a term in a suggestion; non_governance without one, and for nothing or no category."""
     low = F.lower(suggestion)
-    return F.when((F.coalesce(F.length(suggestion), F.lit(0)) == 0) | low.isin(NO_CATEGORY), "non_governance").otherwise(first_value(low, rules, "non_governance"))
+    return F.when((F.coalesce(F.length(suggestion), F.lit(0)) == 0) | low.isin(NO_CATEGORY), "non_governance").otherwise(first_rule(low, rules, "non_governance"))
 
 
 def issue_title(title: Column, rules: Mapping[str, Sequence[str]] = ISSUE_KEYWORDS) -> Column:
     """struct(slug, label): the issue with most keywords in a title, from two on; else a slug of its first three longer words."""
     low = F.lower(title)
-    known = best_name({slug: hits(low, terms) for slug, terms in rules.items()}, 2)
+    known = counted(low, rules, lambda counts: best_name(counts, 2))
     words = F.filter(F.split(F.trim(low), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(TITLE_STOP_WORDS))
     own = F.array_join(F.slice(words, 1, 3), "-")
     empty = F.coalesce(F.length(title), F.lit(0)) == 0
@@ -32,8 +33,8 @@ def issue_title(title: Column, rules: Mapping[str, Sequence[str]] = ISSUE_KEYWOR
 def news_like(title: Column, url: Column, terms: Sequence[str] = NEWS_TERMS, skip: Sequence[str] = SKIP_TERMS, least: int = 15) -> Column:
     """A title of more than ``least`` characters with a news term in it or in its address, and no skip term in either."""
     low, address = F.lower(title), F.lower(F.coalesce(url, F.lit("")))
-    news = any_of(low, terms) | any_of(address, [*terms, *NEWS_ADDRESSES])
-    return F.coalesce((F.length(title) > least) & news & ~any_of(low, skip) & ~any_of(address, skip), F.lit(False))
+    news = contains_any(low, terms) | contains_any(address, [*terms, *NEWS_ADDRESSES])
+    return F.coalesce((F.length(title) > least) & news & ~contains_any(low, skip) & ~contains_any(address, skip), F.lit(False))
 
 
 def category_type(key: Column, issues: Sequence[str], positive: Sequence[str]) -> Column:

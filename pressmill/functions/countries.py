@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import found_terms, ranges, within
 from .dictionaries import ARABIC_NAMES, COUNTRY_VOTES, NEWS_ENDINGS, NEWS_PLATFORMS, SOCIAL
 from .geo import has_arabic, has_indic
 from .terms import any_of, best_name, hits, let
@@ -42,10 +43,15 @@ def _name_votes(name: Column, rules: Mapping[str, Mapping]) -> list[dict[str, Co
     ]
 
 
-def _text_votes(text: Column, kind: str, rules: Mapping[str, Mapping]) -> list[dict[str, Column]]:
+def _text_terms(rules: Mapping[str, Mapping]) -> dict[str, Sequence[str]]:
+    """All terms that are looked for in a text, by kind and country."""
+    return {f"{kind} {c}": rule[kind] for kind in ("social", "news", "spelling") for c, rule in rules.items()}
+
+
+def _text_votes(text: Column, found: Column, kind: str, rules: Mapping[str, Mapping]) -> list[dict[str, Column]]:
+    at = ranges(_text_terms(rules))
     return [
-        {c: hits(text, rule[kind]) for c, rule in rules.items()},
-        spelling_votes(text, rules),
+        *({c: within(found, *at[f"{k} {c}"]) for c in rules} for k in (kind, "spelling")),
         {ARABIC_VOTE: F.when(has_arabic(text), 3).otherwise(0), INDIC_VOTE: F.when(has_indic(text), 3).otherwise(0)},
     ]
 
@@ -61,21 +67,21 @@ def detect_country(
 
     Posts vote by place, names and text, news by outlet, place and text; other sources don't vote.
     """
-    lowered = F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(f"c{i}") for i, c in enumerate((text, platform, source, user_location, user_name, user_handle))])
+    lowered = F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(f"c{i}") for i, c in enumerate((text, platform, source, user_location, user_name, user_handle))], found_terms(F.lower(F.coalesce(text, F.lit(""))), [x for terms in _text_terms(rules).values() for x in terms]).alias("found"))
     known = (F.length(country) > 0) & ~country.isin("none", "unknown")
-    return F.when(known, F.lower(country)).otherwise(F.lower(let(lowered, lambda low: _voted(*[low[f"c{i}"] for i in range(6)], rules))))
+    return F.when(known, F.lower(country)).otherwise(F.lower(let(lowered, lambda low: _voted(*[low[f"c{i}"] for i in range(6)], low["found"], rules))))
 
 
-def _voted(text: Column, platform: Column, source: Column, place: Column, name: Column, handle: Column, rules: Mapping[str, Mapping]) -> Column:
+def _voted(text: Column, platform: Column, source: Column, place: Column, name: Column, handle: Column, found: Column, rules: Mapping[str, Mapping]) -> Column:
     social = source.isin(SOCIAL) | platform.isin(SOCIAL)
     news = (source == "news") | platform.isin(NEWS_PLATFORMS)
     post = _total([
         _first_only({c: any_of(place, rule["names"]) for c, rule in rules.items()}, 3), {c: hits(place, rule["cities"], 2) for c, rule in rules.items()},
-        *_name_votes(name, rules), *_name_votes(handle, rules), *_text_votes(text, "social", rules),
+        *_name_votes(name, rules), *_name_votes(handle, rules), *_text_votes(text, found, "social", rules),
     ], rules)
     domain = any_of(place, NEWS_ENDINGS)
     article = _total([
         {c: hits(platform, rule["outlets"], 4) for c, rule in rules.items()}, {c: F.when(domain, hits(place, rule["domains"], 3)).otherwise(0) for c, rule in rules.items()},
-        *_text_votes(text, "news", rules),
+        *_text_votes(text, found, "news", rules),
     ], rules)
     return F.when(social, best_name(post, 2, "unknown")).when(news, best_name(article, 2, "unknown")).otherwise("unknown")

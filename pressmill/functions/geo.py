@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import found_terms, ranges, within
 from .dictionaries import COUNTRY_BY_LOCATION, COUNTRY_BY_USERNAME, FEED_REGIONS, GENERIC_LOCATIONS, LOCATION_RULES
 from .terms import any_of, best, first_name, hits, let
 
@@ -67,14 +68,14 @@ def has_indic(text: Column) -> Column:
     return text.rlike(r"[\x{0900}-\x{0D7F}]")
 
 
-def location_scores(text: Column, platform: Column, source: Column, user_location: Column, user_name: Column, user_handle: Column, rules: Mapping = LOCATION_RULES) -> dict[str, Column]:
-    """Score of each country, from lower-cased columns: sources and domains 5, text 1, named location 3 and its keywords 2, names 2
-    for the first five keywords."""
+def location_scores(found: Column, platform: Column, source: Column, user_location: Column, user_name: Column, user_handle: Column, rules: Mapping = LOCATION_RULES) -> dict[str, Column]:
+    """Score of each country, from lower-cased columns, and the numbers of the countries' keywords found in the text: sources
+    and domains 5, text 1, named location 3 and its keywords 2, names 2 for the first five keywords."""
     place, name, handle = user_location, user_name, user_handle
-    out = {}
+    out, at = {}, ranges({country: rule["keywords"] for country, rule in rules.items()})
     for country, rule in rules.items():
         score = F.size(F.filter(F.array(*map(F.lit, rule["sources"])), lambda s: F.contains(source, s) | F.contains(platform, s))) * F.lit(5.0)
-        score = score + hits(place, rule["domains"], 5.0) + hits(text, rule["keywords"], 1.0)
+        score = score + hits(place, rule["domains"], 5.0) + within(found, *at[country]) * F.lit(1.0)
         score = score + F.when(place.contains(country.lower()), 3.0).otherwise(0.0) + hits(place, rule["keywords"], 2.0)
         out[country] = score + hits(name, rule["keywords"][:5], 2.0) + hits(handle, rule["keywords"][:5], 2.0)
     return out
@@ -87,8 +88,8 @@ def classify_location(text: Column, platform: Column, source: Column, user_locat
         usable = (F.length(text) > 0) & found["name"].isNotNull()
         return F.struct(F.when(usable, F.lower(found["name"])).alias("label"), F.when(usable, F.least(F.lit(1.0), found["score"] / 10)).alias("confidence"))
 
-    lowered = F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(f"c{i}") for i, c in enumerate((text, platform, source, user_location, user_name, user_handle))])
-    return let(let(lowered, lambda low: best(location_scores(*[low[f"c{i}"] for i in range(6)], rules), 2.0)), judged)
+    lowered = F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(f"c{i}") for i, c in enumerate((platform, source, user_location, user_name, user_handle))], found_terms(F.lower(F.coalesce(text, F.lit(""))), [x for rule in rules.values() for x in rule["keywords"]]).alias("found"))
+    return let(let(lowered, lambda low: best(location_scores(low["found"], *[low[f"c{i}"] for i in range(5)], rules), 2.0)), judged)
 
 
 def feed_region(url: Column) -> Column:

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import counted
 from .dictionaries import CIVIC_WORDS, FACTUAL_PHRASES, INFERRED_MINISTRY, MINISTRY_KEYWORDS, NEGATIVE_WORDS, TOPIC_KEYWORDS, TOPIC_MINISTRY, UNDECIDED_PHRASES
-from .terms import any_of, best_name, first_name, hits, let, names
+from .terms import any_of, best_name, first_counted, hits, names
 
 
 def label_from_score(score: Column, edge: float = 0.2) -> Column:
@@ -23,7 +24,7 @@ def settled_label(label: Column) -> Column:
 
 def ministry(text: Column, keywords: Mapping[str, Sequence[str]] = MINISTRY_KEYWORDS) -> Column:
     """The ministry with most keywords in the text, the first of equals; non_governance without any."""
-    return let(F.lower(text), lambda low: best_name({name: hits(low, terms) for name, terms in keywords.items()}, 1, "non_governance"))
+    return counted(F.lower(text), keywords, lambda counts: best_name(counts, 1, "non_governance"))
 
 
 def governance(ministry_column: Column) -> Column:
@@ -33,13 +34,13 @@ def governance(ministry_column: Column) -> Column:
 
 
 def topics(text: Column, keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS) -> Column:
-    return let(F.lower(text), lambda low: names(low, keywords))
+    return counted(F.lower(text), keywords, names)
 
 
 def inferred_ministry(text: Column, topic_list: Column, by_topic: Mapping[str, str] = TOPIC_MINISTRY, by_word: Mapping[str, Sequence[str]] = INFERRED_MINISTRY) -> Column:
     known = F.create_map(*[F.lit(x) for pair in by_topic.items() for x in pair])
     first = F.get(F.filter(F.transform(topic_list, lambda t: F.try_element_at(known, t)), lambda m: m.isNotNull()), F.lit(0))
-    return F.coalesce(first, let(F.lower(text), lambda low: first_name(low, by_word, "general")))
+    return F.coalesce(first, counted(F.lower(text), by_word, lambda counts: first_counted(counts, "general")))
 
 
 def keywords(text: Column, topic_list: Column, by_topic: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS, civic: Sequence[str] = tuple(CIVIC_WORDS)) -> Column:

@@ -43,14 +43,19 @@ def hits(text: Column, terms: Sequence[str], weight: float = 1, whole_words: boo
     return sum((F.when(has(text, t, whole_words), weight).otherwise(0) for t in terms), zero)
 
 
+def first_counted(counts: Mapping[str, Column], default: str | None = None) -> Column:
+    """The first name with a count."""
+    return F.coalesce(*[F.when(n > 0, name) for name, n in counts.items()], F.lit(default))
+
+
 def first_name(text: Column, rules: Mapping[str, Sequence[str]], default: str | None = None) -> Column:
     """The first name with a term in the text."""
     return F.coalesce(*[F.when(any_of(text, terms), name) for name, terms in rules.items()], F.lit(default))
 
 
-def names(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
-    """All names with a term in the text, in order."""
-    return F.array_compact(F.array(*[F.when(any_of(text, terms), name) for name, terms in rules.items()]))
+def names(counts: Mapping[str, Column]) -> Column:
+    """All names with a count, in order."""
+    return F.array_compact(F.array(*[F.when(n > 0, name) for name, n in counts.items()]))
 
 
 def best(scores: Mapping[str, Column], least: float, default: str | None = None) -> Column:
@@ -72,9 +77,3 @@ def best_name(scores: Mapping[str, Column], least: float, default: str | None =
     """The name with the highest score of at least ``least``; the first of equals."""
     return best(scores, least, default)["name"]
 
-
-def first_value(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str | None = None) -> Column:
-    """The value of the first rule with a term in the text; a value may have several rules, and the order decides."""
-    table = F.array(*[F.struct(F.lit(value).alias("value"), F.array(*map(F.lit, terms)).alias("terms")) for value, terms in rules])
-    found = F.filter(table, lambda rule: F.exists(rule["terms"], lambda term: F.contains(text, term)))
-    return F.coalesce(F.get(found, F.lit(0))["value"], F.lit(default))

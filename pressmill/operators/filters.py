@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.automaton import counted
 from ..functions.terms import any_of
 
 
@@ -59,9 +60,9 @@ def relevant(df: DataFrame, keywords: Sequence[str], must: Sequence[str] = (), e
 
 
 def screened(df: DataFrame, skip: Sequence[str], exclude: Sequence[str], keywords: Sequence[str], columns=("text",)) -> DataFrame:
-    """First a skip list, then excluded terms, then keywords."""
-    text = _text(*columns)
-    return df.where(~any_of(text, skip) & ~any_of(text, exclude) & any_of(text, keywords))
+    """First a skip list, then excluded terms, then keywords; all of them are looked for in one pass."""
+    lists = {"skip": skip, "exclude": exclude, "keywords": keywords}
+    return df.where(counted(_text(*columns), lists, lambda n: (n["skip"] == 0) & (n["exclude"] == 0) & (n["keywords"] > 0)))
 
 
 def feed_relevant(df: DataFrame, query: str, custom: Sequence[str] | None, columns=("text",)) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.automaton import name_hits
 from ..functions.scoring import cosine, keyword_score
 from ..functions.terms import hits, let
 
+#: What one automaton's dictionary holds at most.
+DICTIONARY_BYTES = 16 << 20
+
 
 def classify_topics(mentions: DataFrame, keywords: Mapping[str, Sequence[str]], vectors: DataFrame | None = None, vector: str = "embedding", least: float = 0.5, most: int = 3, key: str = "entry_id") -> DataFrame:
     """key, topic, keyword_score, embedding_score, confidence: 0.3 of the keyword score and 0.7 of the cosine, where there is a
@@ -109,8 +113,29 @@ def resolve_target(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return met.withColumn("_r", rank).where("_r = 1").select("query", F.col("name").alias("target"), "stage")
 
 
-def keyword_hits(mentions: DataFrame, dictionary: Mapping[str, Sequence[str]], text: Column | None = None, key: str = "entry_id") -> DataFrame:
-    """key, name, n: how many terms of each name a text contains, where any."""
+def dictionary(spark: SparkSession, rules: Mapping[str, Sequence[str]], weight: float = 1.0) -> DataFrame:
+    """Rules as a table: name, term, weight, position."""
+    rows = [(name, term, float(weight)) for name, terms in rules.items() for term in terms]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, term string, weight double, position long")
+
+
+def keyword_hits(mentions: DataFrame, terms: DataFrame, text: Column | None = None, key: str = "entry_id", block_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """key, name, n, weight: how many terms of each name of a dictionary a text contains, where any, and their weights' sum.
+
+    The dictionary (name, term, and weight, 1 without that column) is a table, read when the query is built, so another one takes effect with the next
+    run or batch.  A row with a null name or term is left out; equal rows count each.  The terms are an automaton over the text.  A dictionary of more than
+    ``block_bytes`` is taken in blocks, an automaton each, so none that a task holds is larger.
+    """
     low = F.lower(F.coalesce("text", F.lit(""))) if text is None else text
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), hits(low, terms).alias("n")) for n, terms in dictionary.items()]))
-    return mentions.select(key, each.alias("x")).select(key, "x.name", "x.n").where("n > 0")
+    weight = F.col("weight").cast("double") if "weight" in terms.columns else F.lit(1.0)
+    terms = terms.where("name is not null and term is not null").select("name", "term", weight.alias("weight"))
+    blocks = max(1, -(-(terms.agg(F.sum(F.octet_length("term") + F.octet_length("name") + 16)).first()[0] or 0) // block_bytes))
+    out = None
+    for b in range(blocks):
+        own = terms.where(F.pmod(F.xxhash64("name", "term"), F.lit(blocks)) == b) if blocks > 1 else terms
+        entries = [tuple(r) for r in own.orderBy("name", "term", "weight").collect()]  # of a checked size
+        part = mentions.select(key, F.explode(name_hits(low, entries)).alias("x")).select(key, "x.name", "x.n", "x.weight")
+        out = part if out is None else out.unionByName(part)
+    if blocks > 1:
+        out = out.groupBy(key, "name").agg(F.sum("n").cast("int").alias("n"), F.sum("weight").alias("weight"))
+    return out

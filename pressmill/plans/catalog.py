@@ -650,14 +650,32 @@ def _(spark, sf_dir):
 
 @query("x34_keyword_score", f"WITH {t.MENTIONS}, {t.sql_topic_scores()} SELECT entry_id, topic, round(keyword_score, 6) AS keyword_score FROM scores WHERE keyword_score > 0")
 def _(spark, sf_dir):
-    n = topics.keyword_hits(t.mentions(spark, sf_dir), t.SAMPLE_RULES)
+    n = topics.keyword_hits(t.mentions(spark, sf_dir), topics.dictionary(spark, t.SAMPLE_RULES))
     size = F.create_map(*[x for k, v in t.SAMPLE_RULES.items() for x in (F.lit(k), F.lit(len(v)))])
     return n.select("entry_id", F.col("name").alias("topic"), F.round(scoring.keyword_score(F.col("n"), size[F.col("name")]), 6).alias("keyword_score"))
 
 
-@on_mentions("j12_keyword_hits", M + " UNION ALL ".join(f"SELECT entry_id, '{n}' AS name, {t.sql_hits('lower(text)', x)} AS n FROM mentions WHERE {t.sql_hits('lower(text)', x)} > 0" for n, x in t.SAMPLE_RULES.items()))
-def _(m):
-    return topics.keyword_hits(m, t.SAMPLE_RULES)
+@query("j12_keyword_hits", M + " UNION ALL ".join(f"SELECT entry_id, '{n}' AS name, {t.sql_hits('lower(text)', x)} AS n, {t.sql_hits('lower(text)', x)}::DOUBLE AS weight FROM mentions WHERE {t.sql_hits('lower(text)', x)} > 0" for n, x in t.SAMPLE_RULES.items()))
+def _(spark, sf_dir):
+    return topics.keyword_hits(t.mentions(spark, sf_dir), topics.dictionary(spark, t.SAMPLE_RULES))
+
+
+HITS = "SELECT entry_id, name, count(*)::INTEGER AS n, sum(weight)::DOUBLE AS weight FROM mentions JOIN terms ON contains(lower(coalesce(text, '')), term) GROUP BY 1, 2"
+
+
+@query("j12_benchmark_words", f"{M}, terms AS (SELECT DISTINCT left(term, 1) AS name, term, 1.0 AS weight FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark) WHERE length(term) > 3) {HITS}")
+def _(spark, sf_dir):
+    """A dictionary of thousands of overlapping terms, which is a table: the benchmark's words."""
+    words = t.read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where(F.length("term") > 3).distinct()
+    return topics.keyword_hits(t.mentions(spark, sf_dir), words.select(F.left("term", F.lit(1)).alias("name"), "term"))
+
+
+@query("v2_swapped_dictionary", f"{M}, terms AS (SELECT r_name AS name, lower(left(n_name, 3)) AS term, n_nationkey % 3 + 0.5 AS weight FROM nation JOIN region ON n_regionkey = r_regionkey) {HITS}")
+def _(spark, sf_dir):
+    """Another dictionary for the same operator: regions, by the beginnings of their nations' names, weighted."""
+    regions = t.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("name"))
+    nations = t.read(spark, sf_dir, "nation").join(regions, "n_regionkey")
+    return topics.keyword_hits(t.mentions(spark, sf_dir), nations.select("name", F.lower(F.left("n_name", F.lit(3))).alias("term"), (F.col("n_nationkey") % 3 + 0.5).alias("weight")))
 
 
 @query("j4_mentions_for_owner", f"{B}, {t.OWNERS} SELECT DISTINCT owner, entry_id FROM bridge JOIN owners USING (topic)")

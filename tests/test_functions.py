@@ -73,3 +73,31 @@ def test_slugs_and_lines(spark):
 def test_webvtt(spark):
     raw = "WEBVTT\n\n1\n00:00:00.000 --> 00:00:01.000\nHello\n\n2\n00:00:01.000 --> 00:00:02.000\nworld\n"
     assert one(spark, text.webvtt_text, raw) == "Hello world"
+
+
+def test_automaton_finds_overlapping_terms(spark):
+    from pressmill.functions import automaton
+
+    terms = ["he", "she", "hers", "his", "is", "s", "", "he", "ab", "ba", "a b", "é", "she sells"] + [f"t{i}" for i in range(60)]
+    texts = ["ushers", "this", "", None, "abab a b", "é t5 t55", "she sells", "zzz"]
+    for find in (automaton.finder(tuple(terms)),):
+        assert [find(x) for x in texts if x is not None] == [[i for i, t in enumerate(terms) if t in x] for x in texts if x is not None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = {r.id: r for r in df.select("id", automaton.found_terms(F.col("text"), terms).alias("f"), automaton.contains_any(F.col("text"), terms[:6]).alias("any"), automaton.first_rule(F.col("text"), [("x", ["hers", "sells"]), ("y", ["he"]), ("x", ["is"])], "none").alias("first")).collect()}
+    for i, x in enumerate(texts):
+        assert rows[i].f == (None if x is None else [k for k, t in enumerate(terms) if t in x])
+        assert rows[i].any == (None if x is None else any(t in x for t in terms[:6]))
+    assert [rows[i].first for i in range(8)] == ["x", "x", "none", "none", "none", "none", "x", "none"]
+
+
+def test_rules_of_few_and_of_many_terms_agree(spark, monkeypatch):
+    from pressmill.functions import automaton, categories, scoring
+
+    rules = {"one": ["he", "her"], "two": ["is", "he"], "three": ["xyz"]}
+    df = spark.createDataFrame([("ushers",), ("this he",), ("none",), (None,), ("xyz is her",)], "text string")
+    found = []
+    for many in (1, 1000):
+        monkeypatch.setattr(automaton, "MANY", many)
+        columns = [scoring.ministry(F.col("text"), rules), scoring.topics(F.col("text"), rules), scoring.inferred_ministry(F.col("text"), F.array().cast("array<string>"), {"a": "b"}, rules), categories.issue_title(F.col("text"), rules)["slug"]]
+        found.append([tuple(r) for r in df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).collect()])
+    assert found[0] == found[1] and found[0][0][0] == "one" and found[0][1][1] == ["one", "two"]

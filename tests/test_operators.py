@@ -135,3 +135,13 @@ def test_plans(spark):
     df = spark.createDataFrame([(1, "a")], "entry_id long, text string")
     plan = filters.top_per_group(df, ["text"], ["entry_id"], 1)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_dictionary_is_a_table_in_blocks_of_any_size(spark):
+    m = spark.createDataFrame([(1, "Ushers and this"), (2, None), (3, "abc")], "entry_id long, text string")
+    rules = spark.createDataFrame([("p", "he", 1.0), ("p", "she", 2.0), ("q", "this", 4.0), ("q", "this", 8.0), ("r", "abc", -1.0), (None, "a", 1.0), ("s", None, 1.0)], "name string, term string, weight double")
+    want = {(1, "p", 2, 3.0), (1, "q", 2, 12.0), (3, "r", 1, -1.0)}
+    for size in (1 << 20, 40, 1):
+        assert {tuple(r) for r in topics.keyword_hits(m, rules, block_bytes=size).collect()} == want
+    assert topics.keyword_hits(m, rules.drop("weight")).where("name = 'q'").first().weight == 2.0
+    assert topics.keyword_hits(m, rules.limit(0)).count() == 0
