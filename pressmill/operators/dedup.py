@@ -134,24 +134,45 @@ def near_dups_jaccard(df: DataFrame, share: tuple[int, int] = (85, 100), key: st
     return same.unionByName(other).select("a", "b", drop.alias("drop_id"), "intersection", "union")
 
 
+def least_matches(total: int, threshold: float) -> int:
+    """The least number of matches that gives two texts of so many characters together a ratio of the threshold."""
+    need = int(threshold * total / 2)
+    while need > 0 and 2.0 * (need - 1) / total >= threshold:
+        need -= 1
+    while 2.0 * need < threshold * total and 2.0 * need / total < threshold:
+        need += 1
+    return need
+
+
 class _Bounded(SequenceMatcher):
     def set_seq2(self, b: str):
-        super().set_seq2(b)
+        self.b, self.indexed = b, False
         codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.places = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
 
     def reaches(self, threshold: float) -> bool:
-        """Whether a common subsequence, which the blocks form, can be that long: bit-parallel, ended once what is left can't do."""
+        """Whether a common subsequence, which the blocks form, can be that long: bit-parallel, ended once what is left can't do.
+
+        A match further on in b than the characters that b can spare, counted from its place in a, is in no long enough
+        subsequence, so the bits of b enter as far as that alone.
+        """
         n, m = len(self.b), len(self.a)
-        step, v = m // 8 + 1, (1 << n) - 1  # as many zeros below a place as the longest common subsequence up to it
+        need = least_matches(n + m, threshold)
+        if need > min(n, m):
+            return False
+        step, v, width = m // 32 + 1, 0, 0  # as many zeros below a place as the longest common subsequence up to it
+        places = self.places.get
         for j in range(0, m, step):
-            for c in self.a[j : j + step]:
-                u = v & self.places.get(c, 0)
-                v = (v + u) | (v - u)
             done = min(m, j + step)
-            v &= (1 << n) - 1
+            wider = min(n, done + n - need)
+            v |= ((1 << (wider - width)) - 1) << width
+            width = wider
+            for c in self.a[j:done]:
+                u = v & places(c, 0)
+                v = (v + u) | (v - u)
+            v &= (1 << width) - 1
             below = min(n, max(0, n - m + done))  # the best place to go on from: both rests are as long
-            if 2.0 * (below - (v & ((1 << below) - 1)).bit_count() + min(n - below, m - done)) / (n + m) < threshold:
+            if below - (v & ((1 << below) - 1)).bit_count() + min(n - below, m - done) < need:
                 return False
         return True
 
@@ -160,6 +181,9 @@ class _Bounded(SequenceMatcher):
 
         Each block found tells how much the ranges beside it can still match at most; the order of ranges changes no block.
         """
+        if not self.indexed:  # most texts are never matched, only bounded
+            b, self.b, self.indexed = self.b, None, True
+            super().set_seq2(b)
         total = len(self.a) + len(self.b)
         bound = min(len(self.a), len(self.b))
         ranges = [(-bound, 0, len(self.a), 0, len(self.b))]
@@ -192,31 +216,60 @@ def seq_ratio(a: Column, b: Column, threshold: float) -> Column:
     return ratio(a, b)
 
 
-def near_dups_seq(df: DataFrame, order: str = "entry_id", text: str = "text", threshold: float = 0.85, window: int = 1000, block: int = 250) -> DataFrame:
+#: Classes that characters fall into for their counts.
+LETTERS = 64
+
+
+def _alike(texts: list[str], first: int, window: int, threshold: float):
+    """(i, j, ratio) of alike texts, for each i before ``first`` and each j up to window - 1 after it."""
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
+    n = np.array([len(c) for c in codes], np.int64)
+    letters = np.stack([np.bincount(c % LETTERS, minlength=LETTERS) for c in codes]).astype(np.int32)
+    found: dict[int, list[int]] = {}
+    for i in range(first):
+        j = np.arange(i + 1, min(len(texts), i + window))
+        total = n[i] + n[j]
+        j = j[2 * np.minimum(n[i], n[j]) >= threshold * total]  # no more characters match than the shorter has
+        j = j[2 * np.minimum(letters[i], letters[j]).sum(1) >= threshold * (n[i] + n[j])]  # nor of any class
+        for other in j.tolist():
+            if texts[i] == texts[other]:
+                yield i, other, 1.0
+            elif min(n[i], n[other]) >= 10:
+                found.setdefault(other, []).append(i)
+    for j, earlier in found.items():  # a text's index serves all that it is compared with
+        matcher = _Bounded(None, "", texts[j])
+        for i in earlier:
+            matcher.set_seq1(texts[i])
+            if matcher.reaches(threshold) and (ratio := matcher.ratio_from(threshold)) >= threshold:
+                yield i, j, ratio
+
+
+def near_dups_seq(df: DataFrame, order: str = "entry_id", text: str = "text", threshold: float = 0.85, window: int = 1000, block: int = 125) -> DataFrame:
     """a, b, ratio, drop_id of rows at most ``window`` - 1 apart in order whose normalised texts are alike.
 
-    Rows are numbered in order by ranges, neighbours meet in blocks of rows.  Before the matcher runs, lengths must
-    allow the ratio, and so must the counts of each letter; equal texts need no matcher, and for others it runs only if
-    their longest common subsequence allows the ratio, and ends as soon as that is out of reach.  Texts under ten characters must be equal.
+    Rows are numbered in order, and a block of rows meets the ``window`` rows behind it, in a group of bounded size.  Pairs
+    are proposed by array operations: lengths and counts of characters must allow the ratio.  Equal texts need no matcher;
+    others pass a bit-parallel bound on their longest common subsequence, which ends as soon as the ratio is out of reach, and
+    then the matcher itself.  Texts under ten characters must be equal.
     """
-    letters = "etaonisrhldcumfpgwybv"
-    normal = normalize_text(F.col(text))
-    rows = df.select(F.col(order).alias("k"), normal.alias("s"), F.length(text).alias("raw")).where("s != ''")
-    rows = numbered(rows, "k").withColumn("n", F.length("s"))
-    rows = rows.withColumn("c", F.array(*[F.length("s") - F.length(F.replace(F.col("s"), F.lit(x), F.lit(""))) for x in letters]))
-    rows = rows.withColumn("b", F.expr(f"seq div {block}"))
+    kind = df.schema[order].dataType.simpleString()
+    rows = df.select(F.col(order).alias("k"), normalize_text(F.col(text)).alias("s"), F.length(text).alias("raw")).where("s != ''")
+    rows = numbered(rows, "k")
     span = (window - 2) // block + 1
-    right = rows.withColumn("b", F.explode(F.sequence(F.col("b") - span, F.col("b"))))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as little text is much work for the matcher
-    x, y = rows.repartition(parts, "b").alias("x"), right.repartition(parts, "b").alias("y")
-    near = x.join(y, F.expr(f"x.b = y.b and y.seq > x.seq and y.seq < x.seq + {window} and 2 * least(x.n, y.n) >= {threshold} * (x.n + y.n)"))
-    other = F.aggregate(F.zip_with("x.c", "y.c", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    rest = F.least(F.col("x.n") - F.aggregate("x.c", F.lit(0), lambda s, v: s + v), F.col("y.n") - F.aggregate("y.c", F.lit(0), lambda s, v: s + v))
-    near = near.where(2 * (other + rest) >= threshold * (F.col("x.n") + F.col("y.n")))
-    ratio = seq_ratio(F.col("x.s"), F.col("y.s"), threshold)
-    short = F.least("x.n", "y.n") < 10
-    near = near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.when(short, (F.col("x.s") == F.col("y.s")).cast("double")).otherwise(ratio).alias("ratio"), F.col("x.raw").alias("ra"), F.col("y.raw").alias("rb"))
-    return near.where(F.col("ratio") >= threshold).select("a", "b", F.round("ratio", 6).alias("ratio"), F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("drop_id"))
+    own = F.expr(f"seq div {block}")
+    met = rows.withColumn("b", F.explode(F.sequence(F.greatest(own - span, F.lit(0)), own)))
+    # little text is much work for the matcher, so that Spark's own sizes of partitions would be too large
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq", ignore_index=True)
+        first = int((group["seq"] // block == key[0]).sum())
+        pairs = list(_alike(group["s"].tolist(), first, window, threshold)) if first else []
+        i, j, ratio = zip(*pairs, strict=True) if pairs else ((), (), ())
+        one, two = (group.iloc[list(x)].reset_index(drop=True) for x in (i, j))
+        return pd.DataFrame({"a": one["k"], "b": two["k"], "ratio": np.round(np.array(ratio, np.float64), 6), "drop_id": one["k"].where(one["raw"] < two["raw"], two["k"])})
+
+    return met.select("b", "seq", "k", "s", "raw").repartition(parts, "b").groupBy("b").applyInPandas(compare, f"a {kind}, b {kind}, ratio double, drop_id {kind}")
 
 
 def numbered(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:

@@ -35,6 +35,26 @@ def test_near_dups_seq_against_brute_force(spark):
     assert got == want and want
 
 
+def test_alike_texts_against_the_plain_matcher():
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = "".join(rng.choices("abcde ", weights=[5, 4, 3, 2, 1, 3], k=rng.randint(5, 160)))
+        for _ in range(4):  # characters dropped, put in, and moved to the end, about as many as the threshold allows
+            x = list(base)
+            for _ in range(int(len(x) * rng.choice([0, 0.05, 0.1, 0.15, 0.2]))):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "a"])
+            cut = rng.choice([0, 0, len(x) // 8])
+            texts.append("".join(x[cut:] + x[:cut]) or "x")
+    rng.shuffle(texts)
+    for window, first in ((48, 48), (10, 30)):
+        want = {(i, j): SequenceMatcher(None, texts[i], texts[j]).ratio() for i in range(first) for j in range(i + 1, min(48, i + window))}
+        want = {k: r for k, r in want.items() if r >= 0.85 and (texts[k[0]] == texts[k[1]] or min(len(texts[k[0]]), len(texts[k[1]])) >= 10)}
+        got = {(i, j): r for i, j, r in dedup._alike(texts, first, window, 0.85)}
+        assert got == want and len(want) > 5
+
+
 def test_near_dups_seq_query_reads_whole_texts(spark, tmp_path):
     import __spark_entry__ as entry
 
