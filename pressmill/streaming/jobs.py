@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,25 +89,3 @@ def change_alerts(stream: DataFrame, checkpoint: str, emit: Callable[[DataFrame]
         emit(found.where(F.abs("change") >= threshold).drop("epoch"))
 
     return w.writeStream.outputMode("append").foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def feed_state(stream: DataFrame) -> DataFrame:
-    """Running successes, failures and last failure of each feed."""
-    return stream.groupBy("feed").agg(F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure"))
-
-
-def issue_registry(stream: DataFrame, most: int = 20) -> DataFrame:
-    """Running roster of each ministry: a known issue counts, a new one enters below the cap, else the leading issue counts."""
-
-    def update(key, batches, state):
-        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for pdf in batches:
-            for slug in pdf["issue_slug"]:
-                if slug not in counts and len(counts) >= most:
-                    slug = min(counts, key=lambda s: (-counts[s], s))
-                counts[slug] = counts.get(slug, 0) + 1
-        state.update((list(counts), list(counts.values())))
-        yield pd.DataFrame({"ministry_hint": [key[0]] * len(counts), "issue_slug": list(counts), "mention_count": list(counts.values())})
-
-    return stream.groupBy("ministry_hint").applyInPandasWithState(
-        update, "ministry_hint string, issue_slug string, mention_count long", "slugs array<string>, counts array<long>", "update", "NoTimeout")

@@ -1,8 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pressmill.streaming import jobs
+from pressmill.operators import topics, usage
+from pressmill.streaming import jobs, stateful
 
 START = datetime(2024, 1, 1)
 
@@ -35,12 +37,59 @@ def test_dedup_late(spark, tmp_path):
     assert spark.table("texts").count() == 2
 
 
-def test_registry_holds_the_cap(spark, tmp_path):
-    rows = [("m", s) for s in ["a", "a", "b", "c", "c"]]
-    spark.createDataFrame(rows, "ministry_hint string, issue_slug string").coalesce(1).write.parquet(str(tmp_path / "r"))
-    stream = jobs.read_stream(spark, str(tmp_path / "r"), "ministry_hint string, issue_slug string")
-    drained(jobs.issue_registry(stream, most=2), "registry", "update")
-    assert {r.issue_slug: r.mention_count for r in spark.table("registry").collect()} == {"a": 4, "b": 1}
+def latest(rows, key, version):
+    """The rows of the highest version of each key."""
+    top = {}
+    for r in rows:
+        top[r[key]] = max(top.get(r[key], r[version]), r[version])
+    return [r for r in rows if r[version] == top[r[key]]]
+
+
+def test_registry_equals_the_batch_twin(spark, tmp_path):
+    """In files of any order, read in several runs of one checkpoint, with one ministry in most rows and issues beyond the cap."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("mmmmmmno"), f"s{int(rng.paretovariate(1.1)) % 40}") for i in range(1500)] + [(-1, None, "s1"), (-2, "m", None)]
+    schema = "entry_id long, ministry_hint string, issue_slug string"
+    out = []
+    for order in (1, -1):
+        path, seen = str(tmp_path / f"r{order}"), []
+        files = [rows[i::6] for i in range(6)][::order]
+        for part in (files[:4], files[4:]):
+            for rows_of in part:
+                spark.createDataFrame(rows_of, schema).coalesce(2).write.mode("append").parquet(path)
+            stream = stateful.issue_registry(jobs.read_stream(spark, path, schema, files_per_trigger=3), most=4)
+            stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).outputMode("update").option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
+        out.append({(r.ministry_hint, r.issue_slug): (r.mention_count, r.rank, r.consolidated) for r in latest(seen, "ministry_hint", "version")})
+    df = spark.createDataFrame(rows, schema)
+    given = {(r.ministry_hint, r.issue): r["count"] for r in topics.consolidated(df, most=4).groupBy("ministry_hint", "issue").count().collect()}
+    want = {(r.ministry_hint, r.issue_slug): (r.mention_count, r["rank"], given[r.ministry_hint, r.issue_slug]) for r in topics.roster(df, most=4).collect()}
+    assert out == [want, want] and len(want) == 12
+
+
+def test_feed_health_equals_the_batch_at_the_watermark(spark, tmp_path):
+    """Also where a failure grows a day old without a further fetch of the feed."""
+    rng = random.Random(7)
+    schema = "feed string, ts timestamp_ntz, success boolean, error_class string"
+    rows = [("early", START, False, "ssl"), ("early", START + timedelta(minutes=1), True, None), ("none", START, None, None)]
+    for h in range(60):
+        for feed in "abc":
+            ok = rng.random() < (0.9 if feed == "a" else 0.4)
+            rows.append((feed, START + timedelta(hours=h, minutes=rng.randrange(50)), ok, None if ok else rng.choice(["ssl", "timeout", "xml", "network"])))
+    rows.append(("calm", START + timedelta(hours=50), True, None))
+    path, seen = str(tmp_path / "f"), []
+    for i in range(0, len(rows), 50):  # in the order of time, so that nothing is late
+        part = sorted(rows, key=lambda r: r[1])[i : i + 50]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = stateful.feed_health(jobs.read_stream(spark, path, schema), "1 hour")
+        stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    watermark = max(r[1] for r in rows) - timedelta(hours=1)
+    got = {}
+    for r in sorted(seen, key=lambda r: (r["at"], r.attempts)):
+        got[r.feed] = (r.attempts, r.score)
+    batch = usage.feed_health(spark.createDataFrame(rows, schema), str(watermark))
+    assert got == {r.feed: (r.attempts, r.score) for r in batch.collect()}
+    scores = [r.score for r in sorted(seen, key=lambda r: r["at"]) if r.feed == "early"]
+    assert scores[0] == 0.4 and scores[-1] == 0.5  # the penalty has lapsed
 
 
 def test_upsert_stream(spark, tmp_path):
