@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import normalize_text
-from ..operators.dedup import dedup_split, keep_first, upsert
+from .store import MentionStore
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100, kind: str = "parquet") -> DataFrame:
@@ -46,30 +45,9 @@ def sliding_sentiment(stream: DataFrame, size: str = "7 days", slide: str = "1 d
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
-    """Each batch is deduplicated against the stored mentions and merged into them.
-
-    The store is partitioned by a bucket of the keys.  A batch rewrites only the buckets that its new or changed rows fall in, in
-    one overwrite of those partitions.  A row whose text is stored, or repeats one of the batch, is left out unless its keys are
-    known, and then it updates them; a replayed batch changes nothing more.
-    """
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = keep_first(batch, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        try:
-            stored = spark.read.parquet(path)
-        except AnalysisException:  # nothing is stored yet
-            stored = fresh.limit(0)
-        known = fresh.join(stored.select(*keys), keys, "left_semi")
-        unseen = fresh.join(stored.select(*keys), keys, "left_anti")
-        incoming = known.unionByName(dedup_split(unseen, stored, order).where("fate in ('unique', 'empty')").drop("fate"))
-        touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]  # ``buckets`` at most
-        if touched:
-            changed = upsert(stored.where(F.col("bucket").isin(touched)), incoming, keys)
-            # dynamic overwriting stages its files, and moves them when all have been read and written
-            changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Merges each batch into a MentionStore: deduplicated against the stored texts, known keys updated, one version a batch."""
+    store = MentionStore(path, keys, buckets=buckets)
+    return stream.writeStream.foreachBatch(lambda batch, epoch: store.merge(batch, epoch, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_alerts(stream: DataFrame, checkpoint: str, emit: Callable[[DataFrame], None], size: str = "1 day", threshold: float = 0.1, ts: str = "published_at") -> StreamingQuery:

@@ -1,10 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressmill.operators import topics, usage
-from pressmill.streaming import jobs, stateful
+from pressmill.streaming import jobs, stateful, store
 
 START = datetime(2024, 1, 1)
 
@@ -99,7 +100,49 @@ def test_upsert_stream(spark, tmp_path):
     run()
     spark.createDataFrame([(3, 1, "A"), (4, 1, "c"), (2, 1, "b2")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    assert {r.entry_id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "a", 2: "b2", 4: "c"}
+    assert {r.entry_id: r.text for r in store.MentionStore(str(tmp_path / "out"), ["entry_id"]).read(spark).collect()} == {1: "a", 2: "b2", 4: "c"}
+
+
+def merged(rows, batch):
+    """The plain rule: known keys update, other rows enter unless their tenant has the text."""
+    known = set(rows)
+    texts = {(u, t.lower()) for u, t in rows.values() if t}
+    for i, u, t in sorted(batch):
+        if i in known:
+            rows[i] = (u, t if t is not None else rows[i][1])
+        elif not t or (u, t.lower()) not in texts:
+            rows[i] = (u, t)
+            texts |= {(u, t.lower())} if t else set()
+
+
+def test_store_survives_a_loss_between_writing_and_switching(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    own, rows = store.MentionStore(str(tmp_path / "s"), ["entry_id"], buckets=5), {}
+    for n in range(5):
+        batch = list({i: (i, i % 2, rng.choice(["a", "B", "b", "c", "d", "", None, f"t{i}", "e", "f"])) for i in (rng.randrange(40) for _ in range(12))}.values())
+        df = spark.createDataFrame(batch, "entry_id long, user_id long, text string")
+        before = dict(rows)
+        if n in (1, 3):
+            with monkeypatch.context() as m, pytest.raises(RuntimeError):
+                m.setattr(store.MentionStore, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+                own.merge(df, n, ["entry_id"])
+            assert {r.entry_id: (r.user_id, r.text) for r in own.read(spark).collect()} == before  # the version before holds
+        merged(rows, batch)
+        own.merge(df, n, ["entry_id"])
+        if n == 3:
+            own.merge(df, n, ["entry_id"])  # replayed after its switch
+        assert {r.entry_id: (r.user_id, r.text) for r in own.read(spark).collect()} == rows
+    assert len(rows) > 12
+
+
+def test_a_batch_reads_the_buckets_that_it_touches(spark, tmp_path, monkeypatch):
+    own, asked = store.MentionStore(str(tmp_path / "s"), ["entry_id"], buckets=50), []
+    df = lambda ids: spark.createDataFrame([(i, 1, f"text {i}") for i in ids], "entry_id long, user_id long, text string")
+    own.merge(df(range(300)), 0, ["entry_id"])
+    read = own._read
+    monkeypatch.setattr(own, "_read", lambda s, m, kind, schema, only=None: asked.append((kind, len(only))) or read(s, m, kind, schema, only))
+    own.merge(df([7, 1000]), 1, ["entry_id"])
+    assert [k for k, n in asked] == ["rows", "index"] and all(n <= 3 for _, n in asked) and own.manifest(spark)["rows", 0] in (0, 1)
 
 
 def test_change_alerts(spark, tmp_path):
