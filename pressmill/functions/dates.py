@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .date_text import parse_text
+from .terms import let
+
 
 @dataclass(frozen=True)
 class Format:
@@ -37,19 +43,49 @@ FORMATS = (
     Format(rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?:\s+{CLOCK})?$", "$1/$2/$3 $4", ("yyyy/M/d[ HH:mm:ss]",), False),
     Format(rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:\s+{CLOCK})?$", "$1/$2/$3 $4", ("M/d/yyyy[ HH:mm:ss]", "d/M/yyyy[ HH:mm:ss]"), False),
 )
+#: Texts that are no date.
 NOTHING = ["none", "nan", "", "unknown"]
 
 
-def parse_date(text: Column, formats: tuple[Format, ...] = FORMATS) -> Column:
-    """A zoneless timestamp from the first format that fits, else null; a zone is dropped, not converted."""
-    t = F.trim(text)
-    out = F.lit(None).cast("timestamp_ntz")
-    for f in reversed(formats):
-        taken = F.rtrim(F.regexp_replace(t, f.shape, f.take))
-        read = [F.try_to_timestamp(taken, F.lit(p)).cast("timestamp_ntz") for p in f.patterns] or [taken.try_cast("timestamp_ntz")]
-        found = F.coalesce(*read)
-        out = F.when(t.rlike(f.shape), found if f.strict else F.coalesce(found, out)).otherwise(out)
-    return F.when(~F.lower(t).isin(NOTHING), out)
+def general_date(text: Column, default: str) -> Column:
+    """A zoneless timestamp from a text in no fixed format (see date_text); missing parts are those of the default, an ISO date."""
+    start = datetime.fromisoformat(default).replace(hour=0, minute=0, second=0, microsecond=0)
+
+    @F.arrow_udf("timestamp_ntz")
+    def read(texts: pa.Array) -> pa.Array:
+        known = lru_cache(maxsize=4096)(lambda x: parse_text(x, start))  # days repeat
+        return pa.array([known(x) if x is not None else None for x in texts.to_pylist()], pa.timestamp("us"))
+
+    return read(text)
+
+
+def parse_date(text: Column, formats: tuple[Format, ...] = FORMATS, default: str | None = None) -> Column:
+    """A zoneless timestamp from the first format that fits, else null; a zone is dropped, not converted.
+
+    A text is classified once: the number of the strict format that claims it, or else those of the others whose shape it has;
+    shapes and patterns are then looked up by number.  With a ``default`` date, texts that no format reads and no strict one claims are read by
+    general_date().
+    """
+    low = F.trim(text)
+    usable = F.when(~F.lower(low).isin(NOTHING), low)
+    strict = F.coalesce(*[F.when(usable.rlike(f.shape), F.array(F.lit(i))) for i, f in enumerate(formats) if f.strict])
+    others = F.array_compact(F.array(*[F.when(usable.rlike(f.shape), F.lit(i)) for i, f in enumerate(formats) if not f.strict]))
+    shapes, takes = F.array(*[F.lit(f.shape) for f in formats]), F.array(*[F.lit(f.take) for f in formats])
+    patterns = F.array(*[F.array(*[F.lit(p) for p in f.patterns]).cast("array<string>") for f in formats])
+
+    def reads(t: Column, i: Column) -> Column:
+        taken = F.rtrim(F.regexp_replace(t, F.get(shapes, i), F.get(takes, i)))
+        by = F.get(patterns, i)
+        read = F.filter(F.transform(by, lambda p: F.try_to_timestamp(taken, p).cast("timestamp_ntz")), lambda x: x.isNotNull())
+        return F.when(F.size(by) > 0, F.get(read, F.lit(0))).otherwise(taken.try_cast("timestamp_ntz"))
+
+    def first(x: Column) -> Column:
+        return F.get(F.filter(F.transform(x["numbers"], lambda i: reads(x["t"], i)), lambda v: v.isNotNull()), F.lit(0))
+
+    out = let(F.struct(usable.alias("t"), F.coalesce(strict, others).alias("numbers")), first)
+    if default is None:
+        return out
+    return F.coalesce(out, general_date(F.when(strict.isNull(), usable), default))  # no lambda in what Python gets
 
 
 def lookback_start(last: Column, as_of: Column, default_days: int = 7, most_days: int = 30, overlap_hours: int = 2) -> Column:

@@ -223,6 +223,22 @@ query("x41_first_number", M + "SELECT entry_id, CASE WHEN entry_id % 3 != 0 THEN
 DATE_PATTERNS = ["EEE MMM d HH:mm:ss '+0000' yyyy", "yyyy-MM-dd HH:mm:ss '+00000'", "yyyy-MM-dd'T'HH:mm:ss'.000Z'", "yyyy-MM-dd HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'HH:mm:ss'+05:00'", "MMMM d, yyyy", "dd/MM/yyyy, hh:mm a', +0000 UTC'", "HH:mm dd MMM yyyy", "yyyy/MM/dd HH:mm:ss", "'not a date'", "d MMMM yyyy"]
 
 
+#: Ways to write a time that no fixed format reads, and what is left of it (by SQL), with 29 February 2024 for what is missing.
+GENERAL_DATES = {
+    "MMMM d, yyyy 'at' h:mm a": "date_trunc('minute', ts)", "EEEE, d 'of' MMMM yy HH:mm:ss": "date_trunc('second', ts)", "d MMMM": "date_trunc('day', ts)",
+    "MMMM yyyy": "TIMESTAMP '2024-01-29 00:00:00'", "h a": "TIMESTAMP '2024-02-29 00:00:00' + to_hours(hour(ts)::INTEGER)", "yyyyMMddHHmmss": "date_trunc('second', ts)",
+    "dd.MM.yyyy": "CASE WHEN day(ts) > 12 THEN date_trunc('day', ts) ELSE make_timestamp(2024, day(ts), 1, 0, 0, 0) END", "'on' EEE d-MMM-yy": "date_trunc('day', ts)",
+    "'some time in' MMMM": "NULL", "HH:mm 'UTC'": "TIMESTAMP '2024-02-29 00:00:00' + (date_trunc('minute', ts) - date_trunc('day', ts))",
+}
+
+
+@query("x14_general_dates", f"SELECT event_id, CASE event_id % {len(GENERAL_DATES)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(GENERAL_DATES.values())) + " END AS v FROM events")
+def _(spark, sf_dir):
+    kind = F.col("event_id") % len(GENERAL_DATES)
+    written = F.coalesce(*[F.when(kind == i, F.date_format("ts", p)) for i, p in enumerate(GENERAL_DATES)])
+    return t.read(spark, sf_dir, "events").select("event_id", dates.parse_date(written, default="2024-02-29").alias("v"))
+
+
 @query("x14_all_formats", f"SELECT event_id, CASE event_id % {len(DATE_PATTERNS)} WHEN 10 THEN NULL WHEN 6 THEN date_trunc('day', ts) WHEN 11 THEN date_trunc('day', ts) WHEN 7 THEN date_trunc('minute', ts) WHEN 8 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS v FROM events")
 def _(spark, sf_dir):
     """The same instants in every format, with their own weekdays; zones are dropped."""
@@ -290,6 +306,27 @@ def _(spark, sf_dir):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: A page of three documents' stories: cards inside an article, whose own first heading is the first card's.
+_PLAIN = "trim(regexp_replace({0}, '[^a-z]+', ' ', 'g'))"
+
+
+@query("x6_several_articles", f"""
+    WITH d AS (SELECT doc_id // 3 AS page_id, doc_id, {_PLAIN.format("lower(left(coalesce(text, ''), 600))")} AS body FROM documents),
+    c AS (SELECT page_id, doc_id, count(*) OVER (PARTITION BY page_id) + row_number() OVER (PARTITION BY page_id ORDER BY doc_id) AS place, 'story ' || doc_id || ' of a page' AS title, 'story ' || doc_id || ' of a page ' || body || ' more 2024-02-' || (10 + doc_id % 9) AS body,
+        'http://p' || page_id || '.example.com/s/' || doc_id AS link, '2024-02-' || (10 + doc_id % 9) AS date_text, FALSE AS whole FROM d),
+    p AS (SELECT page_id, 0 AS place, 'article' AS kind, first(title ORDER BY doc_id) AS title, string_agg(body, ' ' ORDER BY doc_id) AS body, first(link ORDER BY doc_id) AS link, first(date_text ORDER BY doc_id) AS date_text FROM c GROUP BY page_id)
+    SELECT page_id, place::INTEGER AS place, kind, title, regexp_replace(body, ' +', ' ', 'g') AS body, link, date_text
+    FROM (SELECT * FROM p UNION ALL SELECT page_id, place, 'div' AS kind, title, body, link, date_text FROM c) WHERE NOT {t.sql_any("body", words_of.SKIP_TERMS)}""")
+def _(spark, sf_dir):
+    plain = F.trim(F.regexp_replace(F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(600))), "[^a-z]+", " "))
+    ids = F.col("doc_id").cast("string")
+    card = F.concat(F.lit('<div class="x card"><h3>story <b>'), ids, F.lit("</b> of a page</h3><p>"), plain, F.lit('<br><script>var a = "</p>";</script><a href="/s/'), ids, F.lit('">more</a> <i>2024-02-'), (10 + F.col("doc_id") % 9).cast("string"), F.lit("</i></div>"))
+    rows = t.read(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("page_id"), "doc_id", card.alias("card"))
+    three = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "card"))).alias("cards"))  # three to a page
+    html = F.concat(F.lit("<html><title>t</title><nav><a href='/'>home</a></nav><article>"), F.array_join(F.transform("cards", lambda c: c["card"]), ""), F.lit("</article>"))
+    return pages.segment_articles(three.select("page_id", F.concat(F.lit("http://p"), F.col("page_id").cast("string"), F.lit(".example.com/x")).alias("url"), html.alias("html")))
+
+
 @query("x6_articles")
 def _(spark, sf_dir):
     return pages.extract_articles(t.read(spark, sf_dir, "pages"))

@@ -101,3 +101,36 @@ def test_rules_of_few_and_of_many_terms_agree(spark, monkeypatch):
         columns = [scoring.ministry(F.col("text"), rules), scoring.topics(F.col("text"), rules), scoring.inferred_ministry(F.col("text"), F.array().cast("array<string>"), {"a": "b"}, rules), categories.issue_title(F.col("text"), rules)["slug"]]
         found.append([tuple(r) for r in df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).collect()])
     assert found[0] == found[1] and found[0][0][0] == "one" and found[0][1][1] == ["one", "two"]
+
+
+#: What the library for dates of Python's data tools reads with 29 February 2024 for missing parts.
+WRITTEN_DATES = {
+    "May 3, 2024": "2024-05-03", "3 May 2024": "2024-05-03", "3rd of May 2024": "2024-05-03", "May 2024": "2024-05-29", "May": "2024-05-29", "3 May": "2024-05-03", "Monday": "2024-03-04",
+    "fri 3pm": "2024-03-01 15:00", "2024": "2024-02-29", "1/2/99": "1999-01-02", "1-2-03": "2003-01-02", "2023-7": "2023-07-29", "7/2023": "2023-07-29", "20240503": "2024-05-03",
+    "20240503101112": "2024-05-03 10:11:12", "202405031011": "2024-05-03 10:11", "10:30": "2024-02-29 10:30", "10:30 pm": "2024-02-29 22:30", "3 pm": "2024-02-29 15:00", "12 am": "2024-02-29 00:00",
+    "12:05 AM 5 Jan 2020": "2020-01-05 00:05", "5 Jan 20": "2020-01-05", "Jan 5 20": "2020-01-05", "99-Jan-05": "1999-01-05", "5-Jan-99": "1999-01-05", "2024.05.03": "2024-05-03",
+    "May 3 2024 at 3:07 p.m.": "2024-05-03 15:07", "Thu Feb 29 13:57:27 2024": "2024-02-29 13:57:27", "9 Sept 2021 11:22 +0530": "2021-09-09 11:22", "31 Feb 2020": None, "hello": None, "45/45/45": None,
+    "13:99": None, "tomorrow": None, "Feb 2023": "2023-02-28", "December 31": "2024-12-31", "1st June": "2024-06-01", "Wednesday 5 June 2024 at 4pm": "2024-06-05 16:00", "June 5th '21": "2021-06-05",
+    "11 12 13": "2013-11-12", "13 12 11": "2011-12-13",
+}
+
+
+def test_general_dates(spark):
+    from pressmill.functions.date_text import parse_text
+
+    default = datetime(2024, 2, 29)
+    want = {x: datetime.fromisoformat(v) if v else None for x, v in WRITTEN_DATES.items()}
+    assert {x: parse_text(x, default) for x in want} == want
+    try:
+        from dateutil import parser
+    except ImportError:
+        parser = None
+    for x, v in want.items() if parser else ():
+        try:
+            assert parser.parse(x, default=default).replace(tzinfo=None) == v, x
+        except (ValueError, OverflowError):
+            assert v is None, x
+    rows = spark.createDataFrame([(x,) for x in want] + [(None,), ("none",), ("2024-05-03 10:11:12",), ("2024-99-03 10:11:12",)], "v string")
+    got = {r.v: r.d for r in rows.select("v", dates.parse_date(F.col("v"), default="2024-02-29").alias("d")).collect()}
+    # the fixed formats come first; a text that a strict one claims and can't read stays null
+    assert got == want | {None: None, "none": None, "2024-05-03 10:11:12": datetime(2024, 5, 3, 10, 11, 12), "2024-99-03 10:11:12": None}

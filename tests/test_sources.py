@@ -74,3 +74,23 @@ def test_page_links_and_dates(spark):
     assert row[0].title == "Minister opens a bridge" and row[0].is_article and row[0].date_text == "2024-05-04" and row[0].link == "https://a.b/p/2"
     assert row[0].sections == ["https://a.b/more"] and row[0].further_pages == ["https://a.b/p/2", "https://a.b/?page=3", "https://a.b/n", "https://a.b/seven"]
     assert not row[1].is_article and row[1].link is None
+
+
+def test_several_articles_of_a_page(spark):
+    html = """<html><body><nav><a href="/">home</a></nav><section class="content"><h2>All the stories</h2>
+      <article class="story"><h3>First <b>story</b> here</h3><script>var x = "</article>";</script><p>a long enough text of the first one<br> on May 3, 2024 <a href="/one">more</a></article>
+      <div class="card"><h4>Second story here</h4><p>a long enough text of the second one, 05/06/2024</p></div>
+      <div class="card"><h4>Short</h4><p>a long enough text without a title of some length</p></div>
+      <div class="card"><h4>Skipped story here</h4><p>a long enough text about football</p></div>
+      <div class="card"><p>no heading here, but a long enough text</p></div></section>"""
+    links = '<a href="/x">short</a><a href="/news/1">this link has a text that is long enough</a><a href="/q">another that says government at some length</a><a href="/z">nothing that is wanted in this longer text</a><a href="/news/2">football government link that is long enough</a>'
+    rows = [(1, "http://e.com/a/", html), (2, "http://e.com/", links), (3, None, None), (4, "x", "<div class=card>&lt;b"), (5, "http://e.com/", '<div class="item"><h1>A title that repeats</h1>some text that is long enough</div>' * 30)]
+    found = pages.segment_articles(spark.createDataFrame(rows, "page_id long, url string, html string"), skip=["football"], news=["government"], addresses=["news"]).collect()
+    one = {r.place: (r.kind, r.title, r.link, r.date_text) for r in found if r.page_id == 1}
+    # the article by its kind, then the section by its class, which holds it, then cards; headings have no body
+    assert one == {0: ("article", "First story here", "http://e.com/one", "May 3, 2024"), 4: ("div", "Second story here", None, "05/06/2024")}
+    assert pages.segment_articles(spark.createDataFrame(rows[:1], "page_id long, url string, html string"), skip=[]).where("place = 1").first().title == "All the stories"
+    assert [(r.title, r.link) for r in found if r.page_id == 2] == [("this link has a text that is long enough", "http://e.com/news/1"), ("another that says government at some length", "http://e.com/q")]
+    assert len([r for r in found if r.page_id == 5]) == 0 and not [r for r in found if r.page_id in (3, 4)]
+    repeated = pages.segment_articles(spark.createDataFrame(rows[4:], "page_id long, url string, html string"), skip=[], most=60).collect()
+    assert len(repeated) == 30 and {r.kind for r in repeated} == {"div"}
