@@ -14,6 +14,11 @@ from pressmill.llm import bpe, decontaminate, language_id, line_dedup, near_dedu
 from pressmill.llm.common import crc_mod, table, unused, written
 
 
+#: Least score of the leading language of a document that stays: its share of the text, weighed against the other languages
+#: alone. A text in which no language leads is none; single words of a learned language have 0.5 and more.
+LEAST_SCORE = 0.3
+
+
 def _joined(docs: DataFrame, found: DataFrame, bytes_: int) -> DataFrame:
     """docs with the column of found (doc_id and one that docs lacks), null where it has none; broadcast up to 32 MB."""
     key = unused(docs, "doc_id_found")
@@ -29,16 +34,16 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without text or letters, in which there is no language, whether or not one was learned.
+    """Rejects documents without text or letters, and those whose mixture has no leading language (LEAST_SCORE).
 
-    Learns from the same fold as the query.
+    Learns from the same fold as the query; where no language was learned, letters alone decide.
     """
     model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2))
     if not model.languages:  # then all predictions are und
         lettered = F.pandas_udf(lambda text: text.map(language_id.has_letters).astype(bool), "boolean")
         return docs.where(F.col("doc_id").isNull() | lettered("text"))
     predicted = language_id.language_mixture(docs.where("doc_id is not null"), model)
-    return _without(docs, predicted.where("lang_pred = 'und'"))
+    return _without(docs, predicted.where(f"lang_pred = 'und' or score < {LEAST_SCORE}"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
