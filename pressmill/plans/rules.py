@@ -311,14 +311,14 @@ _PLAIN = "trim(regexp_replace({0}, '[^a-z]+', ' ', 'g'))"
 
 
 @query("x6_several_articles", f"""
-    WITH d AS (SELECT doc_id // 3 AS page_id, doc_id, {_PLAIN.format("lower(left(coalesce(text, ''), 600))")} AS body FROM documents),
+    WITH d AS (SELECT doc_id // 3 AS page_id, doc_id, {_PLAIN.format("lower(coalesce(text, ''))")} AS body FROM documents),
     c AS (SELECT page_id, doc_id, count(*) OVER (PARTITION BY page_id) + row_number() OVER (PARTITION BY page_id ORDER BY doc_id) AS place, 'story ' || doc_id || ' of a page' AS title, 'story ' || doc_id || ' of a page ' || body || ' more 2024-02-' || (10 + doc_id % 9) AS body,
         'http://p' || page_id || '.example.com/s/' || doc_id AS link, '2024-02-' || (10 + doc_id % 9) AS date_text, FALSE AS whole FROM d),
     p AS (SELECT page_id, 0 AS place, 'article' AS kind, first(title ORDER BY doc_id) AS title, string_agg(body, ' ' ORDER BY doc_id) AS body, first(link ORDER BY doc_id) AS link, first(date_text ORDER BY doc_id) AS date_text FROM c GROUP BY page_id)
     SELECT page_id, place::INTEGER AS place, kind, title, regexp_replace(body, ' +', ' ', 'g') AS body, link, date_text
     FROM (SELECT * FROM p UNION ALL SELECT page_id, place, 'div' AS kind, title, body, link, date_text FROM c) WHERE NOT {t.sql_any("body", words_of.SKIP_TERMS)}""")
 def _(spark, sf_dir):
-    plain = F.trim(F.regexp_replace(F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(600))), "[^a-z]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "))
     ids = F.col("doc_id").cast("string")
     card = F.concat(F.lit('<div class="x card"><h3>story <b>'), ids, F.lit("</b> of a page</h3><p>"), plain, F.lit('<br><script>var a = "</p>";</script><a href="/s/'), ids, F.lit('">more</a> <i>2024-02-'), (10 + F.col("doc_id") % 9).cast("string"), F.lit("</i></div>"))
     rows = t.read(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("page_id"), "doc_id", card.alias("card"))
