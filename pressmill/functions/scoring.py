@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,6 +169,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def cosines(vector: Column, table: Sequence[Sequence[float]]) -> Column:
+    """Cosine similarities (array<double>) of an array with each vector of a table: one matrix product a batch of rows.
+
+    Null for a null vector or one of another length than the table's; a similarity with a zero vector is null.
+    """
+    matrix = np.array(table, np.float64)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit = np.divide(matrix, size, out=np.full(matrix.shape, np.nan), where=size > 0)
+
+    @F.arrow_udf("array<double>")
+    def near(vectors: pa.Array) -> pa.Array:
+        usable = pc.fill_null(pc.equal(pc.list_value_length(vectors), unit.shape[1]), False)
+        x = pc.list_flatten(vectors.filter(usable)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, unit.shape[1])
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        found = np.divide(x, length, out=np.full(x.shape, np.nan), where=length > 0) @ unit.T
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(unit)), pa.array(found.ravel(), from_pandas=True))
+        place = np.cumsum(usable.to_numpy(zero_copy_only=False)) - 1
+        return lists.take(pa.array(place, mask=~usable.to_numpy(zero_copy_only=False)))
+
+    return near(vector)
+
+
 def bucket(key: Column, capacities: Mapping[str, int]) -> Column:
     """Routes a key to a name in proportion to the capacities, always the same one."""
     total = sum(capacities.values())

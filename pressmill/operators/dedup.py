@@ -87,11 +87,13 @@ def _word_classes(df: DataFrame, share: tuple[int, int], key: str, text: str) ->
     """
     num, den = share
     sets = df.select(key, F.length(text).alias("size"), F.array_sort(words(F.col(text))).alias("w")).where("size(w) > 0").withColumn("set", F.sha2(F.array_join("w", " "), 256))
-    classes = sets.groupBy("set").agg(F.first("w").alias("w"))
+    sets = stored(sets)  # texts are taken apart once
+    classes = stored(sets.groupBy("set").agg(F.first("w").alias("w")))
     tokens = classes.select("set", F.size("w").alias("n"), F.explode("w").alias("t"))
     frequency = tokens.groupBy("t").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("set").orderBy("f", "t"))
     prefix = tokens.join(frequency, "t").withColumn("i", rank).where(f"i <= n - (n * {num} + {den - 1}) div {den} + 1").select("set", "n", "t")
+    prefix = stored(prefix)
     x, y = prefix.alias("x"), prefix.alias("y")
     met = x.join(y, F.expr(f"x.t = y.t and x.set <= y.set and x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num}")).select(F.col("x.set").alias("sa"), F.col("y.set").alias("sb")).distinct()
     met = met.join(classes.toDF("sa", "wa"), "sa").join(classes.toDF("sb", "wb"), "sb")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import settled_label
+from ..sources.stored import stored
 
 LABELS = ["positive", "negative", "neutral"]
 
@@ -53,7 +54,7 @@ def leading_regions(df: DataFrame, label: str, most: int = 5, location: str = "u
 def location_labels(df: DataFrame, location: str = "user_location") -> DataFrame:
     """location x label counts with the share of all located rows."""
     counts = df.where(F.col(location).isNotNull()).groupBy(location, settled_label(F.col("sentiment_label")).alias("label")).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    return counts.withColumn("pct", percent(F.col("n"), counts.agg(F.sum("n")).scalar()))
 
 
 def engagement(df: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def issue_counts(df: DataFrame, ts: str = "published_at") -> DataFrame:
 
 def share_of_total(df: DataFrame, by: str, missing: str = "NULL") -> DataFrame:
     counts = df.groupBy(F.coalesce(F.col(by).cast("string"), F.lit(missing)).alias(by)).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    return counts.withColumn("pct", percent(F.col("n"), counts.agg(F.sum("n")).scalar()))
 
 
 def unlabelled_queries(df: DataFrame, by: str = "query") -> DataFrame:
@@ -127,7 +128,8 @@ def summary(
 ) -> DataFrame:
     """(dimension, value, n) of the latest rows of a selection: counters of the top values of each dimension, then under
     ``engagement`` the sum of each column of ``sums`` and the rows with any, and under ``span`` the days of the first and last time."""
-    rows = df.orderBy(*[F.desc(c) for c in order]).limit(latest)
+    used = [*dict.fromkeys([*dimensions, *sums, *([time] if time else [])])]
+    rows = stored(df.orderBy(*[F.desc(c) for c in order]).limit(latest).select(*used))  # read three times
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("NULL")).alias("value")) for d in dimensions]))
     counts = rows.select(each.alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))

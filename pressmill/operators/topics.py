@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.automaton import name_hits
-from ..functions.scoring import cosine, keyword_score
+from ..functions.scoring import cosines, keyword_score
 from ..functions.terms import hits, let
 
 #: What one automaton's dictionary holds at most.
@@ -19,29 +19,48 @@ def classify_topics(mentions: DataFrame, keywords: Mapping[str, Sequence[str]],
     """key, topic, keyword_score, embedding_score, confidence: 0.3 of the keyword score and 0.7 of the cosine, where there is a
     vector, else the keyword score; the best topics of at least ``least``.
 
-    Topics are a dictionary, and their vectors (topic, vector) one broadcast row; a mention's topics are ranked within its row.
+    Topics are a dictionary; their vectors (topic, vector) are a matrix that a batch of mentions is multiplied with.  A mention's
+    topics are ranked within its row.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
-    rows = mentions
+    near = F.lit(None).cast("array<double>")
     if vectors is not None:
-        wanted = vectors.where(F.col("topic").isin(*keywords)).select("topic", "vector")
-        table = wanted.agg(F.map_from_entries(F.collect_list(F.struct("topic", "vector"))).alias("_vectors"))  # no larger than the dictionary
-        rows = mentions.join(F.broadcast(table), F.lit(True), "left")
+        known = {r.topic: r.vector for r in vectors.where(F.col("topic").isin(*keywords)).select("topic", "vector").collect()}  # no more than the dictionary
+        size = max(map(len, known.values()), default=0)
+        near = cosines(F.col(vector), [known.get(topic) or [0.0] * size for topic in keywords]) if size else near
 
-    def scored(text: Column) -> Column:
-        def one(topic: str, terms: Sequence[str]) -> Column:
-            words = keyword_score(hits(text, terms), len(terms))
-            near = cosine(F.col(vector), F.try_element_at("_vectors", F.lit(topic))) if vectors is not None else F.lit(None).cast("double")
-            return F.struct(F.lit(topic).alias("topic"), words.alias("k"), near.alias("e"))
+    def scored(x: Column) -> Column:
+        def one(i: int, topic: str, terms: Sequence[str]) -> Column:
+            return F.struct(F.lit(topic).alias("topic"), keyword_score(hits(x["text"], terms), len(terms)).alias("k"), F.get(x["near"], F.lit(i)).alias("e"))
 
-        return F.array(*[one(topic, terms) for topic, terms in keywords.items()])
+        return F.array(*[one(i, topic, terms) for i, (topic, terms) in enumerate(keywords.items())])
 
     def judged(x: Column) -> Column:
         confidence = F.round(F.when(x["e"].isNull(), x["k"]).otherwise(0.3 * x["k"] + 0.7 * x["e"]), 3)
         return F.struct((-confidence).alias("order"), x["topic"].alias("topic"), F.round(x["k"], 3).alias("keyword_score"), F.round(x["e"], 3).alias("embedding_score"), confidence.alias("confidence"))
 
-    kept = F.filter(F.transform(let(low, scored), judged), lambda x: x["confidence"] >= least)
-    return rows.select(key, F.inline(F.slice(F.array_sort(kept), 1, most))).drop("order")
+    kept = F.filter(F.transform(let(F.struct(low.alias("text"), near.alias("near")), scored), judged), lambda x: x["confidence"] >= least)
+    return mentions.select(key, F.inline(F.slice(F.array_sort(kept), 1, most))).drop("order")
+
+
+def nearest_topics(rows: DataFrame, vectors: DataFrame, key: str = "entry_id", vector: str = "embedding", most: int = 3, digits: int = 4, block: int = 4096) -> DataFrame:
+    """key, topic, similarity: the ``most`` topics of vectors (topic, vector) with the highest cosine to a row's vector, equal ones
+    (to so many digits) by name.
+
+    Topics are taken in blocks of so many, each a matrix; of each block the best of a row are kept, and then the best of those.
+    Null and zero vectors, and vectors of another length, have no topics.
+    """
+    names = sorted(r.topic for r in vectors.select("topic").distinct().collect())
+    best = None
+    for i in range(0, len(names), block):
+        own = names[i : i + block]
+        table = {r.topic: r.vector for r in vectors.where(F.col("topic").between(own[0], own[-1])).select("topic", "vector").collect()}
+        near = F.transform(cosines(F.col(vector), [table[n] for n in own]), lambda c, at: F.struct(F.round(-c, digits).alias("away"), F.get(F.array(*map(F.lit, own)), at).alias("topic")))
+        part = F.slice(F.array_sort(F.filter(near, lambda x: x["away"].isNotNull())), 1, most)
+        best = part if best is None else F.slice(F.array_sort(F.concat(best, part)), 1, most)
+    if best is None:
+        return rows.select(key, F.lit("").alias("topic"), F.lit(0.0).alias("similarity")).limit(0)
+    return rows.select(key, F.explode(best).alias("x")).select(key, "x.topic", (-F.col("x.away")).alias("similarity"))
 
 
 def mentions_for_owner(mentions: DataFrame, bridge: DataFrame, owners: DataFrame) -> DataFrame:

@@ -49,23 +49,23 @@ def quality(df: DataFrame, columns: Sequence[str], ts: str, as_of: str, days: in
 
 
 def consistency(df: DataFrame, columns: Sequence[str], components: int) -> DataFrame:
-    """1 / (1 + e), e the mean squared error of standardised columns rebuilt from their leading principal components.
+    """n, and consistency, 1 / (1 + e), e the mean squared error of standardised columns rebuilt from their leading components.
 
-    The error is what the other components hold: the sum of the covariance matrix's other eigenvalues over the number of
-    columns, so one aggregate over the rows is enough.
+    A fitted pipeline (assembler, scaler, principal components) is applied to the rows; as components are orthonormal, a row's error is
+    its squared length less that of its projection.  Rows with a null are left out; without rows the result is null.
     """
-    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     rows = df.select(*[F.col(c).cast("double") for c in columns]).na.drop()
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    got = rows.agg(F.count("*").alias("n"), *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"] or 0.0
-    scale = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
-    values = np.sort(np.linalg.eigvalsh(cov / scale[:, None] / scale[None]))[::-1]
-    error = float(values[components:].clip(0).sum() / len(columns))
-    return df.sparkSession.range(1).select(F.lit(got["n"]).alias("n"), F.round(F.lit(1 / (1 + error)), 6).alias("consistency"))
+    if rows.isEmpty():
+        return rows.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("consistency"))
+    stages = [VectorAssembler(inputCols=list(columns), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_z", withMean=True), PCA(k=components, inputCol="_z", outputCol="_p")]
+    applied = Pipeline(stages=stages).fit(rows).transform(rows)
+    squared = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
+    error = F.greatest(F.avg(squared("_z") - squared("_p")), F.lit(0.0)) / len(columns)
+    return applied.agg(F.count("*").alias("n"), F.round(1 / (1 + error), 6).alias("consistency"))
 
 
 def hourly_success(log: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def action_scores(log: DataFrame, key: str) -> DataFrame:
 
 def patterns(log: DataFrame, key: str, least: int = 5) -> DataFrame:
     counts = log.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg((~F.col("is_error")).cast("double")), 6).alias("avg_success"))
-    return counts.withColumn("frequency", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)).where(F.col("n") >= least)
+    return counts.withColumn("frequency", F.round(F.col("n") / counts.agg(F.sum("n")).scalar(), 6)).where(F.col("n") >= least)
 
 
 def feed_health(fetches: DataFrame, as_of: str) -> DataFrame:

@@ -137,6 +137,16 @@ def _(spark, sf_dir):
     return e.join(F.broadcast(vectors), "label").select("vec_id", "label", F.round(scoring.cosine(F.col("embedding"), F.col("c")), 4).alias("similarity"))
 
 
+@query("x33_closest_topic", "WITH v AS (SELECT label, list(a ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS a FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i) GROUP BY label), s AS (SELECT vec_id, v.label, round(list_cosine_similarity(embedding::DOUBLE[], c), 4) AS similarity FROM embeddings, v) SELECT vec_id, label AS closest, similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, label) = 1")
+def _(spark, sf_dir):
+    """Every vector against all topics' vectors, a matrix product a batch."""
+    e = t.read(spark, sf_dir, "embeddings")
+    mean = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("a"))
+    vectors = mean.groupBy(F.col("label").cast("string").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]).alias("vector"))
+    near = topics.nearest_topics(e, vectors, key="vec_id", most=1)
+    return near.select("vec_id", F.col("topic").cast("long").alias("closest"), "similarity")
+
+
 # --- filters ------------------------------------------------------------------------------------------------------------
 rows("f1_tenant", lambda m: filters.tenant(m, 3), "user_id = 3")
 rows("f2_between", lambda m: filters.between(m, "published_at", "2024-01-01", "2024-01-20"), "published_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-20'")
@@ -563,6 +573,12 @@ def _(spark, sf_dir):
     return usage.consistency(t.read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
 
 
+@query("a33_two_columns", "SELECT count(*) AS n, round(1 / (1 + (1 - abs(corr(l_quantity, l_extendedprice))) / 2 * (count(*) - 1) / count(*)), 6) AS consistency FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
+def _(spark, sf_dir):
+    """Of two standardised columns the second component holds one less their correlation."""
+    return usage.consistency(t.read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], 1)
+
+
 @on_usage("a34_hourly_success", U + "SELECT hour(ts) AS hour, count(*) AS n, round(avg((NOT is_error)::INTEGER), 6) AS success FROM usage_log GROUP BY 1")
 def _(u):
     return usage.hourly_success(u)

@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pressmill.operators import dedup, enrich, filters, topics, usage
@@ -165,3 +166,31 @@ def test_dictionary_is_a_table_in_blocks_of_any_size(spark):
         assert {tuple(r) for r in topics.keyword_hits(m, rules, block_bytes=size).collect()} == want
     assert topics.keyword_hits(m, rules.drop("weight")).where("name = 'q'").first().weight == 2.0
     assert topics.keyword_hits(m, rules.limit(0)).count() == 0
+
+
+def test_topics_by_matrix_products(spark):
+    rng = np.random.default_rng(1)
+    table = {f"t{i:03}": rng.normal(size=8).tolist() for i in range(60)}
+    rows = [(i, "about t001" if i % 2 else "", rng.normal(size=8).tolist()) for i in range(20)] + [(20, "t001", None), (21, "t001", [0.0] * 8), (22, None, [1.0] * 3)]
+    m = spark.createDataFrame(rows, "entry_id long, text string, embedding array<double>")
+    vectors = spark.createDataFrame(list(table.items()), "topic string, vector array<double>")
+    near = lambda v, w: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+    want = {(i, n, round(near(v, w), 4)) for i, _, v in rows[:20] for n, w in sorted(table.items(), key=lambda x: (-round(near(v, x[1]), 4), x[0]))[:3]}
+    for block in (4096, 7):
+        assert {tuple(r) for r in topics.nearest_topics(m, vectors, block=block).collect()} == want
+    assert topics.nearest_topics(m, vectors.limit(0)).count() == 0
+    keywords = {"t001": ["t001"], "t002": ["absent"], "none": ["about"]}
+    got = {(r.entry_id, r.topic): (r.keyword_score, r.embedding_score, r.confidence) for r in topics.classify_topics(m, keywords, vectors, least=-1.0).collect()}
+    assert len(got) == 3 * 23 and got[20, "t001"] == (1.0, None, 1.0) and got[1, "none"][1] is None
+    assert got[1, "t001"][2] == round(0.3 + 0.7 * near(rows[1][2], table["t001"]), 3) and got[0, "t002"][2] == round(0.7 * near(rows[0][2], table["t002"]), 3)
+
+
+def test_consistency_is_what_the_other_components_hold(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) * [1, 10, 100, 1000]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0, 1.0)], "a double, b double, c double, d double")
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+    for k in (1, 2, 4):
+        got = usage.consistency(df, ["a", "b", "c", "d"], k).first()
+        assert got.n == 200 and abs(got.consistency - 1 / (1 + values[k:].sum() / 4 * 199 / 200)) < 2e-6
+    assert usage.consistency(df.limit(0), ["a", "b"], 1).first().consistency is None
