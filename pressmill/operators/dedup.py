@@ -83,7 +83,7 @@ def _word_classes(df: DataFrame, share: tuple[int, int], key: str, text: str) ->
     """Rows with their word set's digest, and sa, sb, intersection, union of similar word sets, each also with itself.
 
     An exact join: words ordered from rare to frequent, sets meet on a prefix of at least n - ceil(share * n) + 1 words, pass
-    a length filter and are confirmed as a whole.
+    a length and a positional filter and are confirmed as a whole.
     """
     num, den = share
     sets = df.select(key, F.length(text).alias("size"), F.array_sort(words(F.col(text))).alias("w")).where("size(w) > 0").withColumn("set", F.sha2(F.array_join("w", " "), 256))
@@ -92,10 +92,12 @@ def _word_classes(df: DataFrame, share: tuple[int, int], key: str, text: str) ->
     tokens = classes.select("set", F.size("w").alias("n"), F.explode("w").alias("t"))
     frequency = tokens.groupBy("t").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("set").orderBy("f", "t"))
-    prefix = tokens.join(frequency, "t").withColumn("i", rank).where(f"i <= n - (n * {num} + {den - 1}) div {den} + 1").select("set", "n", "t")
+    prefix = tokens.join(frequency, "t").withColumn("i", rank).where(f"i <= n - (n * {num} + {den - 1}) div {den} + 1").select("set", "n", "t", "i")
     prefix = stored(prefix)
     x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, F.expr(f"x.t = y.t and x.set <= y.set and x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num}")).select(F.col("x.set").alias("sa"), F.col("y.set").alias("sb")).distinct()
+    # the first word that two sets share leaves no more than what stands behind it in both
+    near = f"x.n * {den} >= y.n * {num} and y.n * {den} >= x.n * {num} and (1 + least(x.n - x.i, y.n - y.i)) * {num + den} > {num} * (x.n + y.n)"
+    met = x.join(y, F.expr(f"x.t = y.t and x.set <= y.set and {near}")).select(F.col("x.set").alias("sa"), F.col("y.set").alias("sb")).distinct()
     met = met.join(classes.toDF("sa", "wa"), "sa").join(classes.toDF("sb", "wb"), "sb")
     met = met.withColumns({"intersection": F.size(F.array_intersect("wa", "wb")), "union": F.size(F.array_union("wa", "wb"))}).where(f"intersection * {den} > union * {num}")
     return sets, met.select("sa", "sb", "intersection", "union")
