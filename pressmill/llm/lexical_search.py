@@ -34,6 +34,8 @@ QUERY_BYTES, QUERY_ITEMS = 256 << 10, 2048
 #: Cells (documents times terms) of a shard, the least and the most documents of one, documents of a block, dimensions of
 #: the projection, and the share of documents that gives the floors.
 SHARD_CELLS, LEAST_SHARD, MOST_SHARD, BLOCK, DIMENSIONS, SEED_SHARE = 4 << 20, 128, 4096, 32, 24, 64
+#: Places of posting lists that are summed up at a time.
+POSTINGS = 20_000
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -112,10 +114,14 @@ class Shard:
         self.starts, self.members, self.first = np.array(starts, np.int64), doc, first
         self.stops = np.append(self.starts[1:], len(doc))
         self.summaries = np.zeros((len(starts), n_terms), np.int32)
-        step = max(1, SHARD_CELLS // max(1, n_terms) // block)
-        for i in range(0, len(starts), step):
-            a, b = self.starts[i], self.stops[min(i + step, len(starts)) - 1]
-            self.summaries[i : i + step] = np.maximum.reduceat(impacts[doc[a:b]], self.starts[i : i + step] - a, axis=0)
+        row, column = np.nonzero(impacts)  # a document has few of the terms, so its terms alone are looked at
+        value, before = impacts[row, column], np.searchsorted(row, np.arange(n_docs + 1))
+        owner = np.repeat(np.arange(len(starts)), self.stops - self.starts)
+        for i in range(0, len(doc), POSTINGS):
+            own, block_of = doc[i : i + POSTINGS], owner[i : i + POSTINGS]
+            size = before[own + 1] - before[own]
+            at = np.repeat(before[own] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            np.maximum.at(self.summaries.ravel(), np.repeat(block_of * n_terms, size) + column[at], value[at])
 
     def search(self, terms: np.ndarray, weights: np.ndarray, best: tuple[np.ndarray, np.ndarray], floor: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, doc_ids) of ``best`` and this shard; none below the floor, equal scores by doc_id."""
