@@ -45,6 +45,18 @@ def match_existing(new: DataFrame, old: DataFrame, tenant: str = "user_id", text
     return _keyed(new, text).where("_norm != ''").join(stored, [tenant, "_key"]).select(key, "existing_ids")
 
 
+def least_existing(new: DataFrame, old: DataFrame, tenant: str = "user_id", text: str = "text", key: str = "entry_id") -> DataFrame:
+    """entry_id of each new row, existing_id, the least of the tenant's stored rows with an equal normalised text, and existing_count:
+    match_existing() for texts that any number of stored rows may have.  Their ids are text_members() of the row's class."""
+    stored_rows = text_members(old, tenant, text, key).groupBy(tenant, "text_class").agg(F.min(key).alias("existing_id"), F.count("*").alias("existing_count"))
+    return text_members(new, tenant, text, key).join(stored_rows, [tenant, "text_class"]).select(key, "text_class", "existing_id", "existing_count")
+
+
+def text_members(df: DataFrame, tenant: str = "user_id", text: str = "text", key: str = "entry_id") -> DataFrame:
+    """tenant, text_class (digest of the normalised text) and key of each row with a text: an id a row, not a list a text."""
+    return _keyed(df, text).where("_norm != ''").select(tenant, F.col("_key").alias("text_class"), key)
+
+
 def dedup_split(new: DataFrame, old: DataFrame, order: list[str], tenant: str = "user_id", text: str = "text") -> DataFrame:
     """The new rows with ``fate``: empty, external (stored already), internal (repeats a new row) or unique."""
     stored = _keyed(old, text).select(tenant, "_key").distinct().withColumn("_stored", F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import settled_label
+from ..functions.values import ordered_bits, value_of_bits
 from ..sources.stored import stored
 
 LABELS = ["positive", "negative", "neutral"]
@@ -62,15 +63,40 @@ def engagement(df: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("likes", "retweets", "comments", "direct_reach")])
 
 
+#: Bits of an ordered key that a pass of positional() looks at.
+DIGIT = 16
+
+
 def positional(df: DataFrame, value: str, by: Sequence[str], places: Mapping[str, str], descending: bool = False) -> DataFrame:
-    """Values at places of the sorted positives, a place being SQL over n, from 0.  Exact: equal values are counted first, so a
-    group is walked by its distinct values."""
-    counts = df.where(F.col(value) > 0).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    order = F.desc(value) if descending else F.col(value)
-    walked = counts.withColumns({"_end": F.sum("_c").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
-    here = {name: F.expr(f"_end - _c <= {place} and {place} < _end") for name, place in places.items()}
-    return walked.groupBy(*by).agg(*[F.max(F.when(c, F.col(value))).alias(name) for name, c in here.items()])
+    """Values at places of the sorted positives, a place being SQL over n, from 0; exact, however many values a group has.
+
+    Values become integers of the same order.  A pass counts a group's rows by the next digit (of ``DIGIT`` bits) of those that
+    agree with what earlier passes have settled, and so settles one digit more of each place; no task sorts a group, and none holds more than
+    the counts of a digit.  Digits that are zero throughout are left out.
+    """
+    kind = dict(df.dtypes)[value]
+    exact = kind in ("tinyint", "smallint", "int", "bigint")
+    rows = df.where(F.col(value) > 0).select(*by, (F.col(value).cast("long") if exact else ordered_bits(F.col(value))).alias("_k"))
+    most = rows.agg(F.max("_k")).first()[0] or 0
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    rank = {name: f"n - 1 - ({place})" if descending else place for name, place in places.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), F.expr(r).cast("long").alias("_rank")) for name, r in rank.items()])).alias("x")
+    settled = sizes.select(*by, each).select(*by, "x._name", "x._rank", F.lit(0).cast("long").alias("_prefix")).where("_rank >= 0")
+    first = settled
+    for shift in range((max(most, 1).bit_length() - 1) // DIGIT * DIGIT, -1, -DIGIT):
+        s = settled.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_name", "_rank", "_prefix")
+        on = F.shiftright("_k", shift + DIGIT) == F.col("_prefix") if shift + DIGIT < 63 else F.col("_prefix") == 0
+        for i, c in enumerate(by):
+            on &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+        near = rows if settled is first else rows.join(s.drop("_name", "_rank").distinct(), on, "left_semi")
+        counts = near.groupBy(*by, F.shiftright("_k", shift).alias("_next")).agg(F.count("*").alias("_c"))
+        counts = counts.withColumn("_k", F.shiftleft("_next", shift)).join(s, on).select(*by, "_name", "_rank", "_next", "_c")
+        upto = F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("_upto", upto).where("_upto > _rank and _upto - _c <= _rank")
+        settled = found.select(*by, "_name", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"), F.col("_next").alias("_prefix"))
+    found = F.col("_prefix").cast(kind) if exact else value_of_bits(F.col("_prefix")).cast(kind)
+    settled = settled.withColumn("_value", found)
+    return settled.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in places])
 
 
 def value_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -201,6 +201,11 @@ def _(spark, sf_dir):
     return dedup.match_existing(*_pair(spark, sf_dir)).select("entry_id", F.array_join("existing_ids", ",").alias("ids"))
 
 
+@query("j1_least_existing", HALVES + "SELECT new.entry_id, min(old.entry_id) AS existing_id, count(*) AS existing_count FROM new JOIN old ON old.user_id // 2 = new.user_id // 2 AND old.norm = new.norm AND new.norm != '' GROUP BY new.entry_id")
+def _(spark, sf_dir):
+    return dedup.least_existing(*_pair(spark, sf_dir)).drop("text_class")
+
+
 @query("j2_dedup_split", HALVES + "SELECT entry_id, fate FROM judged")
 def _(spark, sf_dir):
     return dedup.dedup_split(*_pair(spark, sf_dir), ["entry_id"]).select("entry_id", "fate")

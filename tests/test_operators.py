@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
-from pressmill.operators import dedup, enrich, filters, topics, usage
+from pressmill.operators import dedup, enrich, filters, metrics, topics, usage
 
 
 def test_dedup_split_adds_up_and_repeats(spark):
@@ -194,3 +194,21 @@ def test_consistency_is_what_the_other_components_hold(spark):
         got = usage.consistency(df, ["a", "b", "c", "d"], k).first()
         assert got.n == 200 and abs(got.consistency - 1 / (1 + values[k:].sum() / 4 * 199 / 200)) < 2e-6
     assert usage.consistency(df.limit(0), ["a", "b"], 1).first().consistency is None
+
+
+def test_places_of_sorted_values_by_digits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(x), float(y)) for g, n in (("a", 400), ("b", 1), (None, 7)) for x, y in zip(rng.integers(-5, 1 << 45, n) >> rng.integers(0, 44, n), rng.lognormal(0, 30, n))]
+    rows += [("a", 5, 1e-300)] * 9 + [("c", 0, -1.0), ("c", None, None)]
+    df = spark.createDataFrame(rows, "g string, n long, d double")
+    places = {"median": "n div 2", "low": "0", "high": "n - 1", "p90": "n div 10"}
+    for column, i in (("n", 1), ("d", 2)):
+        for descending in (False, True):
+            got = {r.g: tuple(r[p] for p in places) for r in metrics.positional(df, column, ["g"], places, descending).collect()}
+            want = {}
+            for g in ("a", "b", None):
+                own = sorted((r[i] for r in rows if r[0] == g and r[i] is not None and r[i] > 0), reverse=descending)
+                want[g] = (own[len(own) // 2], own[0], own[-1], own[len(own) // 10])
+            assert got == want
+    whole = metrics.positional(df, "n", [], {"median": "n div 2"}).first().median
+    assert whole == (own := sorted(r[1] for r in rows if r[1] is not None and r[1] > 0))[len(own) // 2]
