@@ -61,6 +61,7 @@ def issue_confidence(text: Column, label: Column, score: Column) -> Column:
 
 
 def recommended_action(label: Column, score: Column) -> Column:
+    """The action by label and score; the sentences are fixed values."""
     return (
         F.when((label == "positive") & (score > 0.6), "Amplify and share this content through official channels")
         .when(label == "positive", "Monitor and potentially acknowledge this positive coverage")

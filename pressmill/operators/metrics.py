@@ -145,7 +145,7 @@ def unlabelled_queries(df: DataFrame, by: str = "query") -> DataFrame:
 def code_audit(df: DataFrame, mapping: DataFrame, code: str = "ministry_hint") -> DataFrame:
     """Rows by code, with the current name where a mapping (code, name) knows it."""
     counts = df.groupBy(code).agg(F.count("*").alias("n"))
-    known = F.broadcast(mapping.select(F.col("code").alias(code), "name"))  # a taxonomy, some dozens of rows
+    known = mapping.select(F.col("code").alias(code), "name")
     return counts.join(known, code, "left").select(code, "n", F.coalesce("name", F.lit("unmapped")).alias("name"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, values
 from ..operators.dedup import keep_first
 
-#: Old name -> name, for each kind of file; used where the name is absent.
+#: Old name -> name, for each kind of file; used where the name is absent.
 ALIASES = {
     "twitter": {"full_text": "text", "created_at": "date", "screen_name": "user_name"},
     "news": {"content": "text", "published_date": "date", "source_name": "user_name"},
