@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
-from pressmill.operators import dedup, enrich, filters, metrics, topics, usage
+from pressmill.operators import dedup, enrich, filters, metrics, similar_sets, topics, usage
 
 
 def test_dedup_split_adds_up_and_repeats(spark):
@@ -103,6 +103,24 @@ def test_near_dups_are_those_of_all_pairs(spark):
     assert {(r.a, r.b): r.drop_id for r in dedup.near_dups_jaccard(df).collect()} == {x: drop[x] for x in wanted}
 
 
+def test_similar_sets_lose_no_pair_and_propose_few(spark, monkeypatch):
+    rng = random.Random(8)
+    common, sets = [f"c{i}" for i in range(40)], []
+    for size in (3, 6, 7, 9, 14, 30, 60, 150, 400):
+        for _ in range(12):
+            one = rng.sample(common, min(size, 12) // 2) + [f"r{rng.randrange(5000)}" for _ in range(size - min(size, 12) // 2)]
+            sets += [one, *([w for w in one if rng.random() > gone] + [f"n{rng.randrange(10**6)}" for _ in range(rng.randint(0, size // 12))] for gone in (0.02, 0.06, 0.1))]
+    sets = [list(x) for x in {tuple(sorted(set(x))) for x in sets if x}]
+    want = {(a, b): (i, u) for b in range(len(sets)) for a in range(b) if 100 * (i := len({*sets[a]} & {*sets[b]})) > 85 * (u := len({*sets[a]} | {*sets[b]}))}
+    df = spark.createDataFrame(list(enumerate(sets)), "no long, w array<string>")
+    monkeypatch.setattr(similar_sets, "TILE", 3)  # hubs of several tiles
+    assert {(r.na, r.nb): (r.intersection, r.union) for r in similar_sets.similar_sets(df, (85, 100)).collect()} == want
+    assert len(want) > 100
+    # many texts of the same common words, no two alike, which met on every single word before
+    unlike = spark.createDataFrame([(i, rng.sample([f"v{j}" for j in range(300)], 60)) for i in range(800)], "no long, w array<string>")
+    assert similar_sets._proposed(unlike, 85, 100).count() < 100
+
+
 def test_location_backlog_is_whole(spark):
     df = spark.range(30_000).selectExpr("id as entry_id", "if(id % 2 = 0, null, 'x') as location_label", "1.0D as location_confidence")
     assert filters.location_backlog(df).count() == 15_000
