@@ -37,6 +37,20 @@ def test_articles(spark):
     assert not got[2].is_article
 
 
+def test_pages_are_taken_apart_in_bounded_pieces(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def parse(frames):
+        for pdf in frames:
+            assert len(pdf) == 1 or pdf["html"].fillna("").str.len().sum() <= 1 << 20
+            seen.add(1)
+            yield pdf[["page_id"]]
+
+    df = spark.range(40, numPartitions=1).selectExpr("id as page_id", "cast(null as string) as url", "if(id = 3, null, repeat('x', 200000 * if(id = 7, 10, 1))) as html")
+    assert sorted(r.page_id for r in pages.in_pieces(df, parse, "page_id long").collect()) == list(range(40))
+    assert seen.value >= 8
+
+
 def test_append_dedup_and_export(spark, tmp_path):
     old = spark.createDataFrame([(1, "u1", "a"), (2, None, "b")], "id long, url string, text string")
     new = spark.createDataFrame([(3, "u1", "c"), (4, "u2", "b"), (5, "u3", "d")], "id long, url string, text string")
