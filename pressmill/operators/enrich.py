@@ -17,21 +17,21 @@ COLUMNS = {"label": ("string", "neutral"), "score": ("double", 0.0), "justificat
 
 def enrich(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], text: str = "text", key: str = "entry_id", limit: int = 8000) -> DataFrame:
     """Rows of key and the scorer's columns. A scorer takes a frame (key, text) and returns one (key, label, score,
-    justification); a batch that it fails on is scored row by row, and a row that it fails on is neutral."""
+    justification); a batch that it fails on is halved until it fails on single rows alone, which are neutral."""
     kind = df.schema[key].dataType.simpleString()
 
+    def scored(batch: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return [scorer(batch)]
+        except Exception:
+            if len(batch) <= 1:
+                return [batch[[key]]]
+            half = len(batch) // 2
+            return scored(batch.iloc[:half]) + scored(batch.iloc[half:])
+
     def run(batches):
         for batch in batches:
-            try:
-                out = scorer(batch)
-            except Exception:
-                parts = []
-                for i in range(len(batch)):
-                    try:
-                        parts.append(scorer(batch.iloc[i : i + 1]))
-                    except Exception:
-                        parts.append(pd.DataFrame({key: batch[key].iloc[i : i + 1]}))
-                out = pd.concat(parts) if parts else batch[[key]]
+            out = pd.concat(scored(batch))
             for name, (_, default) in COLUMNS.items():
                 out[name] = out[name].where(out[name].notna(), default) if name in out else default
             yield out[[key, *COLUMNS]]

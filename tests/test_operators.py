@@ -103,6 +103,20 @@ def test_near_dups_are_those_of_all_pairs(spark):
     assert {(r.a, r.b): r.drop_id for r in dedup.near_dups_jaccard(df).collect()} == {x: drop[x] for x in wanted}
 
 
+def test_a_row_that_fails_costs_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(batch):
+        calls.add(1)
+        if (batch["text"] == "bad").any():
+            raise ValueError("bad")
+        return batch[["entry_id"]].assign(label="positive", score=1.0)
+
+    df = spark.range(1000, numPartitions=1).selectExpr("id as entry_id", "if(id = 700, 'bad', 'good') as text")
+    assert {r.entry_id for r in enrich.enrich(df, scorer).where("label = 'neutral'").collect()} == {700}
+    assert calls.value < 50
+
+
 def test_similar_sets_lose_no_pair_and_propose_few(spark, monkeypatch):
     rng = random.Random(8)
     common, sets = [f"c{i}" for i in range(40)], []
