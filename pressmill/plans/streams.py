@@ -13,10 +13,11 @@ from .catalog import HEALTH, ROSTER, TS, M, query
 
 
 def landed(df: DataFrame, files: int = 4, per_trigger: int = 100) -> DataFrame:
-    """The rows as a stream of files."""
+    """The rows as a stream of files: ``files`` of them, of which a batch takes ``per_trigger``, each split for as many tasks as shuffles have."""
     path = scratch_path(df.sparkSession)
-    df.repartition(files).write.parquet(path)
-    return jobs.read_stream(df.sparkSession, path, df.schema, per_trigger)
+    split = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // files)
+    df.repartition(files * split).write.parquet(path)
+    return jobs.read_stream(df.sparkSession, path, df.schema, per_trigger * split)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
