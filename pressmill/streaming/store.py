@@ -10,9 +10,10 @@ the version before its own.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
@@ -68,22 +69,27 @@ class MentionStore:
         stored = self._read(spark, manifest, "rows", schema, touched)
         kinds = dict(batch.dtypes)
         index_schema = ", ".join(f"`{c}` {kinds[c]}" for c in dict.fromkeys((self.tenant, *self.keys))) + ", digest string"
-        old = stored.join(fresh.select(*self.keys), self.keys, "left_semi").withColumn("_digest", F.when(normalize_text(F.col(self.text)) != "", digest))
+        digests = stored.select(*self.keys, F.when(normalize_text(F.col(self.text)) != "", digest).alias("_digest"))
+        old = digests.join(fresh.select(*self.keys), self.keys, "left_semi")
         places = {r[0] for r in fresh.select("_place").union(old.select(self._bucket("_digest"))).distinct().collect()}
         index = self._read(spark, manifest, "index", index_schema, places)
 
-        known = fresh.join(stored.select(*self.keys), self.keys, "left_semi")
-        unseen = fresh.join(stored.select(*self.keys), self.keys, "left_anti")
+        slim = fresh.select(*dict.fromkeys((*self.keys, self.tenant, *order, "_digest")))  # rows are chosen without their texts
+        known = slim.join(stored.select(*self.keys), self.keys, "left_semi")
+        unseen = slim.join(stored.select(*self.keys), self.keys, "left_anti")
         unseen = unseen.join(index.select(self.tenant, F.col("digest").alias("_digest")).distinct(), [self.tenant, "_digest"], "left_anti")
         named = unseen.where("_digest is not null")
         unseen = keep_first(named, [self.tenant, "_digest"], order).unionByName(unseen.where("_digest is null"))
-        incoming = known.unionByName(unseen).select(*batch.columns).persist()
+        chosen = known.unionByName(unseen).select(*(F.col(k).alias(f"_chosen_{k}") for k in self.keys))
+        equal = reduce(Column.__and__, (fresh[k].eqNullSafe(chosen[f"_chosen_{k}"]) for k in self.keys))
+        incoming = fresh.join(chosen, equal, "left_semi").select(*batch.columns).persist()
 
         rows = upsert(stored, incoming, self.keys).select(*batch.columns)
         written = f"written={number}"
         rows.withColumn("bucket", self._bucket(*self.keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/{written}")
-        now = spark.read.schema(schema).parquet(f"{self.path}/rows/{written}").join(incoming.select(*self.keys), self.keys, "left_semi")
-        entries = now.where(normalize_text(F.col(self.text)) != "").select(*dict.fromkeys((self.tenant, *self.keys)), digest.alias("digest"))
+        now = spark.read.schema(schema).parquet(f"{self.path}/rows/{written}").where(normalize_text(F.col(self.text)) != "")
+        entries = now.select(*dict.fromkeys((self.tenant, *self.keys)), digest.alias("digest")).join(incoming.select(*self.keys), self.keys, "left_semi")
+        entries = entries.select(*dict.fromkeys((self.tenant, *self.keys)), "digest")
         kept = index.join(incoming.select(*self.keys), self.keys, "left_anti").unionByName(entries)
         kept.withColumn("bucket", self._bucket("digest")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/index/{written}")
         changed = dict.fromkeys([("rows", b) for b in touched] + [("index", b) for b in places], number)

@@ -152,3 +152,22 @@ def test_change_alerts(spark, tmp_path):
     stream = jobs.read_stream(spark, str(tmp_path / "s"), "published_at timestamp_ntz, sentiment_score double")
     jobs.change_alerts(stream, str(tmp_path / "c"), lambda df: seen.extend(df.collect())).awaitTermination()
     assert [round(r.change, 2) for r in seen] == [-0.75]
+
+
+def test_landed_files_are_as_many_as_shuffles_have_tasks(spark):
+    from pressmill.plans import streams
+
+    stream = streams.landed(spark.range(100).toDF("id"), files=2, per_trigger=1)  # the session has 4 partitions
+    rows = streams.drained(stream.withColumn("file", F.col("_metadata.file_name"))).collect()
+    assert sorted(r.id for r in rows) == list(range(100))
+    assert len({r.file for r in rows}) == 4 and len({r.batch for r in rows}) == 2
+
+
+def test_a_merge_chooses_rows_without_their_texts(spark, tmp_path, monkeypatch):
+    chosen_from, plain = [], store.keep_first
+    monkeypatch.setattr(store, "keep_first", lambda df, keys, order: chosen_from.append(df.columns) or plain(df, keys, order))
+    batch = spark.createDataFrame([(1, 1, "one"), (2, 1, "One "), (None, 1, "no key"), (3, 2, "one")], "entry_id long, user_id long, text string")
+    kept = store.MentionStore(str(tmp_path / "s"), ["entry_id"], buckets=4)
+    kept.merge(batch, 0, ["entry_id"])
+    assert sorted((r.entry_id or 0, r.text) for r in kept.read(spark).collect()) == [(0, "no key"), (1, "one"), (3, "one")]
+    assert "text" in chosen_from[0] and "text" not in chosen_from[1]
