@@ -126,9 +126,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def lines_left(text: Column, removed: Column) -> Column:
     """The lines of a text without those of the given numbers."""
-    lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    def left(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda i: F.get(lines, i)), "\n")
+
+    # the lines are a variable of the outer function, so that a text is split once and not for each of its lines
+    return F.get(F.transform(F.array(F.split(text, "\n")), left), F.lit(0))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = repeated_lines(docs)
     total = found.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("lines")).first()
     rows = join_checked(docs.select("doc_id", "text"), found, ["doc_id"], 4 * total.n + (total.lines or 0), 8)
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(lines_left(F.col("text"), F.col("removed")))
     return rows.select("doc_id", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), kept.alias("kept"))
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pressmill.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, substring_bytes, substring_words, token_counts, toxicity
 
@@ -99,6 +100,14 @@ def test_wavelet_tree_counts():
     assert tree.rank(symbol, at).tolist() == [int((values[:a] == s).sum()) for s, a in zip(symbol, at)]
 
 
+def test_lines_left_split_a_text_once(spark):
+    """op5_line_dedup: the split stood in the inner function, so that a text was split again for each of its lines."""
+    texts = [("a\n\nb\r\n c", [0, 3]), ("a", [0]), ("", []), ("x\ny\nx", [1]), (None, [0])]
+    df = spark.createDataFrame(texts, "text string, removed array<int>").select(line_dedup.lines_left(F.col("text"), F.col("removed")).alias("left"))
+    assert [r.left for r in df.collect()] == ["\nb\r", "", "", "x\nx", None]
+    assert df.select("left")._jdf.queryExecution().analyzed().toString().count("split(text") == 1  # before: 2
+
+
 def test_line_dedup(docs, rows, empty):
     lines = [(i, j, frozenset(t for t in x.rstrip("\r").lower().split(" ") if t), x) for i, text in rows if text is not None for j, x in enumerate(text.split("\n"))]
     gone = set()
