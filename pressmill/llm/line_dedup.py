@@ -17,25 +17,35 @@ from .common import join_checked, written
 
 #: Slots of the table of counts, a byte each whatever the input, and slots that are collected as one row.
 SLOTS, ROW_SLOTS = 1 << 18, 1 << 10
+#: Slots that are counted side by side in one row, so that a task's table of counts has a quarter of the rows.
+LANES = 4
 SET = ["set1", "set2", "n"]
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.rtrim(line, F.lit("\r"))), " "), "")
+    trimmed = F.when(F.endswith(line, F.lit("\r")), F.rtrim(line, F.lit("\r"))).otherwise(line)  # a trim walks over all characters
+    return F.array_remove(F.split(F.lower(trimmed), " "), "")
+
+
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t)))
 
 
 def _rarity(docs: DataFrame) -> Column:
     """For each slot of token hashes, four times the binary logarithm of its count over all texts, as an array of bytes."""
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t"))
-    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(120), (4 * F.log2(F.col("n") + 1)).cast("int"))
-    entry = F.concat((F.col("slot") % ROW_SLOTS).cast("string"), F.lit(":"), level.cast("string"))
-    rows = counts.groupBy(F.expr(f"slot div {ROW_SLOTS}").alias("row")).agg(F.array_join(F.collect_list(entry), ",").alias("levels"))
+    slots = words.select(F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
+    lane = F.col("slot") % LANES
+    counts = slots.groupBy(F.expr(f"slot div {LANES}").alias("at")).agg(*[F.count_if(lane == i).alias(f"n{i}") for i in range(LANES)])
+    levels = [F.least(F.lit(120), (4 * F.log2(F.col(f"n{i}") + 1)).cast("int")).cast("string") for i in range(LANES)]
+    entry = F.concat_ws(":", (F.col("at") * LANES % ROW_SLOTS).cast("string"), *levels)
+    rows = counts.groupBy(F.expr(f"at * {LANES} div {ROW_SLOTS}").alias("row")).agg(F.array_join(F.collect_list(entry), ",").alias("levels"))
     table = ["0"] * SLOTS
     for row in rows.collect():
         for entry in row.levels.split(","):
-            at, n = entry.split(":")
-            table[row.row * ROW_SLOTS + int(at)] = n
+            at, *found = entry.split(":")
+            first = row.row * ROW_SLOTS + int(at)
+            table[first : first + LANES] = found
     return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>")  # folded to a constant
 
 
@@ -48,15 +58,16 @@ def _sets(docs: DataFrame) -> DataFrame:
     rarest tokens) of each line."""
     rarity = _rarity(docs)
 
-    def number(token: Column) -> Column:
-        level = F.coalesce(F.get(rarity, F.xxhash64(token).bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))  # never null: sorted as longs
-        return F.shiftleft(level, 56).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit((1 << 56) - 1)))
+    def number(x: Column) -> Column:
+        level = F.coalesce(F.get(rarity, x.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))  # never null: sorted as longs
+        return F.shiftleft(level, 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    lines = _lines(docs).select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), number))).alias("k"))
+    # functions of a lambda are not compiled: a token is hashed once, and equal ones are numbered once
+    lines = _lines(docs).select("doc_id", "line_no", F.sort_array(F.transform(_hashes(F.col("line")), number)).alias("k"))
     n = F.size("k")
-    parity = F.expr("aggregate(k, 0L, (p, x) -> p ^ shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))")
+    parity = F.expr("aggregate(k, 0L, (p, x) -> p ^ shiftleft(1L, hash(x)))")  # a shift is by the lower six bits of the hash
     # a second one for longer lines: of the tokens whose hash has an odd bit
-    second = F.expr("if(size(k) <= 100, 0L, aggregate(k, 0L, (p, x) -> p ^ if(x & 67108864L = 0L, 0L, shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))))")
+    second = F.expr("if(size(k) <= 100, 0L, aggregate(k, 0L, (p, x) -> p ^ if(x & 67108864L = 0L, 0L, shiftleft(1L, hash(x)))))")
     return lines.select(
         "doc_id", "line_no", n.alias("n"), F.xxhash64("k").alias("set1"), F.xxhash64(F.lit(1), "k").alias("set2"), parity.alias("parity"), second.alias("second"),
         F.transform(F.slice("k", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda x: F.hash(x)).alias("prefix"),
@@ -73,13 +84,11 @@ def _may_be_near(x: str, y: str) -> str:
     """Whether two sets may be near: by lengths, by what is left behind the shared token, by parities."""
     nx, ny, ix, iy = f"({x}.n_i >> 32)", f"({y}.n_i >> 32)", f"({x}.n_i & 4294967295L)", f"({y}.n_i & 4294967295L)"
     return (
-        f"5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny})"
+        # what is left from the shared token on must hold 4/9 of both, which bounds lengths and prefixes, too
+        f"9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
         # tokens in one of the two sets alone: those with the odd bit, and the others
         f" and 9 * if({x}.second = 0 or {y}.second = 0, bit_count({x}.parity ^ {y}.parity),"
         f" bit_count({x}.second ^ {y}.second) + bit_count({x}.parity ^ {y}.parity ^ {x}.second ^ {y}.second)) <= {nx} + {ny}"
-        # the shorter set's prefix towards longer ones is the shorter one of n - ceil(2t / (1 + t) n) + 1 tokens
-        f" and if({nx} < {ny}, {ix} <= {nx} - (8 * {nx} + 8) div 9, {iy} <= {ny} - (8 * {ny} + 8) div 9 or ({nx} = {ny} and {ix} <= {nx} - (8 * {nx} + 8) div 9))"
-        f" and 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})"
         f" and ({x}.doc != {y}.doc or {x}.line != {y}.line)"
     )
 
@@ -91,15 +100,21 @@ def _keyed(first: DataFrame) -> DataFrame:
 
 
 def _with_tokens(docs: DataFrame, spots: DataFrame) -> DataFrame:
-    """token, doc, line of a written table, with the line's token hashes k."""
+    """doc, line, token of a written table, with the line's token hashes k."""
     places = spots.groupBy("doc", "line").agg(F.collect_set("token").alias("tokens"))
     wanted = written(places.groupBy("doc").agg(F.collect_list(F.struct("line", "tokens")).alias("wanted")))
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("wanted")).alias("lines")).first()
     named = wanted.withColumnRenamed("doc", "doc_id")
     found = join_checked(docs.select("doc_id", "text"), named, ["doc_id"], size.n + (size.lines or 0), 64).where("wanted is not null")
     lines = found.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    own = F.array_distinct(F.transform(_tokens(F.get("lines", F.col("w.line"))), lambda t: F.xxhash64(t)))
-    return written(lines.select("doc", F.col("w.line").alias("line"), F.col("w.tokens").alias("tokens"), own.alias("k"))).select(F.explode("tokens").alias("token"), "doc", "line", "k")
+    own = _hashes(F.get("lines", F.col("w.line")))
+    return written(lines.select("doc", F.col("w.line").alias("line"), F.col("w.tokens").alias("tokens"), own.alias("k"))).select("doc", "line", "k", F.explode("tokens").alias("token"))
+
+
+def _confirmed(lines: DataFrame) -> DataFrame:
+    """doc, line of the rows of _with_tokens() that are near to an earlier one; both sides are one shuffle."""
+    near = "x.token = y.token and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line)) and 9 * size(array_intersect(x.k, y.k)) >= 4 * (size(x.k) + size(y.k))"
+    return lines.alias("x").join(lines.alias("y"), F.expr(near), "left_semi").select("doc", "line")
 
 
 def _later(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -107,10 +122,7 @@ def _later(docs: DataFrame, first: DataFrame) -> DataFrame:
     keyed = _keyed(first)
     x, y = keyed.alias("x"), keyed.alias("y")
     partnered = written(x.join(y, F.expr(f"x.token = y.token and {_may_be_near('x', 'y')}"), "left_semi").select("token", "doc", "line"))
-    lines = _with_tokens(docs, partnered)
-    near = "x.token = y.token and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line)) and 9 * size(array_intersect(x.k, y.k)) >= 4 * (size(x.k) + size(y.k))"
-    later = lines.alias("x").join(lines.alias("y"), F.expr(near), "left_semi")
-    return written(later.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).distinct())
+    return written(_confirmed(_with_tokens(docs, partnered)).distinct().toDF("doc_id", "line_no"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

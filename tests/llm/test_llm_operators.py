@@ -108,6 +108,37 @@ def test_lines_left_split_a_text_once(spark):
     assert df.select("left")._jdf.queryExecution().analyzed().toString().count("split(text") == 1  # before: 2
 
 
+def test_line_tokens_are_hashed_once(docs):
+    """op5_line_dedup: a token was hashed for its level and again for its number, equal tokens of a line each time."""
+    assert line_dedup._sets(docs)._jdf.queryExecution().analyzed().toString().count("xxhash64(lambda") == 1  # before: 2
+
+
+def test_line_candidates_are_shuffled_once(spark):
+    """op5_line_dedup: candidates with all their tokens were shuffled for each side of the join that confirms them."""
+    words = " ".join("abcdefghi")
+    texts = spark.createDataFrame([(1, f"{words}\n{words} j"), (2, f"x\n{words} k\r"), (3, "x y z")], "doc_id long, text string")
+    spots = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (7, 1, 1), (8, 1, 1), (7, 2, 1), (9, 3, 0)], "token int, doc long, line int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = line_dedup._confirmed(line_dedup._with_tokens(texts, spots))
+        assert {(r.doc, r.line) for r in found.collect()} == {(1, 1), (2, 1)}
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()  # before: two exchanges
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_line_rarity_counts_every_slot(spark):
+    """op5_line_dedup: slots are counted side by side, and each has the level of its own count."""
+    texts = [("a b\nB c", 1), ("a  d", 2), (" ".join(f"w{i % 700}" for i in range(3000)), 3)]
+    df = spark.createDataFrame(texts, "text string, doc_id long")
+    tokens = [t for text, _ in texts for t in text.lower().replace("\n", " ").split(" ")]
+    slot = {r.t: r.slot for r in spark.createDataFrame([(t,) for t in set(tokens)], "t string").selectExpr("t", f"cast(xxhash64(t) & {line_dedup.SLOTS - 1} as int) slot").collect()}
+    counts = np.bincount([slot[t] for t in tokens], minlength=line_dedup.SLOTS)
+    levels = spark.range(1).select(line_dedup._rarity(df).alias("r")).first().r
+    assert levels == np.minimum(120, (4 * np.log2(counts + 1)).astype(int)).tolist()
+
+
 def test_line_dedup(docs, rows, empty):
     lines = [(i, j, frozenset(t for t in x.rstrip("\r").lower().split(" ") if t), x) for i, text in rows if text is not None for j, x in enumerate(text.split("\n"))]
     gone = set()
