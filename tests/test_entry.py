@@ -42,3 +42,20 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     rows = lambda found: sorted("|".join(map(plain, row)) for row in found)
     assert rows(got.select(*columns).collect()) == rows(want.fetchall())
+
+
+def test_locations_of_odd_texts_against_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [None, "", " ", "LAGOS abuja", "IND\u0130A mumbai", "M\u0130DDLE EAST gulf", "usa\x00texas", "plain"]
+    sources = ["src1", None, "BBC", "\u0130ndependent"]
+    docs = [(15 * i + k, text, "en", source, len(text or "")) for i, (text, source) in enumerate((t, s) for t in texts for s in sources) for k in range(15)]
+    docs += [(None, "", "en", "CNN", 0), (-1, None, "en", "CNN", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (7, None, 1)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["x16_classify_location"]).fetchall()
+    got = entry.queries()["x16_classify_location"](spark, str(tmp_path)).select("entry_id", "label", "confidence").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == len(docs)

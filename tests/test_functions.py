@@ -56,6 +56,14 @@ def test_urls(spark):
     assert one(spark, geo.country_from_domain, "bbc.co.uk") == "uk"
 
 
+def test_location_without_text(spark):
+    judged = lambda c, **how: geo.classify_location(c, F.lit("src1"), F.lit(""), F.lit("London, UK"), F.lit("user1"), F.lit(""), **how)
+    for raw in (None, ""):
+        assert tuple(one(spark, judged, raw)) == (None, None)
+        assert tuple(one(spark, lambda c: judged(c, needs_text=False), raw)) == ("uk", 0.7)
+    assert tuple(one(spark, judged, "x")) == tuple(one(spark, lambda c: judged(c, needs_text=False), "x")) == ("uk", 0.7)
+
+
 def test_ministry_first_of_equals(spark):
     assert one(spark, scoring.ministry, "a new road and a school") == "works"
     assert one(spark, scoring.ministry, "nothing here") == "non_governance"
